@@ -40,6 +40,15 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, mark: str) -> DataFrame:
+    """``docs`` with a row number in column ``mark``, staged.
+
+    Numbers come from the scan's partitions, and another scan may be cut otherwise when executors come and
+    go; so rows are numbered once and read back from there.
+    """
+    return staged(docs.withColumn(mark, F.monotonically_increasing_id()), "rows")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A to Z only. Pure ASCII strings take the JVM's fast path, with the same result."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(

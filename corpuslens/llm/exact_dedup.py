@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import ascii_lower, staged
+from corpuslens.llm.common import ascii_lower, numbered, staged
 
 #: A digest held by more than one row in HOT_SHARE is joined by broadcast; at most HOT_SHARE such digests can exist.
 HOT_SHARE = 1000
@@ -55,23 +55,23 @@ class DigestIndex:
         )
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, digest, part): ``row`` tells repeated rows apart."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(id, row, digest): ``row`` tells repeated rows apart."""
     folded = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     return docs.select(
         F.col(id_col).alias("id"),
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
         F.sha2(folded, 256).alias("digest"),
     )
 
 
-def dedup_rows(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
+def dedup_rows(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: id, row, digest, keep (id and row of the one that stays), n (rows with the digest).
 
     The batch goes in by ``rounds`` blocks of descending id, so that in each text's group the largest id
     comes first; a later block's digest that is known is dropped by the anti-join.
     """
-    own = staged(digests(docs, id_col, text_col), "digests")
+    own = staged(digests(docs, id_col, text_col, row_col), "digests")
     keyed = own.withColumn("keep", F.struct("id", "row"))
     low, high, total = own.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
     edges = [low + (high - low) * k // rounds for k in range(rounds - 1, 0, -1)] if low is not None else []
@@ -104,9 +104,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops. Scans must be repeatable (files or a staged table)."""
+    """``docs`` without the rows that ``exact_dedup`` drops."""
     index = index or DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
-    lost = dedup_rows(docs, index, id_col, text_col).filter(F.col("keep.row") != F.col("row"))
     mark = f"row_{uuid.uuid4().hex}"
-    numbered = docs.withColumn(mark, F.monotonically_increasing_id())
-    return numbered.join(lost.select(F.col("row").alias(mark)), mark, "left_anti").drop(mark)
+    rows = numbered(docs, mark)
+    lost = dedup_rows(rows, index, id_col, text_col, row_col=mark).filter(F.col("keep.row") != F.col("row"))
+    return rows.join(lost.select(F.col("row").alias(mark)), mark, "left_anti").drop(mark)

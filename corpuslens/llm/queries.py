@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, exact_dedup, pii, sharding, token_files
+import corpus_pipeline
+from corpuslens.llm import bpe, exact_dedup, line_dedup, main_text, mixing, near_dup, pii, quality, sharding, token_files
 from corpuslens.llm.common import new_path, table
 
 #: The tokenizer file is a parameter of the operators; it is never copied here.
@@ -47,15 +48,56 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-QUERIES = {
-    "op4_sharding": op4_sharding,
-    "op5_token_files": op5_token_files,
-    "op7_pii": op7_pii,
-    "op9_bpe": op9_bpe,
-    "op10_exact_dedup": op10_exact_dedup,
-}
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1, mode="all")
+    return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the mix of all sources."""
+    rows = mixing.positions(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return rows.select(F.col("id").alias("doc_id"), "source", "weight", "block", "slot", "phase", "position")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.judged(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    verdict = [F.col(f"quality.{c}") for c in ("base_failed", "kept", "posterior")]
+    return rows.select("doc_id", *[F.col(f"quality.f.{c}") for c in counts], *verdict)
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class and number of links; a class's representative is its least doc_id of that shingle set."""
+    rows = near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "class_id", "rep_id", "n_links")
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = main_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_quality, op4_sharding, op5_token_files, op6_ngram_jaccard, op7_pii, op8_main_text, op9_bpe, op10_exact_dedup, pipeline)}
 
 ORACLE_SQL = {
+    "op1_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+        ), keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+        ), common AS (
+            SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+        ), marked AS (
+            SELECT doc_id, line, pos, key IN (SELECT key FROM common) AS lost FROM keyed
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
     "op10_exact_dedup": """
         WITH n AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
