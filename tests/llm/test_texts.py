@@ -1,0 +1,96 @@
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from corpuslens.llm import main_text, pii
+from tests.llm.cases import awkward, frame
+
+# The base patterns as stated, tried plainly.
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plainly(text):
+    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in CARD.finditer(text):
+        d = re.sub("[^0-9]", "", m.group())
+        if 12 <= len(d) <= 19 and pii.luhn(d):
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    return sorted(out)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="a@.-1290+( )%é\n", max_size=60) | st.lists(st.sampled_from(["4111111111111111", "4111 1111 1111 1111", "+1 (212) 555-0153", "1.2.3.4", "256.1.1.1", "01.002.3.255.9", "a.b@c.de", "@", "x@y", " ", ".", "-", "é"]), max_size=12).map("".join))
+def test_base_spans_are_those_of_the_plain_patterns(text):
+    assert pii.base_spans(text) == plainly(text)
+
+
+def test_checks():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB82 WEST 1234 5698 7654 33")
+
+
+def test_extra_spans_need_their_score():
+    base, every = pii.find_pii("IBAN GB82 WEST 1234 5698 7654 32, tel 0612345678, code 0612345678")
+    assert base == [] or all(k != "iban" for k, _, _ in base)
+    kinds = [k for k, _, _, _ in every]
+    assert "iban" in kinds and kinds.count("phone_alt") >= 1
+    assert pii.find_pii("plain words, 12 of them, and no more 0612345678")[1] == []
+    assert pii.mask("mail a@b.cd now") == "mail [email] now"
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 200_000, "1" * 200_000, "@" * 100_000, "1." * 100_000, "+1(" * 60_000, "a@" * 60_000, "A1" * 100_000, "0 1" * 60_000):
+        pii.find_pii(text)
+
+
+def test_detect_frame(spark):
+    rows = [*awkward(), (500, "to é me@x.org and 10.0.0.1", "a")]
+    got = {r.id: r for r in pii.detect(frame(spark, rows)).collect()}
+    assert got[500].base_spans == "email:5:13,ip:18:26" and (got[500].n_email, got[500].n_ip) == (1, 1)
+    assert got[1].spans == "" and got[1].n_phone == 0
+    assert pii.detect(frame(spark, rows).limit(0)).count() == 0
+
+
+PAGE = (
+    '<html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a></li></ul></nav>'
+    '<div class="cookie-notice">We use cookies, of course.</div><article><h1>Title &amp; more</h1><p>First   paragraph,<br>with <b>bold</b> text.<p>Second, <i>unclosed paragraph. '
+    "<aside>Aside text.</aside></article><section class='comments'><p>Nice article, thanks!</p></section><form><label>Name</label></form><footer>&copy; 2024</footer></body></html>"
+)
+
+
+def test_article_without_its_surroundings():
+    assert main_text.main_text(PAGE) == "Title & more\nFirst paragraph, with bold text.\nSecond, unclosed paragraph."
+
+
+def test_pages_without_article_element():
+    html = '<div id="menu"><a href=1>One</a> <a href=2>Two</a></div><div class="x"><h2>Head</h2><p>Long text, with commas, and so on. More of it.</p><p>Short.</p></div><div class="sidebar">Links here</div><div id="footer">Legal</div>'
+    assert main_text.main_text(html) == "Head\nLong text, with commas, and so on. More of it.\nShort."
+
+
+def test_odd_html():
+    assert main_text.main_text(None) == main_text.main_text("") == main_text.main_text("<p></p>") == main_text.main_text("<script>x") == main_text.main_text("<!-- open") == ""
+    assert main_text.main_text("a < b & c") == "a < b & c"
+    assert main_text.main_text("<p>x</b></p></div>y") == "x\ny"
+    assert main_text.main_text("<article></article>") == ""
+    assert main_text.main_text("<p>" + "a" * 300_000).count("a") == 300_000
+    assert main_text.main_text("<div>" * 3000 + "deep") == "deep"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<a href='x'>", "</a>", "<li>", "<ul>", "<!--", "-->", "<", ">", '"', "text, more.", "&amp;", "<script>", "</script>", "<article>", "<br>", "<td>", "é"]), max_size=25).map("".join))
+def test_any_markup_is_taken(html):
+    out = main_text.main_text(html)
+    assert out == out.strip() and "\n\n" not in out
+
+
+def test_extract_frame(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE, "own"), (2, None, None, "own"), (2, None, None, "own"), (None, "", "", "own")], "page_id long, url string, html string, text string")
+    got = main_text.extract(pages).collect()
+    assert sorted((r.page_id or 0, len(r.text)) for r in got) == [(0, 0), (1, len(main_text.main_text(PAGE))), (2, 0), (2, 0)]
+    assert main_text.extract(pages.limit(0)).count() == 0
