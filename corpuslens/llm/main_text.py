@@ -39,6 +39,7 @@ _IMPLIED = {
     "th": ({"td", "th"}, {"table", "tr"}),
     "option": ({"option"}, {"select"}),
 }
+_NOTHING: tuple[set[str], set[str]] = (set(), set())
 #: Elements that serve the page rather than the article.
 _SERVICE = frozenset("nav aside footer form button select dialog menu search input label object audio video canvas".split())
 _SERVICE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -47,12 +48,14 @@ _SERVICE_NAMES = re.compile(
     r"sidebar|side-bar|aside|rail|widget\w*|menu|nav|navbar|navigation|breadcrumbs?|toc|pagination|pager|footer|site-?header|page-?header|masthead|topbar|toolbar|skip-?link|share|sharing|social|"
     r"related|recommend\w*|more-?(?:stories|posts|links)|trending|popular|comments?|commentlist|comment-\w+|disqus|replies|respond|feedback|tags|byline-?box|copyright|legal|disclaimer)(?:$|[\s_-])"
 )
+#: Elements whose descendants know that they are inside.
+_MARKED = frozenset(("a", "li", "article", "main"))
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；：]")
 _DIGITS = re.compile(r"[0-9]+")
 
 
 class _Element:
-    __slots__ = ("inner", "parent", "path", "service", "tag")
+    __slots__ = ("depth", "holds", "inside", "named", "parent", "path", "service", "tag")
 
     def __init__(self, tag: str, parent: _Element | None, attrs: str = ""):
         self.tag, self.parent = tag, parent
@@ -66,15 +69,53 @@ class _Element:
                 elif name == "role":
                     role = (a or b or c).lower()
                 hidden |= name == "aria-hidden" and (a or b or c) == "true"
-        self.path = f"{parent.path if parent else ''}/{tag}{'.' + _DIGITS.sub('', names.split()[0]) if names.split() else ''}"
-        self.inner = bool(parent) and (parent.inner or parent.tag in ("article", "main"))
-        self.service = bool(parent and parent.service) or (
-            tag in _SERVICE
-            or (tag == "header" and not self.inner)
-            or role in _SERVICE_ROLES
-            or hidden
-            or (tag not in ("html", "body", "article", "main") and bool(names) and bool(_SERVICE_NAMES.search(names)))
-        )
+        self.depth = parent.depth + 1 if parent else 0
+        self.path = hash((parent.path if parent else 0, tag, _DIGITS.sub("", names.split()[0]) if names.split() else ""))
+        above = parent.inside if parent else frozenset()
+        self.service = tag in _SERVICE or (tag == "header" and not above & {"article", "main"}) or role in _SERVICE_ROLES or hidden
+        self.named = tag not in ("html", "body", "article", "main") and bool(names) and bool(_SERVICE_NAMES.search(names))
+        self.inside = above | {tag} if tag in _MARKED and tag not in above else above  # itself included
+        self.holds = False  # an article or main element
+        if tag in ("article", "main"):
+            while parent and not parent.holds:
+                parent.holds = True
+                parent = parent.parent
+
+
+def _totals(own: dict[_Element, float]) -> dict[_Element, float]:
+    """Each element's sum over itself and what it holds."""
+    out: dict[_Element, float] = {}
+    for e in own:
+        x: _Element | None = e
+        while x and x not in out:
+            out[x] = own.get(x, 0.0)
+            x = x.parent
+    for e in sorted(out, key=lambda e: -e.depth):
+        if e.parent:
+            out[e.parent] += out[e]
+    return out
+
+
+def serving(nodes: list[tuple[_Element, int, str]], scores: list[float]) -> dict[_Element, bool]:
+    """Whether each element that has text, or its ancestor, serves the page.
+
+    A name alone doesn't count where the element holds the article element or most of the page's content
+    (a layout may be named after its sidebar).
+    """
+    own: dict[_Element, float] = {}
+    for (e, _, t), s in zip(nodes, scores, strict=True):
+        own[e] = own.get(e, 0.0) + (len(t) if s >= 1 else 0)
+    weight, total = _totals(own), sum(own.values())
+    out: dict[_Element, bool] = {}
+    for e, _, _ in nodes:
+        chain = []
+        while e and e not in out:
+            chain.append(e)
+            e = e.parent
+        above = bool(e) and out[e]
+        for x in reversed(chain):
+            above = out[x] = above or x.service or (x.named and not x.holds and weight.get(x, 0.0) < 0.6 * total)
+    return out
 
 
 def parse(html: str) -> list[tuple[_Element, int, str]]:
@@ -82,6 +123,14 @@ def parse(html: str) -> list[tuple[_Element, int, str]]:
     nodes: list[tuple[_Element, int, str]] = []
     here = _Element("#root", None)
     block = at = 0
+    opened: dict[str, int] = {}
+
+    def close(element: _Element) -> None:
+        """Close ``element`` and all that is open in it."""
+        nonlocal here
+        while here is not element.parent:
+            opened[here.tag] -= 1
+            here = here.parent
 
     def text(raw: str) -> None:
         if raw:
@@ -104,14 +153,12 @@ def parse(html: str) -> list[tuple[_Element, int, str]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            scope = here
-            while scope.parent and scope.tag != tag:
-                if tag not in _BLOCK and scope.tag in _BLOCK:  # an inline end tag stays in its block
-                    scope = None
-                    break
-                scope = scope.parent
-            if scope is not None and scope.tag == tag:
-                here = scope.parent
+            scope = here if opened.get(tag) else None
+            while scope and scope.tag != tag:
+                # an inline end tag stays in its block
+                scope = None if tag not in _BLOCK and scope.tag in _BLOCK else scope.parent
+            if scope:
+                close(scope)
             if tag in _BLOCK:
                 block += 1
             continue
@@ -126,24 +173,24 @@ def parse(html: str) -> list[tuple[_Element, int, str]]:
             block += 1
         if tag in _VOID:
             continue
-        if tag in _ENDS_P:
+        if tag in _ENDS_P and opened.get("p"):
             scope = here
             while scope.parent and scope.tag != "p" and scope.tag not in _CONTAINER:
                 scope = scope.parent
             if scope.tag == "p":
-                here = scope.parent
-        if tag in _IMPLIED:
-            closes, shield = _IMPLIED[tag]
-            scope, last = here, None
-            while scope.parent and scope.tag not in shield:
-                if scope.tag in closes:
-                    last = scope
+                close(scope)
+        closes, shield = _IMPLIED.get(tag, _NOTHING)
+        while any(opened.get(x) for x in closes):
+            scope = here
+            while scope.parent and scope.tag not in closes and scope.tag not in shield:
                 scope = scope.parent
-            if last:
-                here = last.parent
+            if scope.tag not in closes:
+                break
+            close(scope)
         if tag in _BLOCK:
             block += 1
         here = _Element(tag, here, m[3])
+        opened[tag] = opened.get(tag, 0) + 1
     return nodes
 
 
@@ -173,38 +220,27 @@ def content_scores(nodes: list[tuple[_Element, int, str]]) -> list[float]:
     return [x / level for x in fused]
 
 
-def _article(nodes: list[tuple[_Element, int, str]], scores: list[float]) -> _Element | None:
-    weight: dict[_Element, float] = {}
-    total = 0.0
+def _article(nodes: list[tuple[_Element, int, str]], scores: list[float], service: dict[_Element, bool]) -> _Element | None:
+    own: dict[_Element, float] = {}
     for (e, _, t), s in zip(nodes, scores, strict=True):
-        n = len(t.split()) and len(t)
-        if not n or e.service:
-            continue
-        w = float(n) if s >= 1 else 0.01 * n  # what is below the threshold only breaks ties
-        total += w
-        while e:
-            weight[e] = weight.get(e, 0.0) + w
-            e = e.parent
-    if not total:
+        if t.strip() and not service[e]:
+            own[e] = own.get(e, 0.0) + len(t) * (1.0 if s >= 1 else 0.01)  # what is below the threshold only breaks ties
+    if not own:
         return None
+    weight = _totals(own)
     named = {e: w for e, w in weight.items() if e.tag in ("article", "main")}
-    outer = {e: w for e, w in named.items() if e.tag == "article" and not _inside(e.parent, "article")} or named
+    outer = {e: w for e, w in named.items() if e.tag == "article" and "article" not in e.parent.inside} or named
     if outer:
         return max(outer, key=outer.get)  # the first of equals
+    heaviest: dict[_Element, _Element] = {}
+    for e, w in weight.items():
+        if e.parent and (e.parent not in heaviest or w > weight[heaviest[e.parent]]):
+            heaviest[e.parent] = e
     here = next(e for e in weight if e.parent is None)
-    while True:
-        down = [e for e in weight if e.parent is here and weight[e] >= 0.75 * total]
-        if not down or down[0].tag not in _CONTAINER:
-            return here
-        here = down[0]
-
-
-def _inside(e: _Element | None, tag: str) -> bool:
-    while e:
-        if e.tag == tag:
-            return True
-        e = e.parent
-    return False
+    total = weight[here]
+    while here in heaviest and weight[heaviest[here]] >= 0.75 * total and heaviest[here].tag in _CONTAINER:
+        here = heaviest[here]
+    return here
 
 
 def main_text(html: str | None) -> str:
@@ -212,22 +248,25 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     nodes = parse(html)
-    root = _article(nodes, content_scores(nodes))
+    scores = content_scores(nodes)
+    service = serving(nodes, scores)
+    root = _article(nodes, scores, service)
     if root is None:
         return ""
     blocks: dict[int, list[str]] = {}
     linked: dict[int, bool] = {}
-    within: dict[_Element, bool] = {}
+    within: dict[_Element | None, bool] = {root: True, None: False}
     for e, b, t in nodes:
-        if e not in within:
-            x = e
-            while x and x is not root:
-                x = x.parent
-            within[e] = x is root and not e.service
-        if within[e]:
+        chain = []
+        x: _Element | None = e
+        while x not in within:
+            chain.append(x)
+            x = x.parent
+        within.update((c, within[x]) for c in chain)
+        if within[e] and not service[e]:
             blocks.setdefault(b, []).append(t)
             if t.strip():
-                linked[b] = linked.get(b, True) and _inside(e, "a") and _inside(e, "li")
+                linked[b] = linked.get(b, True) and {"a", "li"} <= e.inside
     lists = [b for b, only in linked.items() if only]
     drop = set(lists) if len(lists) >= 3 else set()  # a list of links is a menu
     lines = (" ".join("".join(parts).split()) for b, parts in blocks.items() if b not in drop)

@@ -73,13 +73,21 @@ def test_pages_without_article_element():
     assert main_text.main_text(html) == "Head\nLong text, with commas, and so on. More of it.\nShort."
 
 
+def test_layouts_named_after_their_service_parts():
+    html = '<div class="layout has-sidebar"><div class="sidebar"><p>Side words.</p></div><article><p>The text.</p></article></div>'
+    assert main_text.main_text(html) == "The text."
+    html = '<div class="page ad-free"><p>Long text, with commas, and so on. More of it, and more.</p><div class="ad">Buy.</div></div>'
+    assert main_text.main_text(html) == "Long text, with commas, and so on. More of it, and more."
+
+
 def test_odd_html():
     assert main_text.main_text(None) == main_text.main_text("") == main_text.main_text("<p></p>") == main_text.main_text("<script>x") == main_text.main_text("<!-- open") == ""
     assert main_text.main_text("a < b & c") == "a < b & c"
     assert main_text.main_text("<p>x</b></p></div>y") == "x\ny"
     assert main_text.main_text("<article></article>") == ""
     assert main_text.main_text("<p>" + "a" * 300_000).count("a") == 300_000
-    assert main_text.main_text("<div>" * 3000 + "deep") == "deep"
+    for deep in ("<div>x" * 50_000, "<span>" * 50_000 + "x" + "</div>" * 50_000, "<span>" * 50_000 + "<p>x" * 50_000, "<i>" * 50_000 + "<li>x" * 20_000, "<" * 100_000, "<a href='" * 3_000):
+        main_text.main_text(deep)
 
 
 @settings(max_examples=200, deadline=None)
