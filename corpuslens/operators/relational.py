@@ -51,16 +51,19 @@ def token_subset(keys: DataFrame, names: DataFrame) -> DataFrame:
     return k.join(n, "tok").groupBy("key_id", "name_id", "need").agg(F.count(F.lit(1)).alias("have")).filter("have = need").select("key_id", "name_id")
 
 
-def co_citation(edges: DataFrame, doc: str, cited: str, anchor: int, least: int = 3, top: int = 8, sample: int = 500) -> DataFrame:
-    """Articles cited together with ``anchor``: n / (n + 20) * ln(N / df) over at most ``sample`` citing documents."""
+def co_citation(edges: DataFrame, doc: str, cited: str, anchors: DataFrame, least: int = 3, top: int = 8, sample: int = 500) -> DataFrame:
+    """Articles cited together with each of ``anchors`` (anchor): n / (n + 20) * ln(N / df), the best ``top``.
+
+    At most ``sample`` citing documents of an anchor count, those of the smallest ids.
+    """
     pairs = edges.select(F.col(doc).alias("d"), F.col(cited).alias("a")).distinct()
-    citing = pairs.filter(F.col("a") == anchor).select("d").orderBy("d").limit(sample)
+    citing = top_per_group(pairs.join(anchors, F.col("a") == F.col("anchor")).select("anchor", "d"), ["anchor"], [F.asc("d")], sample).drop("rk")
     total = pairs.agg(F.countDistinct("d").alias("total"))
-    near = pairs.join(F.broadcast(citing), "d").filter(F.col("a") != anchor).groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    near = pairs.join(citing, "d").filter("a <> anchor").groupBy("anchor", "a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     df = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("df"))
-    scored = near.join(df, "a").join(F.broadcast(total))
-    score = F.col("n") / (F.col("n") + 20) * F.log(F.col("total") / F.greatest("df", F.lit(1)))
-    return scored.select("a", "n", "df", score.alias("score")).orderBy(F.desc("score"), "a").limit(top)
+    score = F.round(F.col("n") / (F.col("n") + 20) * F.log(F.col("total") / F.greatest("df", F.lit(1))), 9)
+    scored = near.join(df, "a").join(F.broadcast(total)).select("anchor", "a", "n", "df", score.alias("score"))
+    return top_per_group(scored, ["anchor"], [F.desc("score"), F.asc("a")], top).drop("rk")
 
 
 def cross_source_groups(rows: DataFrame, key: str, doc: str, source: str) -> DataFrame:

@@ -44,7 +44,10 @@ def highlight(docs: list[tuple[int, str]], query: str, budget: int = 500) -> dic
 
 
 def diff(old: str, new: str) -> list[tuple[str, str]]:
-    """Segments (equal, insert, delete): lines first, changed lines then word by word; neighbours merged."""
+    """Segments (equal, insert, delete): lines first, changed lines then word by word; neighbours merged.
+
+    In long texts very frequent words only extend matches and never start them, so time stays near linear.
+    """
     out: list[list[str]] = []
 
     def add(op: str, text: str) -> None:
@@ -55,7 +58,7 @@ def diff(old: str, new: str) -> list[tuple[str, str]]:
                 out.append([op, text])
 
     def walk(a: list[str], b: list[str], deeper) -> None:
-        for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        for op, i, j, k, m in difflib.SequenceMatcher(None, a, b).get_opcodes():
             if op == "equal":
                 add("equal", "".join(a[i:j]))
             elif op == "replace" and deeper:

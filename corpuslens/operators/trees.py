@@ -22,17 +22,17 @@ def descend(spark: SparkSession, edges: DataFrame, root: str, depth: int = 32) -
     )
 
 
-def ascend(spark: SparkSession, edges: DataFrame, leaf: str, depth: int = 12) -> DataFrame:
-    """Chain from ``leaf`` to its root: node, level (1 is the parent)."""
+def ascend(spark: SparkSession, edges: DataFrame, leaves: DataFrame, depth: int = 12) -> DataFrame:
+    """Chain from each of ``leaves`` (leaf) to its root: leaf, node, level (1 is the parent)."""
     return spark.sql(
         f"""
-        WITH RECURSIVE up (node, level) AS (
-            SELECT parent, 1 FROM {{edges}} WHERE child = {{leaf}}
+        WITH RECURSIVE up (leaf, node, level) AS (
+            SELECT l.leaf, e.parent, 1 FROM {{edges}} e JOIN {{leaves}} l ON e.child = l.leaf
             UNION ALL
-            SELECT e.parent, u.level + 1 FROM up u JOIN {{edges}} e ON e.child = u.node WHERE u.level < {int(depth)}
+            SELECT u.leaf, e.parent, u.level + 1 FROM up u JOIN {{edges}} e ON e.child = u.node WHERE u.level < {int(depth)}
         )
-        SELECT node, level FROM up
+        SELECT leaf, node, level FROM up
         """,
         edges=edges,
-        leaf=leaf,
+        leaves=leaves,
     )

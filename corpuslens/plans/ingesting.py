@@ -17,17 +17,17 @@ def _sum(o):
     return F.md5(F.concat("o_orderstatus", F.col("o_orderkey").cast("string")))
 
 
-_OLD = "SELECT o_orderkey AS uid, md5(o_orderstatus || o_orderkey) AS checksum, o_orderkey % 10 <> 0 AS vec FROM orders WHERE o_orderkey % 3 <> 0"
-_NEW = "SELECT o_orderkey AS uid, CASE WHEN o_orderkey % 4 = 0 THEN md5('x' || o_orderkey) ELSE md5(o_orderstatus || o_orderkey) END AS checksum FROM orders WHERE o_orderkey % 5 <> 0"
+_OLD = "SELECT o_orderkey AS uid, md5(o_orderstatus || o_orderkey) AS checksum, o_totalprice > 100000 AS vec FROM orders WHERE o_orderstatus <> 'P'"
+_NEW = "SELECT o_orderkey AS uid, CASE WHEN o_orderpriority = '1-URGENT' THEN md5('x' || o_orderkey) ELSE md5(o_orderstatus || o_orderkey) END AS checksum FROM orders WHERE o_orderpriority <> '5-LOW'"
 
 
 def _state(t):
-    return t.orders.filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("uid"), _sum(t).alias("checksum"), (F.col("o_orderkey") % 10 != 0).alias("vec"))
+    return t.orders.filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("uid"), _sum(t).alias("checksum"), (F.col("o_totalprice") > 100_000).alias("vec"))
 
 
 def _batch(t):
     other = F.md5(F.concat(F.lit("x"), F.col("o_orderkey").cast("string")))
-    return t.orders.filter("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("uid"), F.when(F.col("o_orderkey") % 4 == 0, other).otherwise(_sum(t)).alias("checksum"))
+    return t.orders.filter("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("uid"), F.when(F.col("o_orderpriority") == "1-URGENT", other).otherwise(_sum(t)).alias("checksum"))
 
 
 @query("l1_triage", f"SELECT b.uid, CASE WHEN s.uid IS NULL THEN 'write' WHEN s.checksum = b.checksum AND NOT s.vec THEN 'embed' WHEN s.checksum = b.checksum THEN 'skip' ELSE 'update' END AS action FROM ({_NEW}) b LEFT JOIN ({_OLD}) s USING (uid)")
@@ -58,9 +58,9 @@ def _(t):
     return t.part.groupBy("p_name", "p_brand").agg(n_rows().alias("holders"), F.min("p_partkey").alias("first_key")).filter("holders > 1")
 
 
-@query("b4_replace_by_owner", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey < 50) UNION ALL SELECT o_orderkey, 1, 0.0 FROM orders WHERE o_custkey < 50")
+@query("b4_replace_by_owner", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT o_orderkey, 1, 0.0 FROM orders WHERE o_orderstatus = 'P'")
 def _(t):
-    batch = t.orders.filter("o_custkey < 50").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(0.0).alias("l_quantity"))
+    batch = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(0.0).alias("l_quantity"))
     return ingest.replace_by_owner(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity"), batch, "l_orderkey")
 
 
@@ -77,9 +77,9 @@ def _(t):
     return keys.join(F.broadcast(t.nation), F.col("k") == F.col("n_nationkey"), "left").select(F.coalesce("n_name", F.concat(F.lit("nation "), F.col("k").cast("string"))).alias("label"), "k")
 
 
-@query("b8_denormalised_chunks", "SELECT d.doc_id, i AS chunk, CASE WHEN i = 0 THEN left(d.text, 20) END AS title, d.lang, l.quality FROM documents d LEFT JOIN labels l USING (doc_id), generate_series(0, 2) g(i) WHERE i * 1000 < d.n_chars")
+@query("b8_denormalised_chunks", "SELECT d.doc_id, i AS chunk, CASE WHEN i = 0 THEN left(d.text, 20) END AS title, d.lang, l.quality FROM documents d LEFT JOIN labels l USING (doc_id), generate_series(0, d.n_chars // 1000) g(i) WHERE i * 1000 < d.n_chars")
 def _(t):
-    c = t.documents.select("doc_id", "text", "lang", "n_chars", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("chunk")).filter("chunk * 1000 < n_chars")
+    c = t.documents.select("doc_id", "text", "lang", "n_chars", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n_chars") / 1000))).alias("chunk")).filter("chunk * 1000 < n_chars")
     return c.join(t.labels.select("doc_id", "quality"), "doc_id", "left").select("doc_id", "chunk", F.when(F.col("chunk") == 0, F.left("text", F.lit(20))).alias("title"), "lang", "quality")
 
 
@@ -113,11 +113,10 @@ def _(t):
     return ingest.rebuild_diff(of("l_linestatus = 'F'"), of("l_returnflag <> 'N'"), "k", "n")
 
 
-@query("b14_snapshot_purge", "SELECT o_orderkey FROM orders WHERE NOT (o_custkey = 7 AND o_orderdate <> (SELECT max(o_orderdate) FROM orders WHERE o_custkey = 7)) AND o_custkey < 20")
+@query("b14_snapshot_purge", "SELECT o_orderkey FROM orders QUALIFY o_orderdate = max(o_orderdate) OVER (PARTITION BY o_custkey)")
 def _(t):
-    keep = t.orders.filter("o_custkey = 7").agg(F.max("o_orderdate").alias("keep"))
-    o = t.orders.filter("o_custkey < 20").join(F.broadcast(keep))
-    return o.filter((F.col("o_custkey") != 7) | (F.col("o_orderdate") == F.col("keep"))).select("o_orderkey")
+    keep = t.orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("o_orderdate"))
+    return t.orders.join(keep, ["o_custkey", "o_orderdate"], "left_semi").select("o_orderkey")
 
 
 @query("b15_view_counter", "SELECT user_id, count(*) AS views, min(ts) AS first_at, max(ts) AS last_at, bool_or(event_type = 'click') AS web FROM events WHERE event_type IN ('view', 'click') GROUP BY 1")
@@ -126,9 +125,9 @@ def _(t):
     return e.groupBy("user_id").agg(n_rows().alias("views"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.max(F.col("event_type") == "click").alias("web"))
 
 
-@query("b16_history_page", "SELECT event_id, count(*) OVER (PARTITION BY user_id) AS total FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 10")
+@query("b16_history_page", "SELECT event_id, count(*) OVER (PARTITION BY user_id) AS total FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 10")
 def _(t):
-    e = t.events.join(t.customer.filter("c_custkey % 2 = 0"), F.col("user_id") == F.col("c_custkey"), "left_semi")
+    e = t.events.join(t.customer.filter("c_acctbal > 0"), F.col("user_id") == F.col("c_custkey"), "left_semi")
     e = e.withColumn("total", F.count("*").over(Window.partitionBy("user_id")))
     return R.top_per_group(e, ["user_id"], [F.desc("ts"), F.asc("event_id")], 10).select("event_id", "total")
 
@@ -159,9 +158,9 @@ def _(t):
     return numbered_files(_urls(t), 500).select("file", "loc")
 
 
-@query("l4_pending_retry", f"SELECT o_orderkey FROM orders WHERE o_orderkey % 11 = 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+@query("l4_pending_retry", f"SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def _(t):
-    return t.orders.filter("o_orderkey % 11 = 0").join(t.customer.filter("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("o_orderkey")
+    return t.orders.filter("o_orderstatus = 'P'").join(t.customer.filter("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("o_orderkey")
 
 
 @query("l5_tombstones", "SELECT DISTINCT doc_id AS uid FROM labels WHERE toxic = 1 OR quality = 0")
@@ -175,10 +174,10 @@ def _(t):
     return t.part.join(cand, F.lpad((F.col("p_partkey") * 2).cast("string"), 9, "0") == F.col("u"), "left_anti").select("p_partkey")
 
 
-@query("l7_versioned_worklist", "SELECT doc_id FROM documents WHERE doc_id % 73 < 72 AND doc_id % 5 <> 0")
+@query("l7_versioned_worklist", "SELECT doc_id FROM documents WHERE n_chars < 2000 AND lang <> 'de'")
 def _(t):
-    rows = t.documents.select("doc_id", (F.col("doc_id") % 73).alias("version"), (F.col("doc_id") % 5 == 0).alias("certified"))
-    return rows.filter((F.col("version") < 72) & ~F.col("certified")).select("doc_id")
+    rows = t.documents.select("doc_id", F.col("n_chars").alias("version"), (F.col("lang") == "de").alias("certified"))
+    return rows.filter((F.col("version") < 2000) & ~F.col("certified")).select("doc_id")
 
 
 @query("l9_updated_since", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-25 00:00:00'")
@@ -229,9 +228,9 @@ def _(t):
     return chunking.chunk_documents(t.documents, chunk_tokens=512, overlap_min=20, overlap_max=60).drop("body")
 
 
-@query("k4_embedding_text", "SELECT doc_id, length('[' || lang || '] ' || source || chr(10) || chr(10) || left(text, 500)) AS n FROM documents")
+@query("k4_embedding_text", "SELECT doc_id, length('[' || lang || '] ' || source || chr(10) || chr(10) || text) AS n FROM documents")
 def _(t):
-    body = F.concat(F.lit("["), "lang", F.lit("] "), "source", F.lit("\n\n"), F.left("text", F.lit(500)))
+    body = F.concat(F.lit("["), "lang", F.lit("] "), "source", F.lit("\n\n"), "text")
     return t.documents.select("doc_id", F.length(body).cast("long").alias("n"))
 
 
@@ -256,9 +255,9 @@ def _(t):
     return t.documents.select("doc_id", F.explode(F.array_distinct(refs)).alias("ref"))
 
 
-@query("k10_linking_cascade", "WITH k AS (SELECT p_partkey, p_name, p_brand FROM part WHERE p_size < 15), a AS (SELECT p_name, min(p_partkey) AS t FROM part GROUP BY 1 HAVING count(*) = 1), b AS (SELECT p_name, p_brand, min(p_partkey) AS t FROM part GROUP BY 1, 2 HAVING count(*) = 1) SELECT k.p_partkey, coalesce(a.t, b.t) AS target FROM k LEFT JOIN a USING (p_name) LEFT JOIN b ON b.p_name = k.p_name AND b.p_brand = k.p_brand")
+@query("k10_linking_cascade", "WITH k AS (SELECT p_partkey, p_name, p_brand FROM part), a AS (SELECT p_name, min(p_partkey) AS t FROM part GROUP BY 1 HAVING count(*) = 1), b AS (SELECT p_name, p_brand, min(p_partkey) AS t FROM part GROUP BY 1, 2 HAVING count(*) = 1) SELECT k.p_partkey, coalesce(a.t, b.t) AS target FROM k LEFT JOIN a USING (p_name) LEFT JOIN b ON b.p_name = k.p_name AND b.p_brand = k.p_brand")
 def _(t):
-    k = t.part.filter("p_size < 15").select("p_partkey", "p_name", "p_brand")
+    k = t.part.select("p_partkey", "p_name", "p_brand")
     one = lambda keys, name: t.part.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias(name)).filter("n = 1").drop("n")
     j = k.join(one(["p_name"], "a"), "p_name", "left").join(one(["p_name", "p_brand"], "b"), ["p_name", "p_brand"], "left")
     return j.select("p_partkey", F.coalesce("a", "b").alias("target"))
@@ -285,10 +284,10 @@ def _(t):
     return t.documents.select("doc_id", d.alias("domain"))
 
 
-@query("k27_entity_resolution", "WITH p AS (SELECT DISTINCT p_name AS name FROM part), e AS (SELECT p_partkey AS uid, p_name AS name, p_brand FROM part WHERE p_partkey % 9 = 0), s1 AS (SELECT name, min(uid) AS uid FROM e GROUP BY 1 HAVING count(*) = 1), s2 AS (SELECT split_part(name, ' ', 2) AS tail, min(uid) AS uid FROM e GROUP BY 1 HAVING count(*) = 1) SELECT p.name, coalesce(s1.uid, s2.uid) AS uid, CASE WHEN s1.uid IS NOT NULL THEN 1 WHEN s2.uid IS NOT NULL THEN 2 END AS stage FROM p LEFT JOIN s1 USING (name) LEFT JOIN s2 ON s2.tail = split_part(p.name, ' ', 2)")
+@query("k27_entity_resolution", "WITH p AS (SELECT DISTINCT p_name AS name FROM part), e AS (SELECT p_partkey AS uid, p_name AS name, p_brand FROM part WHERE p_size > 49), s1 AS (SELECT name, min(uid) AS uid FROM e GROUP BY 1 HAVING count(*) = 1), s2 AS (SELECT split_part(name, ' ', 2) AS tail, min(uid) AS uid FROM e GROUP BY 1 HAVING count(*) = 1) SELECT p.name, coalesce(s1.uid, s2.uid) AS uid, CASE WHEN s1.uid IS NOT NULL THEN 1 WHEN s2.uid IS NOT NULL THEN 2 END AS stage FROM p LEFT JOIN s1 USING (name) LEFT JOIN s2 ON s2.tail = split_part(p.name, ' ', 2)")
 def _(t):
     names = t.part.select(F.col("p_name").alias("name")).distinct()
-    e = t.part.filter("p_partkey % 9 = 0").select(F.col("p_partkey").alias("uid"), F.col("p_name").alias("name"))
+    e = t.part.filter("p_size > 49").select(F.col("p_partkey").alias("uid"), F.col("p_name").alias("name"))
     tail = F.split_part("name", F.lit(" "), F.lit(2)).alias("tail")
     s1 = R.unique_match(names, e, "name", "uid").withColumnRenamed("uid", "u1")
     s2 = R.unique_match(s1.select("*", tail), e.select("uid", tail), "tail", "uid")
@@ -332,7 +331,7 @@ def _(t):
 
 @query("i16_text_diff")
 def _(t):
-    pairs = t.documents.filter("n_chars < 1500").select("doc_id", F.col("text").alias("old"), F.regexp_replace("text", "tion", "sion").alias("new"))
+    pairs = t.documents.select("doc_id", F.col("text").alias("old"), F.regexp_replace("text", "tion", "sion").alias("new"))
     return texts.diff_frame(pairs, "doc_id", "old", "new")
 
 
@@ -345,20 +344,20 @@ def _(t):
 # N: entity and hub pages
 
 
-@query("n1_entity_page", "SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS y, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS v FROM orders WHERE o_custkey IN (5, 6, 7) GROUP BY 1, 2, 3")
+@query("n1_entity_page", "SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS y, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2, 3")
 def _(t):
-    return t.orders.filter(F.col("o_custkey").isin(5, 6, 7)).groupBy("o_custkey", F.year("o_orderdate").alias("y"), "o_orderstatus").agg(n_rows().alias("n"), F.round(F.sum("o_totalprice"), 2).alias("v"))
+    return t.orders.groupBy("o_custkey", F.year("o_orderdate").alias("y"), "o_orderstatus").agg(n_rows().alias("n"), F.round(F.sum("o_totalprice"), 2).alias("v"))
 
 
-@query("n2_entity_documents", "SELECT l_suppkey, l_orderkey, min(l_returnflag) AS role FROM lineitem WHERE l_suppkey < 5 GROUP BY 1, 2")
+@query("n2_entity_documents", "SELECT l_suppkey, l_orderkey, min(l_returnflag) AS role FROM lineitem GROUP BY 1, 2")
 def _(t):
-    return t.lineitem.filter("l_suppkey < 5").groupBy("l_suppkey", "l_orderkey").agg(F.min("l_returnflag").alias("role"))
+    return t.lineitem.groupBy("l_suppkey", "l_orderkey").agg(F.min("l_returnflag").alias("role"))
 
 
-@query("n3_parties", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 1 ELSE 2 END, l_linestatus, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord FROM lineitem WHERE l_orderkey < 500")
+@query("n3_parties", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 1 ELSE 2 END, l_linestatus, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord FROM lineitem")
 def _(t):
     w = Window.partitionBy("l_orderkey").orderBy(F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "R", 1).otherwise(2), "l_linestatus", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return t.lineitem.filter("l_orderkey < 500").select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("ord"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("ord"))
 
 
 @query("n4_directory", "SELECT c_mktsegment, count(*) AS total, count(*) FILTER (n > 0) AS active FROM (SELECT c_custkey, c_mktsegment, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2) GROUP BY 1")
@@ -368,10 +367,10 @@ def _(t):
     return j.groupBy("c_mktsegment").agg(n_rows().alias("total"), F.count_if(F.col("n") > 0).alias("active"))
 
 
-@query("n5_document_detail", "SELECT o_orderkey, count(*) AS n_lines, array_to_string(list(l_partkey || ':' || l_linenumber ORDER BY l_linenumber, l_partkey), ' ') AS lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 300 GROUP BY 1")
+@query("n5_document_detail", "SELECT o_orderkey, count(*) AS n_lines, array_to_string(list(l_partkey || ':' || l_linenumber ORDER BY l_linenumber, l_partkey), ' ') AS lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def _(t):
-    li = t.lineitem.filter("l_orderkey < 300").select("l_orderkey", F.struct("l_linenumber", "l_partkey", F.concat_ws(":", "l_partkey", "l_linenumber").alias("s")).alias("x"))
-    j = t.orders.filter("o_orderkey < 300").join(li, F.col("o_orderkey") == F.col("l_orderkey"))
+    li = t.lineitem.select("l_orderkey", F.struct("l_linenumber", "l_partkey", F.concat_ws(":", "l_partkey", "l_linenumber").alias("s")).alias("x"))
+    j = t.orders.join(li, F.col("o_orderkey") == F.col("l_orderkey"))
     return j.groupBy("o_orderkey").agg(n_rows().alias("n_lines"), F.concat_ws(" ", F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"])).alias("lines"))
 
 
@@ -380,10 +379,10 @@ def _(t):
     return t.conversations.filter("turn = 0").select("conv_id", F.left("text", F.lit(120)).alias("head"))
 
 
-@query("n7_article_page", "SELECT p_partkey, count(DISTINCT l_orderkey) AS citing, min(l_shipdate) AS first_at, max(l_shipdate) AS last_at FROM part LEFT JOIN lineitem ON l_partkey = p_partkey WHERE p_partkey < 200 GROUP BY 1")
+@query("n7_article_page", "SELECT p_partkey, count(DISTINCT l_orderkey) AS citing, min(l_shipdate) AS first_at, max(l_shipdate) AS last_at FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1")
 def _(t):
-    li = t.lineitem.filter("l_partkey < 200").groupBy("l_partkey").agg(F.countDistinct("l_orderkey").alias("citing"), F.min("l_shipdate").alias("first_at"), F.max("l_shipdate").alias("last_at"))
-    return t.part.filter("p_partkey < 200").join(li, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", F.coalesce("citing", F.lit(0)).cast("long").alias("citing"), "first_at", "last_at")
+    li = t.lineitem.groupBy("l_partkey").agg(F.countDistinct("l_orderkey").alias("citing"), F.min("l_shipdate").alias("first_at"), F.max("l_shipdate").alias("last_at"))
+    return t.part.join(li, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", F.coalesce("citing", F.lit(0)).cast("long").alias("citing"), "first_at", "last_at")
 
 
 @query("n11_hub", "SELECT source, lang, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY 1, 2")

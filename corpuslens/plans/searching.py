@@ -182,10 +182,10 @@ def _(t):
     return t.spark.createDataFrame([(r.doc_id, found.get(r.doc_id) or r.text[:280] + "…") for r in page] or [(None, None)], "doc_id long, snippet string")
 
 
-@query("h22_rerank_merge", "WITH base AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents QUALIFY r <= 50), new AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS nr FROM base WHERE doc_id % 2 = 0) SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN nr IS NULL THEN 1 ELSE 0 END, nr, r) AS pos FROM base LEFT JOIN new USING (doc_id)")
+@query("h22_rerank_merge", "WITH base AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents QUALIFY r <= 50), new AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS nr FROM base JOIN documents USING (doc_id) WHERE lang = 'fr') SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN nr IS NULL THEN 1 ELSE 0 END, nr, r) AS pos FROM base LEFT JOIN new USING (doc_id)")
 def _(t):
     base = t.documents.orderBy(F.desc("n_chars"), "doc_id").limit(50).select("doc_id", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).alias("r"))
-    new = base.filter("doc_id % 2 = 0").select("doc_id", F.row_number().over(Window.orderBy("doc_id")).alias("nr"))
+    new = base.join(t.documents.filter("lang = 'fr'"), "doc_id", "left_semi").select("doc_id", F.row_number().over(Window.orderBy("doc_id")).alias("nr"))
     return base.join(new, "doc_id", "left").select("doc_id", F.row_number().over(Window.orderBy(F.col("nr").isNull(), "nr", "r")).cast("long").alias("pos"))
 
 
