@@ -80,6 +80,13 @@ def identity_key(x: Column) -> Column:
     return F.when(F.lower(t) == "premier", F.lit("1")).otherwise(article_key(bare))
 
 
+def normalise_article(x: Column) -> Column:
+    """A cited number in one spelling: plain dashes, no blanks around dots and dashes between digits, no trailing marks."""
+    t = F.translate(F.trim(x), "‐‑‒–—−", "------")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?<=[0-9])\s*-\s*(?=[0-9])", "-"), r"(?<=[0-9])\s*\.\s*(?=[0-9])", ".")
+    return F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"[\s.,;:)\-]+$", "")
+
+
 def display_key(x: Column) -> Column:
     """l761-1 as L. 761-1; other keys as they are."""
     prefix = F.regexp_extract(x, r"^(\**)(lo|lp|l|r|d|a)[0-9]", 2)

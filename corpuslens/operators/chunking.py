@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import bisect
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,32 +32,40 @@ def candidates(text: str) -> tuple[list[int], list[float]]:
     return places, [best[p] for p in places]
 
 
-def chunk(text: str, header: str = "", chunk_tokens: int = 8192, overlap_min: int = 125, overlap_max: int = 250, balance: float = 100.0) -> list[tuple[int, int, int]]:
-    """(char_start, char_end, ctx_start) of each chunk: bodies tile the text, contexts reach back from their start."""
-    budget, size = int(chunk_tokens * SAFE_CHARS), len(text)
-    low, high = int(overlap_min * MEDIAN_CHARS), int(overlap_max * MEDIAN_CHARS)
-    first = len(header) + 2
+def chunk(text: str, header: str = "", chunk_tokens: int = 8192, overlap_min: int = 125, overlap_max: int = 250, balance: float = 100.0, measure: Callable[[int], int] | None = None) -> list[tuple[int, int, int]]:
+    """(char_start, char_end, ctx_start) of each chunk: bodies tile the text, contexts reach back from their start.
+
+    Sizes are characters at the safe rate, or what ``measure`` says: the number of tokens before a place.
+    """
+    at = measure or (lambda place: place)
+    rate, overlap_rate = (1.0, 1.0) if measure else (SAFE_CHARS, MEDIAN_CHARS)
+    budget, size = int(chunk_tokens * rate), at(len(text))
+    low, high = int(overlap_min * overlap_rate), int(overlap_max * overlap_rate)
+    first = (len(header) + 2) if measure is None else len(header) // 3 + 2
     if budget - first >= size:
-        return [(0, size, 0)]
+        return [(0, len(text), 0)]
     places, penalty = candidates(text)
+    units = [at(p) for p in places]
     # the best context start of each cut: the lowest penalty in its reach, nearest to the middle
     target = (low + high) // 2
     context: list[tuple[float, int]] = []
-    for q in places:
-        lo, hi = bisect.bisect_left(places, max(0, q - high)), bisect.bisect_right(places, max(0, q - low))
-        reach = [(penalty[k], abs(q - places[k] - target), places[k]) for k in range(lo, hi)]
-        context.append((min(reach)[0], min(reach)[2]) if reach else (math.inf, q))
+    for q in units:
+        lo, hi = bisect.bisect_left(units, max(0, q - high)), bisect.bisect_right(units, max(0, q - low))
+        reach = [(penalty[k], abs(q - units[k] - target), k) for k in range(lo, hi)]
+        context.append((min(reach)[0], min(reach)[2]) if reach else (math.inf, 0))
     least = max(2, math.ceil(size / budget))
     for n in range(least, least + 51):
         even = (size + first + (n - 1) * (first + target)) / n
-        plan = _plan(places, penalty, context, n, even, budget, first, balance)
+        plan = _plan(units, penalty, context, n, even, budget, first, balance)
         if plan:
-            return plan
-    return [(s, min(s + budget // 2, size), s) for s in range(0, size, budget // 2)]  # a text without separators
+            return [(places[i], places[j], places[k]) for i, j, k in plan]
+    step = max(1, len(text) * budget // (2 * size))  # a text without separators
+    return [(s, min(s + step, len(text)), s) for s in range(0, len(text), step)]
 
 
-def _plan(places, penalty, context, n, even, budget, first, balance):
-    last = len(places) - 1
+def _plan(units, penalty, context, n, even, budget, first, balance):
+    """Numbers of the candidates (start, end, context start) of the cheapest n chunks."""
+    last = len(units) - 1
     best: list[dict[int, tuple[float, int]]] = [{0: (0.0, -1)}]
     for k in range(n):
         nxt: dict[int, tuple[float, int]] = {}
@@ -65,10 +73,9 @@ def _plan(places, penalty, context, n, even, budget, first, balance):
             ctx_cost, ctx = (0.0, 0) if i == 0 else context[i]
             if ctx_cost == math.inf:
                 continue
-            top = bisect.bisect_right(places, ctx + budget - first)
-            ends = [last] if k == n - 1 else range(i + 1, min(top, last))
-            for j in ends:
-                length = places[j] - ctx + first
+            top = bisect.bisect_right(units, units[ctx] + budget - first)
+            for j in [last] if k == n - 1 else range(i + 1, min(top, last)):
+                length = units[j] - units[ctx] + first
                 if length > budget or j <= i:
                     continue
                 c = cost + balance * ((length - even) / budget) ** 2 + penalty[j] + balance / 100 * ctx_cost
@@ -82,7 +89,13 @@ def _plan(places, penalty, context, n, even, budget, first, balance):
         j = best[k][j][1]
         cuts.append(j)
     cuts.reverse()
-    return [(places[a], places[b], places[a] if a == 0 else context[a][1]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [(a, b, 0 if a == 0 else context[a][1]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def chunk_by_tokens(text: str, tokenizer, **options) -> list[tuple[int, int, int]]:
+    """Chunks measured by a tokenizer of the tokenizers library."""
+    ends = [e for _, e in tokenizer.encode(text, add_special_tokens=False).offsets]
+    return chunk(text, measure=lambda place: bisect.bisect_right(ends, place), **options)
 
 
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = 8192, overlap_min: int = 125, overlap_max: int = 250) -> DataFrame:

@@ -112,3 +112,17 @@ def assign_slugs(titles: DataFrame, key: str, base: str, date: str) -> DataFrame
     rows = titles.withColumn("_s", F.when(alone, F.col(base)).otherwise(dated))
     n = F.row_number().over(w("_s").orderBy(key))
     return rows.withColumn("slug", F.when(n == 1, F.col("_s")).otherwise(F.concat_ws("-", F.col("_s"), n.cast("string")))).drop("_s")
+
+
+def better_cased(a: str, b: str) -> str:
+    """Of two spellings that differ in case, the one that is neither all capitals nor all small; else the first."""
+    mixed = [x for x in (a, b) if x != x.upper() and x != x.lower()]
+    return mixed[0] if mixed else a
+
+
+def without_prefix_variants(values: list[str]) -> list[str]:
+    """Values in their order, without those that another one continues (whole words, whatever the case)."""
+    best: dict[str, str] = {}
+    for v in values:
+        best[v.casefold()] = better_cased(best[v.casefold()], v) if v.casefold() in best else v
+    return [v for k, v in best.items() if not any(o != k and o.startswith(k + " ") for o in best)]

@@ -165,3 +165,37 @@ def sparql_rows(responses: DataFrame, column: str, names: list[str]) -> DataFram
     schema = f"results struct<bindings:array<struct<{', '.join(f'{n}:struct<value:string>' for n in names)}>>>"
     parsed = F.from_json(column, schema)
     return responses.select(F.explode(parsed["results"]["bindings"]).alias("b")).select(*[F.col(f"b.{n}.value").alias(n) for n in names])
+
+
+# Element paths of the published XML of law articles and of decisions.
+ARTICLE_PATHS = {
+    "uid": "META/META_COMMUN/ID",
+    "num": "META/META_SPEC/META_ARTICLE/NUM",
+    "etat": "META/META_SPEC/META_ARTICLE/ETAT",
+    "date_debut": "META/META_SPEC/META_ARTICLE/DATE_DEBUT",
+    "date_fin": "META/META_SPEC/META_ARTICLE/DATE_FIN",
+    "text_uid": "CONTEXTE/TEXTE",
+    "body": "BLOC_TEXTUEL/CONTENU",
+}
+DECISION_PATHS = {
+    "source_uid": "META/META_COMMUN/ID",
+    "title": "META/META_SPEC/META_JURI/TITRE",
+    "date_lecture": "META/META_SPEC/META_JURI/DATE_DEC",
+    "jurisdiction": "META/META_SPEC/META_JURI/JURIDICTION",
+    "number": "META/META_SPEC/META_JURI/NUMERO",
+    "full_text": "TEXTE/BLOC_TEXTUEL/CONTENU",
+}
+
+
+def law_articles(members: DataFrame) -> DataFrame:
+    """Article versions with their keys; the far-future end of a version in force is null."""
+    from corpuslens.functions.text import identity_key
+
+    r = xml_fields(members, ARTICLE_PATHS).filter("ok AND uid IS NOT NULL")
+    end = F.try_to_date("date_fin")
+    return r.select("uid", "num", identity_key(F.col("num")).alias("num_key"), "etat", F.try_to_date("date_debut").alias("date_debut"), F.when(F.year(end) < 2999, end).alias("date_fin"), "body")
+
+
+def decisions_from_xml(members: DataFrame) -> DataFrame:
+    r = xml_fields(members, DECISION_PATHS).filter("ok AND source_uid IS NOT NULL")
+    return r.select("source_uid", "title", "jurisdiction", F.try_to_date("date_lecture").alias("date_lecture"), F.filter(F.transform(F.split("number", ","), lambda n: F.trim(n)), lambda n: n != "").alias("docket_numbers"), "full_text")

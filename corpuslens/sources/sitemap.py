@@ -40,3 +40,9 @@ def write_sitemaps(urls: DataFrame, base: str, most: int = MOST) -> DataFrame:
         return pd.DataFrame({"file": [key[0]], "body": [sitemap_xml(list(zip(frame["loc"], frame["lastmod"].astype(str), strict=True)), base)]})
 
     return numbered_files(urls, most).groupBy("file").applyInPandas(run, "file long, body binary")
+
+
+def push_payloads(urls: DataFrame, key: str, host: str, most: int = 10_000) -> DataFrame:
+    """file, payload: JSON messages of at most ``most`` URLs each, for search engines that take pushed changes."""
+    listed = numbered_files(urls, most).groupBy("file").agg(F.array_sort(F.collect_list(F.concat(F.lit(f"https://{host}"), "loc"))).alias("urlList"))
+    return listed.select("file", F.to_json(F.struct(F.lit(host).alias("host"), F.lit(key).alias("key"), "urlList")).alias("payload"))

@@ -59,3 +59,7 @@ def test_trigram_similarity(spark):
 def test_vectors(spark):
     row = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0])], "a array<float>, b array<float>").select(V.norm(F.col("a")).alias("n"), V.cosine(F.col("a"), F.col("b")).alias("c"), V.literal(V.normalise(F.col("a"))).alias("l")).first()
     assert row.n == 5.0 and abs(row.c - 0.96) < 1e-9 and row.l == "[0.600000,0.800000]"
+
+
+def test_cited_numbers(spark):
+    assert one(spark, " L. 225 – 1 .", X.normalise_article) == "L. 225-1" and one(spark, "12 . 3);", X.normalise_article) == "12.3"

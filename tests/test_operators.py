@@ -73,3 +73,19 @@ def test_triage_modes(spark):
     state = spark.createDataFrame([(1, "a", True), (2, "x", True)], "uid long, sum string, vec boolean")
     act = lambda **k: {r.uid: r.action for r in ingest.triage(batch, state, "uid", "sum", "vec", **k).collect()}
     assert act() == {1: "skip", 2: "update", 3: "write"} and act(force=True) == {1: "update", 2: "update", 3: "write"}
+
+
+def test_chunks_by_tokens():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    words = Tokenizer(models.WordLevel({"[UNK]": 0}, unk_token="[UNK]"))
+    words.pre_tokenizer = pre_tokenizers.Whitespace()
+    text = "Une phrase de mots. " * 200
+    chunks = chunking.chunk_by_tokens(text, words, chunk_tokens=128, overlap_min=4, overlap_max=24)
+    assert chunks[0][0] == 0 and chunks[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(chunks, chunks[1:], strict=False))
+    assert all(len(words.encode(text[c:e]).ids) <= 128 for _, e, c in chunks)
+
+
+def test_spellings():
+    assert texts.without_prefix_variants(["DUPONT", "Dupont", "Dupont Jean", "Martin"]) == ["Dupont Jean", "Martin"]
+    assert texts.better_cased("DUPONT", "Dupont") == "Dupont"

@@ -89,3 +89,22 @@ def test_sitemaps(spark):
     files = sitemap.write_sitemaps(urls, "https://x.test", most=10).orderBy("file").collect()
     assert [gzip.decompress(bytes(r.body)).count(b"<loc>") for r in files] == [10, 10, 5]
     assert sitemap.sitemap_xml([("/a&b", "2020-01-01")], "h") == sitemap.sitemap_xml([("/a&b", "2020-01-01")], "h")
+
+
+def test_published_xml(spark, tmp_path):
+    meta = "<META><META_COMMUN><ID>A1</ID></META_COMMUN><META_SPEC><META_ARTICLE><NUM>L. 1-2</NUM><ETAT>VIGUEUR</ETAT><DATE_DEBUT>2020-01-01</DATE_DEBUT><DATE_FIN>2999-01-01</DATE_FIN></META_ARTICLE></META_SPEC></META>"
+    juri = "<META><META_COMMUN><ID>J1</ID></META_COMMUN><META_SPEC><META_JURI><TITRE>T</TITRE><DATE_DEC>2021-05-06</DATE_DEC><NUMERO>1, 2</NUMERO></META_JURI></META_SPEC></META>"
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("a.xml", f"<ARTICLE>{meta}<BLOC_TEXTUEL><CONTENU><p>Corps</p></CONTENU></BLOC_TEXTUEL></ARTICLE>")
+        z.writestr("j.xml", f"<TEXTE_JURI>{juri}</TEXTE_JURI>")
+    members = archives.zip_members(spark, str(tmp_path))
+    a = archives.law_articles(members).filter("uid = 'A1'").first()
+    assert (a.num_key, a.date_fin, a.body, str(a.date_debut)) == ("l1-2", None, "Corps", "2020-01-01")
+    d = archives.decisions_from_xml(members).filter("source_uid = 'J1'").first()
+    assert d.docket_numbers == ["1", "2"] and str(d.date_lecture) == "2021-05-06"
+
+
+def test_push_payloads(spark):
+    urls = spark.createDataFrame([(f"/p/{k}", "2020-01-01") for k in range(5)], "loc string, lastmod string")
+    rows = sitemap.push_payloads(urls, "k", "x.test", most=2).orderBy("file").collect()
+    assert [len(json.loads(r.payload)["urlList"]) for r in rows] == [2, 2, 1]
