@@ -136,10 +136,10 @@ def parse(html: str) -> list[tuple[_Element, int, str]]:
         if raw:
             nodes.append((here, block, entities.unescape(raw)))
 
-    size = len(html)
+    size, last = len(html), html.rfind(">")
     while at < size:
         lt = html.find("<", at)
-        if lt < 0:
+        if lt < 0 or (lt > last and not html.startswith("<!--", lt)):  # no tag begins there
             text(html[at:])
             break
         m = _TOKEN.match(html, lt)
