@@ -40,15 +40,36 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame, mark: str) -> DataFrame:
-    """``docs`` with a row number in column ``mark``, staged.
+def identified(docs: DataFrame, id_col: str, mark: str) -> DataFrame:
+    """``docs`` with a column ``mark`` of distinct whole numbers that stay the same from scan to scan.
 
-    Numbers come from the scan's partitions, and another scan may be cut otherwise when executors come and
-    go; so rows are numbered once and read back from there.
+    Ids that are distinct and whole serve as they are. Otherwise rows are numbered once and staged: numbers
+    come from the scan's partitions, and another scan may be cut otherwise when executors come and go.
     """
+    if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        rows, ids = docs.agg(F.count(F.lit(1)), F.countDistinct(F.col(f"`{id_col}`"))).first()
+        if rows == ids:
+            return docs.withColumn(mark, F.col(f"`{id_col}`").cast("long"))
     return staged(docs.withColumn(mark, F.monotonically_increasing_id()), "rows")
 
 
+#: Rows of a column of numbers that may be broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def if_small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A staged table of keys, marked for broadcast if it has at most ``rows`` rows; a shuffle join serves others."""
+    return F.broadcast(keys) if keys.count() <= rows else keys
+
+
+def discard(spark: SparkSession, df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/corpuslens/" in path:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A to Z only. Pure ASCII strings take the JVM's fast path, with the same result."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(

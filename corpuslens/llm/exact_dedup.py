@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import ascii_lower, numbered, staged
+from corpuslens.llm.common import ascii_lower, identified, if_small, staged
 
 #: A digest held by more than one row in HOT_SHARE is joined by broadcast; at most HOT_SHARE such digests can exist.
 HOT_SHARE = 1000
@@ -74,7 +74,7 @@ def dedup_rows(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text
     own = staged(digests(docs, id_col, text_col, row_col), "digests")
     keyed = own.withColumn("keep", F.struct("id", "row"))
     low, high, total = own.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
-    edges = [low + (high - low) * k // rounds for k in range(rounds - 1, 0, -1)] if low is not None else []
+    edges = [low + (high - low) * k // rounds for k in range(rounds - 1, 0, -1)] if isinstance(low, int) else []
     above = None
     for edge in [*edges, None]:
         block = keyed if above is None else keyed.filter((F.col("id") < above) | F.col("id").isNull())
@@ -107,6 +107,6 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``docs`` without the rows that ``exact_dedup`` drops."""
     index = index or DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
     mark = f"row_{uuid.uuid4().hex}"
-    rows = numbered(docs, mark)
+    rows = identified(docs, id_col, mark)
     lost = dedup_rows(rows, index, id_col, text_col, row_col=mark).filter(F.col("keep.row") != F.col("row"))
-    return rows.join(lost.select(F.col("row").alias(mark)), mark, "left_anti").drop(mark)
+    return rows.join(if_small(staged(lost.select(F.col("row").alias(mark)), "lost")), mark, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,7 +28,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import numbered, staged
+from corpuslens.llm.common import identified, staged
 
 BLOCK_ROWS, PART_ROWS, RESOLUTION = 32, 2000, 1000
 
@@ -141,6 +141,7 @@ def positions(docs: DataFrame, weights: dict | None = None, block_rows: int = BL
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """``docs`` in mixed order: partitions follow each other by position, and so do the files written from them."""
     at, row = (f"{x}_{uuid.uuid4().hex}" for x in ("position", "row"))
-    rows = numbered(docs, row)
+    rows = identified(docs, options.get("id_col", "doc_id"), row)
     place = positions(rows, row_col=row, **options).select(F.col("row").alias(row), F.col("position").alias(at))
-    return rows.join(staged(place, "positions"), row).drop(row).repartitionByRange(at).sortWithinPartitions(at).drop(at)
+    placed = rows.join(staged(place, "positions"), row).select(*[F.col(f"`{c}`") for c in [*docs.columns, at]])
+    return placed.repartitionByRange(at).sortWithinPartitions(at).drop(at)

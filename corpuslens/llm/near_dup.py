@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import numbered, staged
+from corpuslens.llm.common import discard, identified, if_small, staged
 
 N, THRESHOLD = 5, 0.8
 #: MinHash values; band keys, each of ROWS values chosen at random among them. With f of the values equal, a pair
@@ -271,6 +271,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = staged(edges, "edges")
+    spark = links.sparkSession
     state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = state(edges)
     while True:
@@ -280,7 +281,8 @@ def components(links: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(down, "a")
         small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).distinct()
-        edges = staged(small, "edges")
+        older, edges = edges, staged(small, "edges")
+        discard(spark, older)
         now = state(edges)
         if now == before:
             roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -292,7 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """row, id, class_id (least id of its component of links), rep_id (least id with its shingle set), n_links."""
     if row_col is None:
         row_col = f"row_{uuid.uuid4().hex}"
-        docs = numbered(docs.select(id_col, text_col), row_col)
+        docs = identified(docs.select(id_col, text_col), id_col, row_col)
     texts = docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketches = staged(_sketches(texts), "sketches")
     rows = sketches.select("row", "id", "print")
@@ -313,7 +315,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weights = weights.join(classes.select(F.col("rep").alias("node"), "copies"), "node")
     total = clusters.join(banded.select(F.col("rep").alias("node"), "size"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("shingles"))
     weights = staged(weights.join(total, "root"), "members")
-    sets = weights.withColumnRenamed("node", "rep").join(texts.select(F.col("row").alias("rep"), "text"), "rep")
+    wanted = if_small(weights.select(F.col("node").alias("rep")))
+    sets = weights.withColumnRenamed("node", "rep").join(texts.select(F.col("row").alias("rep"), "text").join(wanted, "rep", "left_semi"), "rep")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,9 +350,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of linked rows: that of the least id (then the first in scan order)."""
     mark = f"row_{uuid.uuid4().hex}"
-    rows = numbered(docs, mark)
+    rows = identified(docs, id_col, mark)
     found = staged(near_duplicates(rows, id_col, text_col, row_col=mark), "near")
     order = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("k"), F.col("row").alias("r"))
     kept = found.groupBy("root").agg(F.min(order).alias("m"))
-    lost = found.select("row").join(kept.select(F.col("m.r").alias("row")), "row", "left_anti")
-    return rows.join(lost.withColumnRenamed("row", mark), mark, "left_anti").drop(mark)
+    lost = staged(found.select("row").join(kept.select(F.col("m.r").alias("row")), "row", "left_anti").withColumnRenamed("row", mark), "lost")
+    discard(docs.sparkSession, found)
+    return rows.join(if_small(lost), mark, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

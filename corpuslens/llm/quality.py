@@ -155,25 +155,42 @@ def base_failed(f: Column) -> Column:
     return (f["n_words"] < 10) | (100 * f["n_repeat_words"] > 20 * f["n_words"])
 
 
-def judged(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, mark: str = "quality") -> DataFrame:
-    """``docs`` (or its columns ``keep``) with a struct ``mark``: f (counts), v (votes), posterior, base_failed, kept.
-
-    The counted rows are staged once: the pattern counts and the verdicts both read them.
-    """
+def _voted(docs: DataFrame, text_col: str, keep: list[str], mark: str) -> DataFrame:
     f = F.col(mark)
-    counted = docs.select(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)], features(F.col(f"`{text_col}`")).alias(mark))
+    counted = docs.select(*[F.col(f"`{c}`") for c in keep], features(F.col(f"`{text_col}`")).alias(mark))
     cast = votes(f)
-    voted = counted.withColumn(mark, F.struct(f.alias("f"), F.array(*[cast[r] for r in RULES]).alias("v")))
-    own = staged(voted, "votes")
-    patterns = own.groupBy(F.col(f"{mark}.v").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    model = staged(fit(patterns), "model").select(F.col("v").alias(f"{mark}_v"), F.col("posterior").alias(f"{mark}_p"))
-    joined = own.join(F.broadcast(model), F.col(f"{mark}.v") == F.col(f"{mark}_v"))
+    return counted.withColumn(mark, F.struct(f.alias("f"), F.array(*[cast[r] for r in RULES]).alias("v")))
+
+
+def _model(voted: DataFrame, mark: str) -> DataFrame:
+    patterns = voted.groupBy(F.col(f"{mark}.v").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return staged(fit(patterns), "model").select(F.col("v").alias(f"{mark}_v"), F.col("posterior").alias(f"{mark}_p"))
+
+
+def _verdicts(voted: DataFrame, model: DataFrame, mark: str) -> DataFrame:
+    joined = voted.join(F.broadcast(model), F.col(f"{mark}.v") == F.col(f"{mark}_v"))
     failed = base_failed(F.col(f"{mark}.f"))
     verdict = F.struct(F.col(f"{mark}.f").alias("f"), F.col(f"{mark}.v").alias("v"), F.col(f"{mark}_p").alias("posterior"), failed.alias("base_failed"), (~failed & (F.col(f"{mark}_p") >= 0.5)).alias("kept"))
     return joined.withColumn(mark, verdict).drop(f"{mark}_v", f"{mark}_p")
 
 
+def judged(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, mark: str = "quality") -> DataFrame:
+    """``docs`` (or its columns ``keep``) with a struct ``mark``: f (counts), v (votes), posterior, base_failed, kept.
+
+    The counted rows are staged once: the pattern counts and the verdicts both read them.
+    """
+    own = staged(_voted(docs, text_col, docs.columns if keep is None else keep, mark), "votes")
+    return _verdicts(own, _model(own, mark), mark)
+
+
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that the model or the base test rejects."""
+    """``docs`` without the rows that the model or the base test rejects.
+
+    Votes are taken twice, to fit the model and to judge: texts are neither copied nor shuffled.
+    """
     mark = f"quality_{uuid.uuid4().hex}"
-    return judged(docs, text_col, mark=mark).filter(F.col(f"{mark}.kept")).drop(mark)
+    voted = _voted(docs, text_col, docs.columns, mark)
+    good = _model(voted, mark).filter(F.col(f"{mark}_p") >= 0.5).select(F.struct(F.col(f"{mark}_v").alias("v"), F.lit(False).alias("failed")).alias(mark))
+    # one key of votes and base test: a filter on either would be pushed down and count every text again
+    keyed = voted.withColumn(mark, F.struct(F.col(f"{mark}.v").alias("v"), base_failed(F.col(f"{mark}.f")).alias("failed")))
+    return keyed.join(F.broadcast(good), mark, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
