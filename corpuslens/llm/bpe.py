@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 
 #: The split pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words, and pieces of words, that a worker keeps; a full table is emptied.
-KEEP_WORDS, KEEP_PIECES = 400_000, 500_000
+#: Words, and pieces of words, in a worker's young table. A full one becomes the old one, whose entries come
+#: back when they are used; so what is frequent stays, and at most twice as many are held.
+KEEP_WORDS, KEEP_PIECES = 250_000, 450_000
 _NONE = 1 << 62
 
 
@@ -114,36 +115,42 @@ class ByteBPE:
         self.find = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words: dict[str, tuple[bytes, str]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.old_words: dict[str, tuple[bytes, str]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            table = self.byte_ids
-            ids = merge_symbols([table[b] for b in piece.encode()], self.merges)
+            ids = self.old_pieces.get(piece)
+            if ids is None:
+                table = self.byte_ids
+                ids = array("I", merge_symbols([table[b] for b in piece.encode()], self.merges)).tobytes()
             if len(piece) <= 64:
                 if len(self.pieces) >= KEEP_PIECES:
-                    self.pieces.clear()
+                    self.old_pieces, self.pieces = self.pieces, {}
                 self.pieces[piece] = ids
         return ids
 
     def word(self, word: str) -> tuple[bytes, str]:
         """Ids of a stretch of text that the pattern splits by itself: as 32-bit numbers, and as decimals."""
-        ids = [i for p in self.find(word) for i in self.piece(p)]
-        out = array("I", ids).tobytes(), ",".join(map(str, ids))
+        out = self.old_words.get(word)
+        if out is None:
+            ids = b"".join(map(self.piece, self.find(word)))
+            out = ids, ",".join(map(str, array("I", ids)))
         if len(word) <= 64:
             if len(self.words) >= KEEP_WORDS:
-                self.words.clear()
+                self.old_words, self.words = self.words, {}
             self.words[word] = out
         return out
 
     def _ordinary(self, text: str) -> list[tuple[bytes, str]]:
-        words = self.words
-        out = []
-        for w in stretches(text):
-            got = words.get(w)
-            out.append(self.word(w) if got is None else got)
-        return out
+        parts = stretches(text)
+        got = list(map(self.words.get, parts))
+        if None in got:
+            word = self.word
+            got = [word(w) if g is None else g for w, g in zip(parts, got, strict=True)]
+        return got
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """Ids of a text as little-endian 32-bit numbers and as decimals joined by commas."""
