@@ -43,29 +43,49 @@ _NOTHING: tuple[set[str], set[str]] = (set(), set())
 #: Elements that serve the page rather than the article.
 _SERVICE = frozenset("nav aside footer form button select dialog menu search input label object audio video canvas".split())
 _SERVICE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_SERVICE_NAMES = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
+_NAMES = (
+    r"(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
     r"sidebar|side-bar|aside|rail|widget\w*|menu|nav|navbar|navigation|breadcrumbs?|toc|pagination|pager|footer|site-?header|page-?header|masthead|topbar|toolbar|skip-?link|share|sharing|social|"
-    r"related|recommend\w*|more-?(?:stories|posts|links)|trending|popular|comments?|commentlist|comment-\w+|disqus|replies|respond|feedback|tags|byline-?box|copyright|legal|disclaimer)(?:$|[\s_-])"
+    r"related|recommend\w*|more-?(?:stories|posts|links)|trending|popular|comments?|commentlist|comment-\w+|disqus|replies|respond|feedback|tags|byline-?box|copyright|legal|disclaimer)"
 )
+_NAMES_WITHIN = re.compile(rf"(?i)(?:^|[\s_-]){_NAMES}(?:$|[\s_-])")
+_NAMES_WHOLE = re.compile(rf"(?i)(?:^|\s){_NAMES}(?:$|\s)")
+#: Elements whose name may mark them as service; headings and text blocks never are. Table parts count outside the article only.
+_NAMEABLE = frozenset("center details div dl fieldset figure header menu ol section table ul".split())
+_NAMEABLE_OUTSIDE = _NAMEABLE | {"tbody", "td", "tr"}
 #: Elements whose descendants know that they are inside.
 _MARKED = frozenset(("a", "li", "article", "main"))
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；：]")
 _DIGITS = re.compile(r"[0-9]+")
 
 
+def _named(tag: str, classes: str, ids: str, inside: bool) -> bool:
+    """Whether the names are those of a service part.
+
+    Ids count as whole words only, and those of sections not at all: they are often slugs of headings
+    ("related-work"). Inside the article element the same holds for classes.
+    """
+    if tag not in (_NAMEABLE if inside else _NAMEABLE_OUTSIDE):
+        return False
+    return bool((_NAMES_WHOLE if inside else _NAMES_WITHIN).search(classes) or (tag != "section" and _NAMES_WHOLE.search(ids)))
+
+
 class _Element:
     __slots__ = ("depth", "holds", "inside", "named", "parent", "path", "service", "tag")
 
     def __init__(self, tag: str, parent: _Element | None, attrs: str = ""):
         self.tag, self.parent = tag, parent
-        names = role = ""
+        names = classes = ids = role = ""
         hidden = False
         if attrs:
             for name, a, b, c in _ATTR.findall(attrs):
                 name = name.lower()
                 if name in ("class", "id"):
                     names += " " + (a or b or c)
+                    if name == "class":
+                        classes += " " + (a or b or c)
+                    else:
+                        ids += " " + (a or b or c)
                 elif name == "role":
                     role = (a or b or c).lower()
                 hidden |= name == "aria-hidden" and (a or b or c) == "true"
@@ -73,7 +93,7 @@ class _Element:
         self.path = hash((parent.path if parent else 0, tag, _DIGITS.sub("", names.split()[0]) if names.split() else ""))
         above = parent.inside if parent else frozenset()
         self.service = tag in _SERVICE or (tag == "header" and not above & {"article", "main"}) or role in _SERVICE_ROLES or hidden
-        self.named = tag not in ("html", "body", "article", "main") and bool(names) and bool(_SERVICE_NAMES.search(names))
+        self.named = bool(names) and _named(tag, classes, ids, bool(above & {"article", "main"}))
         self.inside = above | {tag} if tag in _MARKED and tag not in above else above  # itself included
         self.holds = False  # an article or main element
         if tag in ("article", "main"):

@@ -80,6 +80,16 @@ def test_layouts_named_after_their_service_parts():
     assert main_text.main_text(html) == "Long text, with commas, and so on. More of it, and more."
 
 
+def test_slugs_of_headings_are_not_service_names():
+    slugs = ("legal-basis", "related-work", "popular-culture", "social-impact", "share-of-votes", "copyright-law", "notice-period", "Legal_disputes", "legal")
+    for wrap in ("<article>%s</article>", "<div>%s</div>"):
+        for slug in slugs:
+            html = wrap % f'<p>Opening words, and more of them, as it goes.</p><section id="{slug}"><h2 id="{slug}">Head</h2><p class="{slug}">Some text, of the part.</p></section>'
+            assert main_text.main_text(html) == "Opening words, and more of them, as it goes.\nHead\nSome text, of the part.", (wrap, slug)
+    html = '<article><p>Opening words, and more of them, as it goes.</p><div class="social-impact"><p>Kept, too.</p></div><div class="x ad"><p>Buy.</p></div><div id="comments"><p>Nice.</p></div></article>'
+    assert main_text.main_text(html) == "Opening words, and more of them, as it goes.\nKept, too."
+
+
 def test_odd_html():
     assert main_text.main_text(None) == main_text.main_text("") == main_text.main_text("<p></p>") == main_text.main_text("<script>x") == main_text.main_text("<!-- open") == ""
     assert main_text.main_text("a < b & c") == "a < b & c"
