@@ -54,7 +54,7 @@ _NAMES_WHOLE = re.compile(rf"(?i)(?:^|\s){_NAMES}(?:$|\s)")
 _NAMEABLE = frozenset("center details div dl fieldset figure header menu ol section table ul".split())
 _NAMEABLE_OUTSIDE = _NAMEABLE | {"tbody", "td", "tr"}
 #: Elements whose descendants know that they are inside.
-_MARKED = frozenset(("a", "li", "article", "main"))
+_MARKED = frozenset(("article", "main"))
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；：]")
 _DIGITS = re.compile(r"[0-9]+")
 
@@ -274,7 +274,6 @@ def main_text(html: str | None) -> str:
     if root is None:
         return ""
     blocks: dict[int, list[str]] = {}
-    linked: dict[int, bool] = {}
     within: dict[_Element | None, bool] = {root: True, None: False}
     for e, b, t in nodes:
         chain = []
@@ -285,11 +284,7 @@ def main_text(html: str | None) -> str:
         within.update((c, within[x]) for c in chain)
         if within[e] and not service[e]:
             blocks.setdefault(b, []).append(t)
-            if t.strip():
-                linked[b] = linked.get(b, True) and {"a", "li"} <= e.inside
-    lists = [b for b, only in linked.items() if only]
-    drop = set(lists) if len(lists) >= 3 else set()  # a list of links is a menu
-    lines = (" ".join("".join(parts).split()) for b, parts in blocks.items() if b not in drop)
+    lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(x for x in lines if x)
 
 

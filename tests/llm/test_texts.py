@@ -90,6 +90,16 @@ def test_slugs_of_headings_are_not_service_names():
     assert main_text.main_text(html) == "Opening words, and more of them, as it goes.\nKept, too."
 
 
+def test_lists_of_links_belong_to_the_article():
+    text = "<p>Opening words, and more of them, as it goes.</p>"
+    items = [f"<li><a href={k}>Source {k}</a></li>" for k in range(4)]
+    want = "Opening words, and more of them, as it goes.\n" + "\n".join(f"Source {k}" for k in range(4))
+    assert main_text.main_text(f"<article>{text}<h2>Sources</h2><ul>{''.join(items)}</ul></article>") == want.replace("\n", "\nSources\n", 1)
+    assert main_text.main_text(f"<article>{text}{''.join(f'<ul>{x}</ul>' for x in items)}</article>") == want
+    for menu in ("<nav><ul>%s</ul></nav>", "<ul role=navigation>%s</ul>", "<ul class=menu>%s</ul>"):
+        assert main_text.main_text(f"<ul>{''.join(items)}</ul><article>{menu % ''.join(items)}{text}</article>") == want.split("\n")[0]
+
+
 def test_odd_html():
     assert main_text.main_text(None) == main_text.main_text("") == main_text.main_text("<p></p>") == main_text.main_text("<script>x") == main_text.main_text("<!-- open") == ""
     assert main_text.main_text("a < b & c") == "a < b & c"
