@@ -3,8 +3,8 @@
 Each text node belongs to a root-to-leaf tag path. Per path the page's text length and punctuation are
 summed and divided by the path's number of nodes; both ratios are smoothed along the page, fused by
 multiplication, and nodes at or above half the standard deviation are content. The element that holds the
-content (the article or main element, or else the smallest container with three quarters of it) is the
-article; its blocks in page order, without the parts that serve the page rather than the article, are the
+content (the article or main element, with sibling articles that have content; or else the smallest container
+that leaves no content, headline or loose paragraph beside it) is the article; its blocks in page order, without the parts that serve the page rather than the article, are the
 text. So short paragraphs and headings of the article stay although their own ratio is low.
 
 Defined results: null, empty and text-free html give the empty string; markup errors are repaired as
@@ -54,7 +54,9 @@ _NAMES_WHOLE = re.compile(rf"(?i)(?:^|\s){_NAMES}(?:$|\s)")
 _NAMEABLE = frozenset("center details div dl fieldset figure header menu ol section table ul".split())
 _NAMEABLE_OUTSIDE = _NAMEABLE | {"tbody", "td", "tr"}
 #: Elements whose descendants know that they are inside.
-_MARKED = frozenset(("article", "main"))
+_MARKED = frozenset(("a", "article", "h1", "main"))
+#: Text beside a container that belongs to the article with it.
+_LOOSE = frozenset("h1 h2 h3 h4 h5 h6 hgroup p blockquote pre".split())
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；：]")
 _DIGITS = re.compile(r"[0-9]+")
 
@@ -240,27 +242,34 @@ def content_scores(nodes: list[tuple[_Element, int, str]]) -> list[float]:
     return [x / level for x in fused]
 
 
-def _article(nodes: list[tuple[_Element, int, str]], scores: list[float], service: dict[_Element, bool]) -> _Element | None:
+def _article(nodes: list[tuple[_Element, int, str]], scores: list[float], service: dict[_Element, bool]) -> list[_Element]:
+    """The elements that are taken whole: one, or sibling articles."""
     own: dict[_Element, float] = {}
+    sure: dict[_Element, float] = {}  # content nodes and headlines, links apart
     for (e, _, t), s in zip(nodes, scores, strict=True):
         if t.strip() and not service[e]:
             own[e] = own.get(e, 0.0) + len(t) * (1.0 if s >= 1 else 0.01)  # what is below the threshold only breaks ties
+            sure[e] = sure.get(e, 0.0) + (len(t) if (s >= 1 or "h1" in e.inside) and "a" not in e.inside else 0)
     if not own:
-        return None
-    weight = _totals(own)
+        return []
+    weight, held = _totals(own), _totals(sure)
     named = {e: w for e, w in weight.items() if e.tag in ("article", "main")}
     outer = {e: w for e, w in named.items() if e.tag == "article" and "article" not in e.parent.inside} or named
     if outer:
-        return max(outer, key=outer.get)  # the first of equals
-    heaviest: dict[_Element, _Element] = {}
-    for e, w in weight.items():
-        if e.parent and (e.parent not in heaviest or w > weight[heaviest[e.parent]]):
-            heaviest[e.parent] = e
+        best = max(outer, key=outer.get)  # the first of equals
+        return [e for e in outer if e is best or (e.parent is best.parent and held[e])]
+    children: dict[_Element, list[_Element]] = {}
+    for e in weight:
+        if e.parent:
+            children.setdefault(e.parent, []).append(e)
     here = next(e for e in weight if e.parent is None)
-    total = weight[here]
-    while here in heaviest and weight[heaviest[here]] >= 0.75 * total and heaviest[here].tag in _CONTAINER:
-        here = heaviest[here]
-    return here
+    while here in children:
+        child = max(children[here], key=weight.get)
+        beside = sure.get(here, 0) or any(x is not child and (held[x] or x.tag in _LOOSE) for x in children[here])
+        if beside or child.tag not in _CONTAINER:
+            break
+        here = child
+    return [here]
 
 
 def main_text(html: str | None) -> str:
@@ -270,11 +279,11 @@ def main_text(html: str | None) -> str:
     nodes = parse(html)
     scores = content_scores(nodes)
     service = serving(nodes, scores)
-    root = _article(nodes, scores, service)
-    if root is None:
+    roots = _article(nodes, scores, service)
+    if not roots:
         return ""
     blocks: dict[int, list[str]] = {}
-    within: dict[_Element | None, bool] = {root: True, None: False}
+    within: dict[_Element | None, bool] = {**dict.fromkeys(roots, True), None: False}
     for e, b, t in nodes:
         chain = []
         x: _Element | None = e

@@ -100,6 +100,21 @@ def test_lists_of_links_belong_to_the_article():
         assert main_text.main_text(f"<ul>{''.join(items)}</ul><article>{menu % ''.join(items)}{text}</article>") == want.split("\n")[0]
 
 
+def test_nothing_of_the_article_stays_beside_its_container():
+    long = "".join(f"<p>Long text number {k}, with commas, and so on, for the article's body. More of it, and more.</p>" for k in range(12))
+    lines = [f"Long text number {k}, with commas, and so on, for the article's body. More of it, and more." for k in range(12)]
+    other = "<p>A later part, as it is, of the same article. It is short, though.</p>"
+    last = "A later part, as it is, of the same article. It is short, though."
+    foot = "<div class=footer>Imprint</div>"
+    for tag in ("div", "section", "details"):
+        html = f"<body><h1>Headline</h1><p>The lead.</p><{tag}>{long}</{tag}>{foot}</body>"
+        assert main_text.main_text(html).split("\n") == ["Headline", "The lead.", *lines]
+        html = f"<body><div class=wrap><{tag}>{long}</{tag}><{tag}>{other}</{tag}></div><div class=extra><a href=1>One</a> <a href=2>Two</a></div>{foot}</body>"
+        assert main_text.main_text(html).split("\n") == [*lines, last]
+    html = f"<body><main><article>{long}</article><article>{other}</article><article><a href=1>More</a></article></main></body>"
+    assert main_text.main_text(html).split("\n") == [*lines, last]
+
+
 def test_odd_html():
     assert main_text.main_text(None) == main_text.main_text("") == main_text.main_text("<p></p>") == main_text.main_text("<script>x") == main_text.main_text("<!-- open") == ""
     assert main_text.main_text("a < b & c") == "a < b & c"
