@@ -123,7 +123,7 @@ def snippet_head(x: Column, limit: int = 280) -> Column:
 
 
 def summary_input(x: Column, limit: int = 80_000, head: int = 56_000, tail: int = 24_000) -> Column:
-    return F.when(F.length(x) > limit, F.concat(F.substring(x, 1, head), F.lit("\n\n[…]\n\n"), F.substring(x, -tail, tail))).otherwise(x)
+    return F.when(F.length(x) > limit, F.concat(F.substring(x, 1, head), F.lit("\n[...]\n"), F.substring(x, -tail, tail))).otherwise(x)
 
 
 def collapse_repeats(x: Column) -> Column:

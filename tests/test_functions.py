@@ -63,3 +63,12 @@ def test_vectors(spark):
 
 def test_cited_numbers(spark):
     assert one(spark, " L. 225 – 1 .", X.normalise_article) == "L. 225-1" and one(spark, "12 . 3);", X.normalise_article) == "12.3"
+
+
+def test_summary_input_keeps_texts_whole_up_to_its_limit(spark):
+    from functools import partial
+
+    whole, long = "é" * 80_000, "a" * 56_000 + "b" * 101 + "c" * 24_000
+    assert one(spark, whole, X.summary_input) == whole
+    assert one(spark, long, X.summary_input) == "a" * 56_000 + "\n[...]\n" + "c" * 24_000
+    assert one(spark, "abcdefgh", partial(X.summary_input, limit=7, head=3, tail=2)) == "abc\n[...]\ngh"
