@@ -251,23 +251,23 @@ def _(t):
     return best.orderBy(F.desc("score"), "doc").limit(8).select("doc", F.round("score", 5).alias("score"))
 
 
-def _vocab(t):
-    return S.vocabulary(t.benchmark, "item_id", "text", 2)
+#: Least number of documents of a gram, as the reference asks of decisions.
+LEAST_DOCUMENTS = 5
 
 
 @query("h31_suggest_harvest")
 def _(t):
-    return t.benchmark.select("item_id", F.explode(S.ngrams(X.tokens(F.col("text")))).alias("gram"))
+    return t.documents.select("doc_id", F.explode(S.ngrams(X.tokens(F.col("text")))).alias("gram"))
 
 
 @query("h32_suggest_probe")
 def _(t):
-    return S.suggest(_vocab(t), "the", 8)
+    return S.probe(S.vocabulary(t.documents, "doc_id", "text", LEAST_DOCUMENTS), "the", 8)
 
 
 @query("h33_suggest_vocabulary", f"SELECT gram, count(*) AS df FROM (SELECT DISTINCT item_id, w AS gram FROM (SELECT item_id, unnest({tok('text')}) AS w FROM benchmark) WHERE w NOT IN {STOP} AND w NOT IN ({', '.join(repr(w) for w in [*X.BORDER_WORDS, *X.CLAUSE_BREAKERS])})) GROUP BY 1 HAVING count(*) >= 2")
 def _(t):
-    return _vocab(t).filter(~F.col("gram").contains(" "))
+    return S.vocabulary(t.benchmark, "item_id", "text", 2).filter(~F.col("gram").contains(" "))
 
 
 @query("h35_ndcg")
