@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm import bpe, exact_dedup, mixing, near_dup, quality
-from corpuslens.llm.common import staged, table
+from corpuslens.llm.common import file_places, staged, table
 
 #: SQL cannot express the fitted quality model, near duplicates and BPE; tests hold run() against brute force.
 ORACLE_SQL = None
@@ -37,11 +37,14 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, decoded again."""
+    """Token ids of each document, decoded again, and its position in the mix: its place in the files of ``docs``."""
     import public_tokenizers
 
-    coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return coded.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+    place, files = file_places(docs)
+    rows = docs.select(F.struct(F.col("doc_id"), place.alias("at")).alias("row"), "text")
+    coded = bpe.encode_decode(rows, public_tokenizers.path("byte_bpe_50k.json"), id_col="row")
+    placed = coded.join(F.broadcast(files), F.col("id.at.file") == F.col("file"))  # one row for each file
+    return placed.select(F.col("id.doc_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256", (F.col("before") + F.col("id.at.idx")).alias("position"))
 
 
 STAGES = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space as these operators know it: space and U+0009 to U+000D.
@@ -40,6 +40,17 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_places(docs: DataFrame) -> tuple[Column, DataFrame]:
+    """Where each row of a table read from files is written, and the files (file, before: rows of those before it).
+
+    Spark numbers the files it writes by partition, but scans them in another order.
+    """
+    at = docs.metadataColumn("_metadata")
+    files = docs.select(at["file_name"].alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.orderBy(F.regexp_extract("file", r"part-(\d+)", 1).cast("long"), "file").rowsBetween(Window.unboundedPreceding, -1)
+    return F.struct(at["file_name"].alias("file"), at["row_index"].alias("idx")), files.select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+
+
 def identified(docs: DataFrame, id_col: str, mark: str) -> DataFrame:
     """``docs`` with a column ``mark`` of distinct whole numbers that stay the same from scan to scan.
 

@@ -139,6 +139,25 @@ def test_pipeline_against_brute_force(spark, data):
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want and len(got) == len(want)
 
 
+def test_pipeline_positions_follow_the_mix(spark, data, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "source")
+    want = {r.id: r.position for r in mixing.positions(docs).collect()}
+    stages = corpus_pipeline.STAGES[-2:]
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "100k"}  # many files, read out of order
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+        assert {r.doc_id: r.position for r in corpus_pipeline.run(spark, data).collect()} == want
+        monkeypatch.setattr(corpus_pipeline, "STAGES", [("no mix", lambda spark, docs, sf_dir: docs), stages[1]])
+        other = {r.doc_id: r.position for r in corpus_pipeline.run(spark, data).collect()}
+        assert other != want and sorted(other.values()) == sorted(want.values())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_stages_keep_the_columns(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").limit(60)
     for _, stage in corpus_pipeline.STAGES[:-1]:
