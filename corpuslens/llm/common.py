@@ -57,13 +57,19 @@ def identified(docs: DataFrame, id_col: str, mark: str) -> DataFrame:
     Ids that are distinct and whole serve as they are. Otherwise rows are numbered once and staged: numbers
     come from the scan's partitions, and another scan may be cut otherwise when executors come and go.
     """
-    if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
-        rows, ids = docs.agg(F.count(F.lit(1)), F.countDistinct(F.col(f"`{id_col}`"))).first()
-        if rows == ids:
-            return docs.withColumn(mark, F.col(f"`{id_col}`").cast("long"))
+    if distinct_ids(docs, id_col):
+        return docs.withColumn(mark, F.col(f"`{id_col}`").cast("long"))
     return staged(docs.withColumn(mark, F.monotonically_increasing_id()), "rows")
 
 
+def distinct_ids(docs: DataFrame, id_col: str) -> bool:
+    """Whether the ids are whole numbers, none null and no two equal."""
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return False
+    rows, ids = docs.agg(F.count(F.lit(1)), F.countDistinct(F.col(f"`{id_col}`"))).first()
+    return rows == ids
+
+
 #: Rows of a column of numbers that may be broadcast.
 BROADCAST_ROWS = 500_000
 

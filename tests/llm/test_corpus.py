@@ -113,6 +113,27 @@ def test_shards_hold_every_row_once(spark):
     assert sharding.shard_records(docs.limit(0), common.new_path(spark, "shards")).count() == 0
 
 
+def test_shards_against_brute_force(spark):
+    rows = [(i, "w" * (7 * i % 50)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shard_records(docs, common.new_path(spark, "shards"), shards=7, seed=3, bucket_bytes=900).collect()}
+    n = max(7, -(-sum(len(t) + 16 for _, t in rows) // 900))
+    buckets = {}
+    for r in docs.select("doc_id", F.xxhash64(F.lit(3), "doc_id", F.lit(0).cast("long")).alias("h")).collect():
+        buckets.setdefault(r.h % n, []).append((r.h, r.doc_id))
+    line = []
+    for b in sorted(buckets):
+        own = [i for _, i in sorted(buckets[b])]
+        rng = random.Random(3 * 1_000_003 + b)
+        for i in reversed(range(1, len(own))):  # Fisher-Yates
+            j = rng._randbelow(i + 1)
+            own[i], own[j] = own[j], own[i]
+        line += own
+    starts = [s * len(line) // 7 for s in range(8)]
+    want = {i: (s, k - starts[s]) for s in range(7) for k, i in enumerate(line) if starts[s] <= k < starts[s + 1]}
+    assert got == want
+
+
 def test_sharding_query(spark, data):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     got = contract.queries()["op4_sharding"](spark, data).collect()
