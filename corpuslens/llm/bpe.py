@@ -2,32 +2,38 @@
 
 The tree's leaves hold the rank of each adjacent pair of symbols; the root yields the leftmost pair of the
 lowest rank. A merge updates three leaves in logarithmic time, until no mergeable pair remains, so a run of
-n bytes takes O(n log n) whatever its shape.
+n bytes takes O(n log n) whatever its shape. Pieces of up to ``ARRAY_SYMBOLS`` bytes go through their trees
+together: one array holds the trees of many pieces of like size, and a step takes each piece's root and
+updates its leaves; longer pieces go one by one.
 
-A text is cut where the split pattern always cuts: before a space that a non-space follows. Such cuts leave
-the pattern's pieces unchanged, and words repeat, so their ids are kept in a bounded table in each Python
-worker. The tokenizer file is a parameter and is read in each worker.
+Texts are taken by the distinct stretches of a group of texts (``words``). The tokenizer file is a parameter and is read once in each Python worker.
 
 Defined results: null text counts as empty and has no ids; special tokens' strings in a text become their
 ids, as the library does by default; rows are encoded one by one, so ties, repeated rows and extra columns
-change nothing; an empty table gives an empty result.
+change nothing; very long texts are taken whole, one at a time; an empty table gives an empty result. Special
+tokens that hold white space are not supported.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from corpuslens.llm import words
+from corpuslens.llm.words import LATIN, Runs
+
 #: The split pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words, and pieces of words, in a worker's young table. A full one becomes the old one, whose entries come
-#: back when they are used; so what is frequent stays, and at most twice as many are held.
-KEEP_WORDS, KEEP_PIECES = 250_000, 450_000
+#: Pieces of so many bytes at most share arrays, so many trees in one.
+ARRAY_SYMBOLS, ARRAY_ROWS = 129, 8192
 _NONE = 1 << 62
 
 
@@ -101,96 +107,150 @@ class ByteBPE:
         vocab: dict[str, int] = spec["model"]["vocab"]
         chars = byte_chars()
         back = {c: b for b, c in chars.items()}
-        self.byte_ids = [vocab[chars[b]] for b in range(256)]
+        self.byte_ids = np.array([vocab[chars[b]] for b in range(256)], np.int64)
         self.merges = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a], vocab[b]] = rank, vocab[a + b]
+        # the merges by pair, as arrays
+        keys = np.array([a << 32 | b for a, b in self.merges], np.int64)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = np.append(keys[order], _NONE), np.append(np.array([r for r, _ in self.merges.values()], np.int64)[order], 0)
+        self.merged = np.zeros(len(spec["model"]["merges"]) + 1, np.int64)
+        for rank, symbol in self.merges.values():
+            self.merged[rank] = symbol
+        first = self.byte_ids.repeat(256) << 32 | np.tile(self.byte_ids, 256)
+        self.byte_ranks = self.ranks(first)  # of each pair of bytes
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.bytes_of = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
+        if any(len(words.stretches(s)) != 1 or s[0].isspace() for s in self.special):
+            raise ValueError("special tokens with white space are not supported")
+        bytes_of = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for token, i in vocab.items():
-            self.bytes_of[i] = bytes(back[c] for c in token) if token not in self.special else token.encode()
+            bytes_of[i] = bytes(back[c] for c in token) if token not in self.special else token.encode()
         for token, i in self.special.items():
-            self.bytes_of[i] = token.encode()
+            bytes_of[i] = token.encode()
+        self.bytes_of = pa.array(bytes_of, pa.large_binary())
         self.find = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.old_words: dict[str, tuple[bytes, str]] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
-
-    def piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self.old_pieces.get(piece)
-            if ids is None:
-                table = self.byte_ids
-                ids = array("I", merge_symbols([table[b] for b in piece.encode()], self.merges)).tobytes()
-            if len(piece) <= 64:
-                if len(self.pieces) >= KEEP_PIECES:
-                    self.old_pieces, self.pieces = self.pieces, {}
-                self.pieces[piece] = ids
-        return ids
-
-    def word(self, word: str) -> tuple[bytes, str]:
-        """Ids of a stretch of text that the pattern splits by itself: as 32-bit numbers, and as decimals."""
-        out = self.old_words.get(word)
-        if out is None:
-            ids = b"".join(map(self.piece, self.find(word)))
-            out = ids, ",".join(map(str, array("I", ids)))
-        if len(word) <= 64:
-            if len(self.words) >= KEEP_WORDS:
-                self.old_words, self.words = self.words, {}
-            self.words[word] = out
-        return out
-
-    def _ordinary(self, text: str) -> list[tuple[bytes, str]]:
-        parts = stretches(text)
-        got = list(map(self.words.get, parts))
-        if None in got:
-            word = self.word
-            got = [word(w) if g is None else g for w, g in zip(parts, got, strict=True)]
-        return got
+
+    def ranks(self, keys: np.ndarray) -> np.ndarray:
+        """Rank of each pair (first symbol << 32 | second), ``_NONE`` for pairs that don't merge."""
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], _NONE)
+
+    def merge_pieces(self, data: np.ndarray, edges: np.ndarray) -> Runs:
+        """Ids of pieces that lie end to end in ``data`` (bytes; not empty)."""
+        sizes = np.diff(edges)
+        # by the number of leaves: a power of two
+        power = np.where(sizes > 2, np.ceil(np.log2(np.maximum(sizes - 1, 1))), 0).astype(int)
+        power[sizes > ARRAY_SYMBOLS] = -1
+        parts = []
+        for p in np.unique(power).tolist():
+            rows = np.flatnonzero(power == p)
+            if p < 0:
+                long = [merge_symbols(self.byte_ids[data[edges[k] : edges[k + 1]]].tolist(), self.merges) for k in rows.tolist()]
+                parts.append((rows, Runs.of(np.concatenate([np.array(x, np.uint32) for x in long]), np.array([len(x) for x in long]))))
+                continue
+            for lo in range(0, len(rows), ARRAY_ROWS):
+                some = rows[lo : lo + ARRAY_ROWS]
+                parts.append((some, self._merge_rows(data, edges[some], sizes[some], 1 << p)))
+        return Runs.placed(len(sizes), parts) if parts else Runs.of(np.zeros(0, np.uint32), sizes)
+
+    def _merge_rows(self, data: np.ndarray, starts: np.ndarray, n: np.ndarray, size: int) -> Runs:
+        """Merge pieces of at most size + 1 bytes; row r of each array belongs to piece r."""
+        m, width = len(n), size + 1
+        data = data[np.minimum(starts[:, None] + np.arange(width), len(data) - 1)].astype(np.int64)
+        real = np.arange(width) < n[:, None]
+        symbols = np.where(real, self.byte_ids[data], -1)
+        tree = np.full((m, 2 * size), _NONE, np.int64)  # a leaf: rank << 8 | place
+        ranks = self.byte_ranks[data[:, :-1] << 8 | data[:, 1:]]
+        tree[:, size:] = np.where(real[:, 1:] & (ranks != _NONE), ranks << 8 | np.arange(size), _NONE)
+        level = size
+        while level > 1:
+            level >>= 1
+            tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
+        after = np.tile(np.arange(1, width + 1), (m, 1))
+        before = np.tile(np.arange(-1, width), (m, 1))  # one place more, for the end
+        flat_tree, flat_symbols, flat_after, flat_before = tree.ravel(), symbols.ravel(), after.ravel(), before.ravel()
+
+        def put(base: np.ndarray, leaf: np.ndarray, value: np.ndarray) -> None:
+            """Set a leaf of each tree and update its ancestors."""
+            at = leaf + size
+            flat_tree[base + at] = value
+            while size > 1 and at[0] > 1:  # all leaves are equally deep
+                low = np.minimum(flat_tree[base + at], flat_tree[base + (at ^ 1)])
+                at = at >> 1
+                flat_tree[base + at] = low
+
+        def pair_rank(a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
+            ranks = self.ranks(a << 32 | b)
+            return np.where(ranks == _NONE, _NONE, ranks << 8 | place)
+
+        rows = np.flatnonzero(tree[:, 1] != _NONE)
+        while len(rows):
+            root = flat_tree[rows * (2 * size) + 1]
+            i, at, base, length = root & 255, rows * width, rows * (2 * size), n[rows]
+            j = flat_after[at + i]
+            k = flat_after[at + j]
+            merged = self.merged[root >> 8]
+            flat_symbols[at + i], flat_symbols[at + j], flat_after[at + i] = merged, -1, k
+            flat_before[rows * (width + 1) + k] = i
+            gone = j < size
+            if gone.any():
+                put(base[gone], j[gone], np.full(int(gone.sum()), _NONE))
+            ahead = k < length
+            right = pair_rank(merged, flat_symbols[at + np.minimum(k, width - 1)], i)
+            put(base, i, np.where(ahead, right, _NONE))
+            h = flat_before[rows * (width + 1) + i]
+            has = h >= 0
+            if has.any():
+                put(base[has], h[has], pair_rank(flat_symbols[(at + h)[has]], merged[has], h[has]))
+            rows = rows[flat_tree[base + 1] != _NONE]
+        kept = symbols >= 0
+        return Runs.of(symbols[kept].astype(np.uint32), kept.sum(axis=1))
+
+    def encode_words(self, distinct: pa.StringArray) -> Runs:
+        """Ids of each stretch. A run of Latin letters is one piece; the pattern splits the others."""
+        plain = pc.match_substring_regex(distinct, f"^ ?[{LATIN}]+$").to_numpy(zero_copy_only=False)
+        pieces = self.merge_pieces(*words.buffers(distinct.filter(pa.array(plain))))
+        rest = distinct.filter(pa.array(~plain)).to_pylist()
+        split: list[list[str]] = []
+        for word in rest:
+            own: list[str] = []
+            for part in self.cut.split(word) if self.cut is not None and any(s in word for s in self.special) else [word]:
+                own += [part] if part in self.special else self.find(part)
+            split.append(own)
+        coded = pa.array([p for own in split for p in own], pa.string()).dictionary_encode()
+        parts = coded.dictionary.to_pylist()
+        ids = self.merge_pieces(*words.buffers(coded.dictionary))
+        for k, part in enumerate(parts):
+            if part in self.special:
+                ids.flat[ids.starts[k]], ids.sizes[k] = self.special[part], 1
+        found = ids.take(coded.indices.to_numpy())
+        ends = np.append(0, np.cumsum(found.sizes))[np.cumsum([0, *map(len, split)])]
+        return Runs.placed(len(distinct), [(np.flatnonzero(plain), pieces), (np.flatnonzero(~plain), Runs.of(found.flat, np.diff(ends)))])
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and where each text's ids begin (and the end)."""
+        return words.encode(texts, self.encode_words)
+
+    def decode_all(self, ids: np.ndarray, edges: np.ndarray) -> list[bytes]:
+        """Bytes of each text."""
+        if not len(ids):
+            return [b""] * (len(edges) - 1)
+        got = self.bytes_of.take(pa.array(ids))
+        ends = np.frombuffer(got.buffers()[1], np.int64, len(ids) + 1, got.offset * 8)[edges].tolist()
+        data = memoryview(got.buffers()[2])
+        return [bytes(data[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """Ids of a text as little-endian 32-bit numbers and as decimals joined by commas."""
-        text = text or ""
-        if self.cut is None or not any(s in text for s in self.special):
-            got = self._ordinary(text)
-        else:
-            got = []
-            for part in self.cut.split(text):
-                if part in self.special:
-                    got.append((array("I", [self.special[part]]).tobytes(), str(self.special[part])))
-                elif part:
-                    got += self._ordinary(part)
-        return b"".join([b for b, _ in got]), ",".join([s for _, s in got if s])
+        ids = self.encode_all([text or ""])[0]
+        return ids.tobytes(), ",".join(map(str, ids.tolist()))
 
     def decode(self, ids: bytes) -> str:
-        table = self.bytes_of
-        return b"".join([table[i] for i in array("I", ids)]).decode("utf-8", "replace")
-
-
-def stretches(text: str) -> list[str]:
-    """Cut ``text`` before each space that stands between two non-spaces or ends a run of white space.
-
-    Where a space follows a space, or other white space follows one, the stretch goes on, so that the
-    pattern sees the whole run.
-    """
-    if not text:
-        return []
-    parts = text.split(" ")
-    out = [parts[0]] if parts[0] else []
-    add = out.append
-    for k in range(1, len(parts)):
-        p = parts[k]
-        if p and not p[0].isspace():
-            add(" " + p)
-        elif out:
-            out[-1] += " " + p
-        else:
-            add(" " + p)
-    return out
+        numbers = np.frombuffer(ids, "<u4")
+        return self.decode_all(numbers, np.array([0, len(numbers)]))[0].decode("utf-8", "replace")
 
 
 _CODECS: dict[str, ByteBPE] = {}
@@ -203,27 +263,37 @@ def codec(path: str) -> ByteBPE:
     return _CODECS[path]
 
 
+def joined(ids: np.ndarray, edges: np.ndarray) -> list[str]:
+    """Decimals of each text's ids, joined by commas."""
+    if len(ids) > 1 << 27:  # more than a string array holds
+        return [",".join(map(str, ids[a:b].tolist())) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids).cast(pa.string())), ",").to_pylist()
+
+
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Encode each text and decode its ids: id, n_tokens, ids_text (decimals joined by commas; kept on request), ids_sha256, decoded_sha256, round_trip."""
-    import hashlib
+
+    def digest(raw: bytes) -> str:
+        return hashlib.sha256(raw).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(tokenizer)
         for batch in batches:
-            n, a, b, same, shown = [], [], [], [], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                ids, decimals = bpe.encode(text)
-                decoded = bpe.decode(ids)
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(decimals.encode()).hexdigest())
-                b.append(hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest())
-                same.append(decoded == text)
-                shown.append(decimals if keep_ids else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(same, pa.bool_()), pa.array(shown, pa.string())],
-                ["id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "ids_text"],
-            )
+            at = 0
+            for texts in words.groups(batch.column(1)):
+                ids, edges = bpe.encode_all(texts)
+                decimals = joined(ids, edges)
+                decoded = bpe.decode_all(ids, edges)
+                cols = [
+                    pa.array(np.diff(edges), pa.int64()),
+                    pa.array([digest(x.encode()) for x in decimals], pa.string()),
+                    pa.array([digest(x.decode("utf-8", "replace").encode()) for x in decoded], pa.string()),
+                    pa.array([x == t.encode() for x, t in zip(decoded, texts, strict=True)], pa.bool_()),
+                    pa.array(decimals if keep_ids else [None] * len(texts), pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *cols], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "ids_text"])
+                at += len(texts)
+        pa.default_memory_pool().release_unused()  # the worker process lives on
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.selectExpr(f"`{id_col}` AS id", f"CAST(`{text_col}` AS string) AS text").mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean, ids_text string")

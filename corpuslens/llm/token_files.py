@@ -7,12 +7,11 @@ file's last sequence is padded. Batches hold ``BATCH`` sequences, so a document'
 offset alone and read without a copy. Files are written under another name and then renamed, so a lost or
 repeated task leaves no half file.
 
-Encoding uses the tokenizers library. Stretches of text that it splits by themselves are encoded once for
-each worker and kept in a bounded table; those a batch of rows lacks are encoded in one call.
+Encoding uses the tokenizers library, by the distinct stretches of groups of texts (``words``).
 
 Defined results: null text counts as empty and gives the end id alone; rows go by ascending id, those of
-equal id by text; a null id comes first; an empty table gives no files and no rows; extra columns are not
-read.
+equal id by text; a null id comes first; a very long text is encoded whole, in a group of its own; an empty
+table gives no files and no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,14 +27,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.bpe import stretches
+from corpuslens.llm import words
 from corpuslens.llm.common import new_path, staged
+from corpuslens.llm.words import Runs
 
-LENGTH, BATCH, KEEP_WORDS = 2048, 64, 500_000
+LENGTH, BATCH = 2048, 64
+#: Stretches that the library encodes as one text.
+JOINED = 1024
 
 
 class LibraryEncoder:
-    """The tokenizers library behind a table of stretches."""
+    """The tokenizers library, for distinct stretches of text."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,36 +51,37 @@ class LibraryEncoder:
         self.starts = np.zeros(size, dtype=bool)  # ids that begin with a space
         for token, i in self.library.get_vocab(with_added_tokens=True).items():
             self.starts[i] = token.startswith("Ġ")
-        self.words: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
-
-    def _learn(self, unseen: list[str]) -> None:
-        """Encode stretches that the table lacks: those of one word and its space in one text, others alone."""
-        if len(self.words) + len(unseen) > KEEP_WORDS:
-            self.words.clear()
-        plain = [w for w in unseen if len(w) > 1 and w[0] == " " and w.find(" ", 1) < 0 and not w[1].isspace()]
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = self._ids("".join(part))
-            edges = np.flatnonzero(self.starts[ids])
-            if len(edges) != len(part):  # never so by the pattern's rules; then each by itself
-                self.words.update((w, self._ids(w).tobytes()) for w in part)
-                continue
-            raw, step = ids.tobytes(), self.dtype.itemsize
-            ends = [*(edges[1:] * step).tolist(), len(raw)]
-            self.words.update(zip(part, (raw[a:b] for a, b in zip((edges * step).tolist(), ends, strict=True)), strict=True))
-        done = set(plain)
-        self.words.update((w, self._ids(w).tobytes()) for w in unseen if w not in done)
+        # second bytes that may belong to white space
+        self.odd = np.isin(np.arange(256), [*range(9, 14), 32, 0xC2, 0xE1, 0xE2, 0xE3])
+
+    def _all(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype=self.dtype) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_words(self, distinct: pa.StringArray) -> Runs:
+        """Ids of each stretch: those of one space and a word many in one text, the others each alone."""
+        data, edges = words.buffers(distinct)
+        first = edges[:-1]
+        plain = (np.diff(edges) > 1) & (data[first] == 32) & ~self.odd[data[np.minimum(first + 1, len(data) - 1)]] if len(data) else np.zeros(len(distinct), bool)
+        chosen = distinct.filter(pa.array(plain))
+        data, edges = words.buffers(chosen)
+        edges = [*edges[:-1:JOINED].tolist(), int(edges[-1])]
+        parts, where = [], np.flatnonzero(plain)
+        for k, ids in enumerate(self._all([data[a:b].tobytes().decode() for a, b in zip(edges[:-1], edges[1:], strict=True)])):
+            own = where[k * JOINED : (k + 1) * JOINED]
+            begins = np.flatnonzero(self.starts[ids])
+            if len(begins) == len(own):  # always so by the pattern's rules; else each by itself
+                parts.append((own, Runs(ids, begins, np.diff(np.append(begins, len(ids))))))
+            else:
+                plain[own] = False
+        rest = np.flatnonzero(~plain)
+        alone = self._all(distinct.take(pa.array(rest)).to_pylist())
+        parts.append((rest, Runs.of(np.concatenate([np.zeros(0, self.dtype), *alone]), np.array([len(x) for x in alone], np.int64))))
+        return Runs.placed(len(distinct), parts)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [stretches(t or "") for t in texts]
-        words = self.words
-        unseen = list({w for ws in cut for w in ws if w not in words})
-        kept = dict.fromkeys(w for ws in cut for w in ws) if len(words) + len(unseen) > KEEP_WORDS else None
-        self._learn(unseen if kept is None else list(kept))
-        return [b"".join([words[w] for w in ws]) for ws in cut]
+        ids, edges = words.encode([t or "" for t in texts], self.encode_words)
+        raw, at = ids.tobytes(), (edges * self.dtype.itemsize).tolist()
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -169,9 +172,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, end_id: int = 2
                 continue
             writer = writer or SequenceWriter(out, f"tokens-{number:06d}.arrow", enc.dtype, length)
             at, n = [], []
-            texts = batch.column(1)
-            for lo in range(0, batch.num_rows, 256):
-                for raw in enc.encode(texts.slice(lo, 256).to_pylist()):
+            for texts in words.groups(batch.column(1)):
+                for raw in enc.encode(texts):
                     raw += end
                     at.append(writer.total)
                     n.append(len(raw) // enc.dtype.itemsize)
@@ -179,6 +181,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, end_id: int = 2
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([number] * len(n), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["id", "file", "at", "n_tokens"])
         if writer:
             writer.close()
+        pa.default_memory_pool().release_unused()  # the worker process lives on
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.selectExpr(f"`{id_col}` AS id", f"CAST(`{text_col}` AS string) AS text")

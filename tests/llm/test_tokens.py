@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from corpuslens.llm import bpe, common, token_files
+from corpuslens.llm import bpe, common, token_files, words
 from tests.llm.cases import awkward, frame
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,12 +37,29 @@ def test_special_and_long(text):
     assert ids_of(bpe.codec(PATH).encode(text)[0]) == library(text)
 
 
-def test_small_tables_change_nothing(monkeypatch):
-    monkeypatch.setattr(bpe, "KEEP_WORDS", 5)
-    monkeypatch.setattr(bpe, "KEEP_PIECES", 5)
-    own = bpe.ByteBPE(PATH)
-    for _, text, _ in awkward()[:40]:
-        assert ids_of(own.encode(text)[0]) == library(text)
+@pytest.mark.parametrize(("symbols", "rows", "group"), [(129, 8192, 2048), (3, 2, 1), (9, 5, 7)])
+def test_sizes_of_arrays_and_groups_change_nothing(monkeypatch, symbols, rows, group):
+    monkeypatch.setattr(bpe, "ARRAY_SYMBOLS", symbols)
+    monkeypatch.setattr(bpe, "ARRAY_ROWS", rows)
+    monkeypatch.setattr(words, "GROUP_ROWS", group)
+    own, texts = bpe.ByteBPE(PATH), [t for _, t, _ in awkward()]
+    got = []
+    for some in words.groups(pa.array(texts)):
+        ids, edges = own.encode_all(some)
+        got += [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        assert own.decode_all(ids, edges) == [t.encode() for t in some]
+    assert got == [library(t) for t in texts]
+
+
+def test_words_that_only_look_alike():
+    rng = random.Random(8)
+    letters = "abeéÉßñÿĀɏɐ²½٣日ʰ\u0301\u00ad_09.,;:!?'\"-\n\r\t\x0b\x1c\x1f \u2003\xa0\u3000"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    enc, own = token_files.LibraryEncoder(PATH), bpe.codec(PATH)
+    ids, edges = own.encode_all(texts)
+    want = [library(t) for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == want
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == want
 
 
 def test_merge_order_is_leftmost_lowest():
@@ -105,8 +122,8 @@ def test_no_rows_make_no_files(spark):
     assert token_files.token_file_round_trip(frame(spark, awkward()).limit(0), PATH).count() == 0
 
 
-def test_library_words_table_overflow(monkeypatch):
-    monkeypatch.setattr(token_files, "KEEP_WORDS", 3)
+def test_library_encoder_in_small_parts(monkeypatch):
+    monkeypatch.setattr(token_files, "JOINED", 3)
     enc = token_files.LibraryEncoder(PATH)
     texts = [t for _, t, _ in awkward()[:25]]
     assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == [library(t) for t in texts]
