@@ -11,11 +11,14 @@ Defined results:
 * of rows that repeat the same id and text, one stays (the last in scan order);
 * an empty table gives an empty result; extra columns are carried by ``drop_exact_copies``, whatever their
   names;
-* for an index that already holds a digest, rows of later batches with that digest are dropped.
+* for an index that already holds a digest, rows of later batches with that digest are dropped, whatever their
+  ids; ``group_size`` counts the batch's own rows;
+* very long texts are digested like any others and never move.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +28,17 @@ from corpuslens.llm.common import ascii_lower, identified, if_small, staged
 
 #: A digest held by more than one row in HOT_SHARE is joined by broadcast; at most HOT_SHARE such digests can exist.
 HOT_SHARE = 1000
+#: Rows of a new index's first batch for each of its buckets, and the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 2_000_000, 16
 
 
 class DigestIndex:
-    """A bucketed table (digest, keep): the ids that represent each distinct text seen so far."""
+    """A bucketed table (digest, keep): the rows (id, row, batch) that represent each distinct text seen so far.
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = 16):
+    The number of buckets is chosen with the first batch, unless given, and kept with the table.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
         self.spark, self.name, self.buckets = spark, name, buckets
 
     def exists(self) -> bool:
@@ -39,6 +47,17 @@ class DigestIndex:
     def frame(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def size_for(self, rows: int) -> None:
+        """Settle the number of buckets, for a first batch of ``rows`` rows."""
+        if self.exists():
+            told = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name}").filter("col_name = 'Num Buckets'").first()
+            self.buckets = int(told.data_type)
+        elif self.buckets is None:
+            self.buckets = max(LEAST_BUCKETS, math.ceil(rows / BUCKET_ROWS))
+
     def append_new(self, batch: DataFrame) -> None:
         """Append the digests of ``batch`` (digest, keep; one row per digest) that the index doesn't hold."""
         if self.exists():
@@ -66,15 +85,18 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
 
 
 def dedup_rows(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, row_col: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: id, row, digest, keep (id and row of the one that stays), n (rows with the digest).
+    """One row per row of ``docs``: id, row, digest, keep (id, row and batch of the one that stays), n (the batch's rows with the digest), kept.
 
     The batch goes in by ``rounds`` blocks of descending id, so that in each text's group the largest id
-    comes first; a later block's digest that is known is dropped by the anti-join.
+    comes first; a later block's digest that is known is dropped by the anti-join. Rows are numbered within their
+    batch, so the batch's own mark is part of what the index keeps.
     """
     own = staged(digests(docs, id_col, text_col, row_col), "digests")
-    keyed = own.withColumn("keep", F.struct("id", "row"))
+    batch = F.lit(uuid.uuid4().int >> 65)
+    keyed = own.withColumn("keep", F.struct("id", "row", batch.alias("batch")))
     low, high, total = own.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
     edges = [low + (high - low) * k // rounds for k in range(rounds - 1, 0, -1)] if isinstance(low, int) else []
+    index.size_for(total)
     above = None
     for edge in [*edges, None]:
         block = keyed if above is None else keyed.filter((F.col("id") < above) | F.col("id").isNull())
@@ -86,27 +108,30 @@ def dedup_rows(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text
     hot = known.filter(F.col("n") * HOT_SHARE > total)
     hot_rows = own.join(F.broadcast(hot), "digest")
     rest = own.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
-    return hot_rows.unionByName(rest.join(known.filter(F.col("n") * HOT_SHARE <= total), "digest"))
+    rows = hot_rows.unionByName(rest.join(known.filter(F.col("n") * HOT_SHARE <= total), "digest"))
+    return rows.withColumn("kept", (F.col("keep.batch") == batch) & (F.col("keep.row") == F.col("row")))
+
+
+def _with_index(docs: DataFrame, index: DigestIndex | None, **options) -> DataFrame:
+    """``dedup_rows`` with an index, or with one of its own that goes when the verdicts are staged."""
+    if index is not None:
+        return dedup_rows(docs, index, **options)
+    index = DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
+    try:
+        return dedup_rows(docs, index, **options)  # reads staged tables only
+    finally:
+        index.drop()
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
-    """Verdict on each row: id, keep_id, group_size, kept, digest."""
-    index = index or DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
-    rows = dedup_rows(docs, index, id_col, text_col)
-    return rows.select(
-        "id",
-        "row",
-        F.col("keep.id").alias("keep_id"),
-        F.col("n").alias("group_size"),
-        (F.col("keep.row") == F.col("row")).alias("kept"),
-        "digest",
-    )
+    """Verdict on each row: id, row, keep_id, group_size, kept, digest."""
+    rows = _with_index(docs, index, id_col=id_col, text_col=text_col)
+    return rows.select("id", "row", F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), "kept", "digest")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` drops."""
-    index = index or DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
     mark = f"row_{uuid.uuid4().hex}"
     rows = identified(docs, id_col, mark)
-    lost = dedup_rows(rows, index, id_col, text_col, row_col=mark).filter(F.col("keep.row") != F.col("row"))
+    lost = _with_index(rows, index, id_col=id_col, text_col=text_col, row_col=mark).filter("NOT kept")
     return rows.join(if_small(staged(lost.select(F.col("row").alias(mark)), "lost")), mark, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -50,6 +50,34 @@ def test_index_persists_between_batches(spark):
     assert index.frame().count() == 3
 
 
+def test_three_batches_against_brute_force(spark):
+    batches = [awkward()[:40], [(11, "Alpha", "a"), (12, "new", "b"), (12, "new", "b"), (3, "ALPHA", "a")] + awkward()[30:60], [(2, "alpha", "x"), (99, "NEW", "x"), (5, "own", "x")]]
+    index, seen = exact_dedup.DigestIndex(spark, "digest_index_batches"), {}
+    for rows in batches:
+        own = defaultdict(list)
+        for i, t, _ in rows:
+            own[norm(t)].append(i)
+        want = Counter()
+        for text, ids in own.items():
+            new = text not in seen
+            seen.setdefault(text, max(ids, key=order))
+            digest = hashlib.sha256(text.encode()).hexdigest()
+            for k, i in enumerate(sorted(ids, key=order, reverse=True)):
+                want[i, seen[text], len(ids), new and k == 0, digest] += 1
+        got = Counter((r.id, r.keep_id, r.group_size, r.kept, r.digest) for r in exact_dedup.exact_dedup(frame(spark, rows), index=index).collect())
+        assert got == want
+    assert index.frame().count() == len(seen) and index.buckets == exact_dedup.LEAST_BUCKETS
+    again = frame(spark, batches[0])
+    assert exact_dedup.drop_exact_copies(again, index=exact_dedup.DigestIndex(spark, "digest_index_batches")).count() == 0
+    index.drop()
+
+
+def test_an_index_of_its_own_is_dropped(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert exact_dedup.exact_dedup(frame(spark, awkward())).count() == len(awkward())
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def lines_by_force(rows, min_docs, min_chars, mode):
     def keys(t):
         return [line.strip(" \t\n\x0b\x0c\r").translate(LOWER) for line in (t or "").split("\n")]
