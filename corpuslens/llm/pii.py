@@ -2,27 +2,33 @@
 
 Base kinds (email, ip, card, phone) follow fixed patterns, leftmost and without overlaps inside a kind;
 a match that fails its check is dropped and not retried. Further spans (iban; telephone and card numbers in
-other spellings) need a score of ``THRESHOLD``: a prior for the pattern, a gain for a confirmed checksum,
+other spellings; social security numbers; secrets, that is keys and tokens) need a score of ``THRESHOLD``: a prior
+for the pattern, a gain for a confirmed checksum (of secrets: for the entropy and the kinds of their characters),
 a gain for a cue word within ``NEARBY`` characters before them. Base spans always stay.
 
-All scans take time in proportion to the text: patterns are anchored so that a failing run of characters is
-not tried again from each of its characters.
+Scans take time in proportion to the text: patterns are anchored so that a failing run of characters is not
+tried again from each of its characters, and overlaps with base spans are found by bisection.
 
 Defined results: null text counts as empty; offsets are code points, end exclusive; rows are judged one by
-one, so repeated rows, ties and extra columns change nothing; an empty table gives an empty result.
+one, so repeated rows, ties and extra columns change nothing; very long texts are read whole; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 KINDS = ("email", "ip", "card", "phone")
-EXTRA_KINDS = ("iban", "card_alt", "phone_alt")
+EXTRA_KINDS = ("iban", "card_alt", "phone_alt", "ssn", "secret")
 THRESHOLD, NEARBY = 0.8, 40
 
 _DIGIT = re.compile(r"[0-9]")
@@ -34,13 +40,21 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _CARD_ALT = re.compile(r"(?<![0-9.])[0-9]{4}(?:\.[0-9]{4}){2}\.[0-9]{1,7}(?![0-9.])")
 _PHONE_ALT = re.compile(r"(?<![0-9+.])(?:\(0?[0-9]{2,4}\)\x20?|0)[0-9](?:[\x20./-]?[0-9]){6,12}(?![0-9])")
+_SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=-]{16,}")
+#: What published kinds of keys begin with.
+_KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "AIza", "eyJ")
 _CUES = {
     "iban": re.compile(r"(?i)\b(?:iban|bic|bank|banque|konto|cuenta|account|compte)\b"),
     "card_alt": re.compile(r"(?i)\b(?:card|carte|karte|tarjeta|visa|mastercard|credit)\b"),
     "phone_alt": re.compile(r"(?i)\b(?:tel|phone|telephone|téléphone|telefon|teléfono|call|fax|mobile|portable|handy)\b"),
+    "ssn": re.compile(r"(?i)\b(?:ssn|social\s+security|tax\s+id|taxpayer)\b"),
+    "secret": re.compile(r"(?i)(?<![A-Za-z])(?:tokens?|secrets?|password|passwd|credentials?|bearer|api|auth|keys?|clé|schlüssel|kennwort|clave|contraseña)(?![a-z])"),
 }
 #: Prior of the pattern, gain for a confirmed checksum, gain for a cue word nearby.
-_SCORES = {"iban": (0.3, 0.5, 0.2), "card_alt": (0.2, 0.4, 0.3), "phone_alt": (0.5, 0.0, 0.3)}
+_SCORES = {"iban": (0.3, 0.5, 0.2), "card_alt": (0.2, 0.4, 0.3), "phone_alt": (0.5, 0.0, 0.3), "ssn": (0.3, 0.3, 0.3), "secret": (0.2, 0.4, 0.3)}
+#: Bits a character that a secret has at least; that of a key with a published start is taken as it is.
+ENTROPY = 3.0
 
 
 def luhn(digits: str) -> bool:
@@ -94,21 +108,48 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def entropy(text: str) -> float:
+    """Bits a character."""
+    return -sum(c / len(text) * math.log2(c / len(text)) for c in Counter(text).values())
+
+
+def secret_like(run: str) -> bool:
+    """Whether a run of characters looks drawn at random: letters and digits, and enough entropy."""
+    return run[0] != "/" and "//" not in run and any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and entropy(run) >= ENTROPY
+
+
+def confirmed(kind: str, found: str) -> bool | None:
+    """Whether a validator confirms the span; None where the kind has none."""
+    if kind == "iban":
+        return mod97(found)
+    if kind == "card_alt":
+        digits = re.sub("[^0-9]", "", found)
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    if kind == "secret":
+        return secret_like(found)
+    return True if kind == "ssn" else None
+
+
 def extra_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, str, int, float]]:
     """(start, kind, end, score) of further spans that reach the threshold and overlap no base span."""
     out = []
     if not _DIGIT.search(text):
         return out
-    for kind, pattern in (("iban", _IBAN), ("card_alt", _CARD_ALT), ("phone_alt", _PHONE_ALT)):
+    starts, ends = [b for b, _, _ in base], list(accumulate((e for _, _, e in base), max))
+    for kind, pattern in zip(EXTRA_KINDS, (_IBAN, _CARD_ALT, _PHONE_ALT, _SSN, _SECRET), strict=True):
         prior, checked, cued = _SCORES[kind]
         for m in pattern.finditer(text):
             s, e = m.span()
-            if any(b < e and s < end for b, _, end in base):
+            if kind == "secret":
+                e = s + len(m.group().rstrip("=-") or m.group())
+            before = bisect_left(starts, e)  # base spans that begin before the end
+            if before and ends[before - 1] > s:
                 continue
-            ok = mod97(m.group()) if kind == "iban" else kind == "card_alt" and 12 <= sum(c.isdigit() for c in m.group()) <= 19 and luhn(re.sub("[^0-9]", "", m.group()))
-            if kind != "phone_alt" and not ok:
+            ok = confirmed(kind, text[s:e])
+            if ok is False:
                 continue
-            score = prior + checked * ok + cued * bool(_CUES[kind].search(text, max(0, s - NEARBY), s))
+            cue = bool(_CUES[kind].search(text, max(0, s - NEARBY), s)) or (kind == "secret" and text.startswith(_KEY_STARTS, s))
+            score = prior + checked * bool(ok) + cued * cue
             if score >= THRESHOLD - 1e-9:
                 out.append((s, kind, e, score))
     return out
@@ -125,7 +166,7 @@ def find_pii(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[s
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Spans of each row: id, base count per kind, base_spans and spans as kind:start:end, their least score."""
+    """Spans of each row: id, base count per kind, base_spans and spans as kind:start:end, n_spans, their least score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,10 +175,10 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             base = pa.array([",".join(f"{k}:{s}:{e}" for k, s, e in b) for b, _ in found], pa.string())
             every = pa.array([",".join(f"{k}:{s}:{e}" for k, s, e, _ in x) for _, x in found], pa.string())
             least = pa.array([min((x[3] for x in all_), default=None) for _, all_ in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, base, every, least], ["id", *(f"n_{k}" for k in KINDS), "base_spans", "spans", "least_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, base, every, pa.array([len(x) for _, x in found], pa.int64()), least], ["id", *(f"n_{k}" for k in KINDS), "base_spans", "spans", "n_spans", "least_score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.selectExpr(f"`{id_col}` AS id", f"CAST(`{text_col}` AS string) AS text").mapInArrow(run, f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string, least_score double")
+    return docs.selectExpr(f"`{id_col}` AS id", f"CAST(`{text_col}` AS string) AS text").mapInArrow(run, f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string, n_spans long, least_score double")
 
 
 def mask(text: str | None) -> str:
