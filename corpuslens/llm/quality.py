@@ -27,6 +27,8 @@ WINDOW = 5
 #: EM: rounds, first guess of the share of good documents and of a rule's accuracies, that guess's weight in
 #: votes, bounds of accuracy on good documents and of the share.
 ROUNDS, PRIOR, GOOD, BAD, PRIOR_VOTES, ACCURACY_RANGE, PRIOR_RANGE = 25, 0.85, 0.95, 0.4, 10.0, (0.5, 0.999), (0.05, 0.98)
+#: Up to so many words, variety is the share of distinct words; beyond, they are held against the root of the length.
+VARIETY_WORDS = 500
 #: Frequent function words of English, French, German and Spanish.
 FUNCTION_WORDS = "the of and to in is that for on with as by are it be at this de la le les et en un une des du que qui dans par pour der die das und ist zu den von mit im nicht ein el los las y por con para una".split()
 
@@ -89,7 +91,7 @@ def votes(f: Column) -> dict[str, Column]:
         return F.when(bad, -1).when(good, 1).otherwise(0)
 
     size, symbols, shouts = chars / n, f["n_symbols"] / n, f["n_shouts"] / n
-    repeats, upper, variety = f["n_repeat_words"] / n, f["n_upper"] / chars, f["n_distinct"] / n
+    repeats, upper, variety = f["n_repeat_words"] / n, f["n_upper"] / chars, f["n_distinct"] / F.least(n, F.sqrt(VARIETY_WORDS * n))
     function = f["n_function"] / n
     return {
         "length": vote(f["n_words"] >= 30, f["n_words"] < 10),
@@ -99,7 +101,7 @@ def votes(f: Column) -> dict[str, Column]:
         "capitals": vote(upper < 0.15, upper > 0.4),
         "repeats": vote(repeats <= 0.05, repeats > 0.2),
         "function_words": vote(function >= 0.08, function < 0.02),
-        "variety": F.when((variety < 0.15) & (n >= 50) & (n < 500), -1).when((variety >= 0.3) & (n >= 20), 1).otherwise(0),
+        "variety": F.when((variety < 0.15) & (n >= 50), -1).when((variety >= 0.3) & (n >= 20), 1).otherwise(0),
     }
 
 

@@ -39,7 +39,7 @@ def votes(f):
     def vote(good, bad):
         return -1 if bad else 1 if good else 0
 
-    variety = f["n_distinct"] / n
+    variety = f["n_distinct"] / min(n, math.sqrt(quality.VARIETY_WORDS * n))
     size, function = chars / n, f["n_function"] / n
     return (
         vote(f["n_words"] >= 30, f["n_words"] < 10),
@@ -49,7 +49,7 @@ def votes(f):
         vote(f["n_upper"] / chars < 0.15, f["n_upper"] / chars > 0.4),
         vote(f["n_repeat_words"] / n <= 0.05, f["n_repeat_words"] / n > 0.2),
         vote(function >= 0.08, function < 0.02),
-        vote(variety >= 0.3 and n >= 20, variety < 0.15 and 50 <= n < 500),
+        vote(variety >= 0.3 and n >= 20, variety < 0.15 and n >= 50),
     )
 
 
