@@ -124,8 +124,9 @@ def positions(docs: DataFrame, weights: dict | None = None, block_rows: int = BL
             runs.append({"source": k, "phase": p, "before": s["before"], "start": phase["start"], "period": phase["period"], "slots": s["slots"], "weight": whole[k], "placed": placed})
         ended = [k for k, s in phase["sources"].items() if p + 1 == len(phases) or k not in phases[p + 1]["sources"]]
         placed += phase["length"] * block_rows - sum(blocks[k] * block_rows - sizes[k] for k in ended)
-    for r in runs:  # blocks of a source up to the next phase
-        r["until"] = min([x["before"] for x in runs if x["source"] == r["source"] and x["phase"] > r["phase"]], default=blocks[r["source"]])
+    next_run: dict = dict(blocks)
+    for r in reversed(runs):  # blocks of a source up to its next phase
+        r["until"], next_run[r["source"]] = next_run[r["source"]], r["before"]
     fields = "source string, phase int, before long, start long, period long, slots array<long>, weight long, placed long, until long"
     table = _inline(spark, runs, fields).filter(F.col("before") < F.col("until"))
     scheduled = table.select("source", "phase", "start", "placed", "weight", F.explode(F.sequence(F.col("before") + 1, F.col("until"))).alias("block"), "before", "period", "slots")

@@ -45,6 +45,7 @@ N, THRESHOLD = 5, 0.8
 VALUES, BANDS, ROWS = 128, 64, 6
 STEP, TOLERANCE = 16, 1e-7
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+HUBS = 1000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -267,7 +268,9 @@ def _verify(table: pa.Table) -> pa.Table:
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node of each connected component of ``links`` (a, b), for nodes that have a link.
 
-    Alternating large-star and small-star rounds; each is staged. Nodes' least neighbours are pre-aggregated.
+    Alternating large-star and small-star rounds; each is staged. Nodes' least neighbours are pre-aggregated; those of
+    hubs (over a thousandth of all edge ends, so at most HUBS of them) reach the hub's edges by broadcast, so no
+    task gathers a hub's edges.
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = staged(edges, "edges")
@@ -276,13 +279,19 @@ def components(links: DataFrame) -> DataFrame:
     before = state(edges)
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        hub = F.col("n") * HUBS > 2 * before[0]
+        hubs = staged(least.filter(hub).select("a", "m"), "hubs")
+        up, columns = both.filter("b > a"), [F.col("b").alias("a"), F.col("m").alias("b")]
+        at_hubs = up.join(F.broadcast(hubs), "a").select(*columns)
+        elsewhere = up.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(least.filter(~hub), "a").select(*columns)
+        large = at_hubs.unionByName(elsewhere).filter("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(down, "a")
         small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).distinct()
         older, edges = edges, staged(small, "edges")
         discard(spark, older)
+        discard(spark, hubs)
         now = state(edges)
         if now == before:
             roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

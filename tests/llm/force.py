@@ -114,3 +114,18 @@ def near_groups(texts):
         for g in s:
             holders.setdefault(g, []).append(i)
     return [root(i) for i in range(len(texts))]
+
+
+def mixed_blocks(blocks, weights):
+    """Sources in the order of their blocks' slots: earliest deadline first among released blocks, slot by slot."""
+    left, out = {k: n for k, n in blocks.items() if n}, []
+    while left:
+        names, total, ran, t = sorted(left), sum(weights[k] for k in left), dict.fromkeys(left, 0), 0
+        while len(left) == len(names):
+            free = [k for k in names if ran[k] * total // weights[k] <= t]
+            k = min(free, key=lambda k: (-(-(ran[k] + 1) * total // weights[k]), names.index(k)))
+            out.append(k)
+            ran[k], left[k], t = ran[k] + 1, left[k] - 1, t + 1
+            if not left[k]:
+                del left[k]
+    return out

@@ -79,6 +79,31 @@ def test_mix_is_whole_and_follows_the_weights(spark, weights, part):
         assert all(abs(ran[s] - (slot + 1) * w / total) < 1 for s, w in share.items())
 
 
+@pytest.mark.parametrize("weights", [None, {"a": 1, "b": 7, "c": 2, "d": 90}, {"a": 3, "b": 3, "c": 3}])
+def test_mix_against_brute_force(spark, weights):
+    rng = random.Random(6)
+    rows = [(i, rng.choice("aaaaaaabbbccd")) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    got = {r.id: r.position for r in mixing.positions(docs.repartition(3), weights=weights, block_rows=4, part_rows=50).collect()}
+    own = {}
+    for r in docs.select("doc_id", "source", F.xxhash64(F.lit(20), "doc_id", F.lit(None).cast("long")).alias("h")).collect():
+        parts = -(-sum(s == r.source for _, s in rows) // 50)
+        own.setdefault(r.source, []).append((r.h % parts, r.h, r.doc_id))
+    whole = mixing.whole_weights({"+" + k: len(v) ** 0.5 if weights is None else weights.get(k, 0) for k, v in own.items()})
+    queues = {"+" + k: [i for _, _, i in sorted(v)] for k, v in own.items()}
+    want = []
+    for k in force.mixed_blocks({k: -(-len(v) // 4) for k, v in queues.items()}, whole):
+        want, queues[k] = want + queues[k][:4], queues[k][4:]
+    assert got == {i: p for p, i in enumerate(want)}
+
+
+def test_plans_of_many_sources_are_quick():
+    rng = random.Random(1)
+    sizes = {f"s{k}": int(10 ** rng.uniform(2, 6)) for k in range(300)}
+    plan = mixing.plan({k: -(-n // 32) for k, n in sizes.items()}, mixing.whole_weights({k: n**0.5 for k, n in sizes.items()}))
+    assert sum(p["length"] for p in plan) == sum(-(-n // 32) for n in sizes.values())
+
+
 def test_mixed_rows_come_in_order(spark):
     docs = frame(spark, awkward())
     out = mixing.mixed(docs, block_rows=2)
