@@ -1,11 +1,13 @@
 """Main text of HTML pages by tag-path ratios.
 
 Each text node belongs to a root-to-leaf tag path. Per path the page's text length and punctuation are
-summed and divided by the path's number of nodes; both ratios are smoothed along the page, fused by
-multiplication, and nodes at or above half the standard deviation are content. The element that holds the
-content (the article or main element, with sibling articles that have content; or else the smallest container
-that leaves no content, headline or loose paragraph beside it) is the article; its blocks in page order, without the parts that serve the page rather than the article, are the
-text. So short paragraphs and headings of the article stay although their own ratio is low.
+summed and divided by the path's number of nodes; both ratios are smoothed along the page (which raises a node to
+at most ``RAISED`` times its own, so what borders on the article isn't taken for it), fused by multiplication, and held against half the standard deviation. What tags,
+roles and names say is fused in as one more factor: 0 for parts that serve the page and, where article elements
+hold content, for what lies outside them; ``NAMED`` for parts with a service name. Nodes at or above the threshold
+are content. The smallest container that leaves no content, headline or loose paragraph beside it is the article; its
+blocks in page order are the text, without nodes of score 0 and without named parts that hold no content. So short
+paragraphs, headings and lists of the article stay although their own ratio is low.
 
 Defined results: null, empty and text-free html give the empty string; markup errors are repaired as
 browsers usually do (unclosed paragraphs, stray end tags, open comments); pages are read one by one, so
@@ -26,6 +28,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
+_FOREIGN = frozenset(("svg", "math"))  # the only ones that a slash closes
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 _CONTAINER = frozenset("html body div main article section table tbody tr td center details".split())
 _ENDS_P = _BLOCK - {"option", "select", "legend", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
@@ -57,6 +60,8 @@ _NAMEABLE_OUTSIDE = _NAMEABLE | {"tbody", "td", "tr"}
 _MARKED = frozenset(("a", "article", "h1", "main"))
 #: Text beside a container that belongs to the article with it.
 _LOOSE = frozenset("h1 h2 h3 h4 h5 h6 hgroup p blockquote pre".split())
+#: Smoothing raises a node's ratio to so many times its own at most; factor for parts with a service name.
+RAISED, NAMED = 1.0, 0.05
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；：]")
 _DIGITS = re.compile(r"[0-9]+")
 
@@ -118,28 +123,6 @@ def _totals(own: dict[_Element, float]) -> dict[_Element, float]:
     return out
 
 
-def serving(nodes: list[tuple[_Element, int, str]], scores: list[float]) -> dict[_Element, bool]:
-    """Whether each element that has text, or its ancestor, serves the page.
-
-    A name alone doesn't count where the element holds the article element or most of the page's content
-    (a layout may be named after its sidebar).
-    """
-    own: dict[_Element, float] = {}
-    for (e, _, t), s in zip(nodes, scores, strict=True):
-        own[e] = own.get(e, 0.0) + (len(t) if s >= 1 else 0)
-    weight, total = _totals(own), sum(own.values())
-    out: dict[_Element, bool] = {}
-    for e, _, _ in nodes:
-        chain = []
-        while e and e not in out:
-            chain.append(e)
-            e = e.parent
-        above = bool(e) and out[e]
-        for x in reversed(chain):
-            above = out[x] = above or x.service or (x.named and not x.holds and weight.get(x, 0.0) < 0.6 * total)
-    return out
-
-
 def parse(html: str) -> list[tuple[_Element, int, str]]:
     """Text nodes in page order: element, number of the block, decoded text. A br is a line feed."""
     nodes: list[tuple[_Element, int, str]] = []
@@ -184,7 +167,7 @@ def parse(html: str) -> list[tuple[_Element, int, str]]:
             if tag in _BLOCK:
                 block += 1
             continue
-        if tag in _RAW and not m[3].rstrip().endswith("/"):
+        if tag in _RAW and not (tag in _FOREIGN and m[3].rstrip().endswith("/")):
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             at = end.end() if end else size
             continue
@@ -216,7 +199,7 @@ def parse(html: str) -> list[tuple[_Element, int, str]]:
     return nodes
 
 
-def content_scores(nodes: list[tuple[_Element, int, str]]) -> list[float]:
+def path_ratios(nodes: list[tuple[_Element, int, str]]) -> list[float]:
     """Fused, smoothed tag-path ratio of each node, as a multiple of the threshold."""
     length, points, count = {}, {}, {}
     for e, _, t in nodes:
@@ -225,39 +208,81 @@ def content_scores(nodes: list[tuple[_Element, int, str]]) -> list[float]:
             length[e.path] = length.get(e.path, 0) + n
             points[e.path] = points.get(e.path, 0) + len(_PUNCT.findall(t))
             count[e.path] = count.get(e.path, 0) + 1
+    if not count:
+        return [0.0] * len(nodes)
     kernel = [0.25, 0.5, 0.25]
 
     def smooth(values: list[float]) -> list[float]:
         last = len(values) - 1
         return [sum(w * values[min(max(i + k - 1, 0), last)] for k, w in enumerate(kernel)) for i in range(len(values))]
 
-    if not count:
-        return [0.0] * len(nodes)
-    by_text = smooth([length.get(e.path, 0) / count.get(e.path, 1) for e, _, _ in nodes])
-    by_points = smooth([points.get(e.path, 0) / count.get(e.path, 1) for e, _, _ in nodes])
-    fused = [a * (b + 0.1) for a, b in zip(by_text, by_points, strict=True)]
+    fuse = lambda by_text, by_points: [a * (b + 0.1) for a, b in zip(by_text, by_points, strict=True)]
+    by_text = [length.get(e.path, 0) / count.get(e.path, 1) for e, _, _ in nodes]
+    by_points = [points.get(e.path, 0) / count.get(e.path, 1) for e, _, _ in nodes]
+    fused = [min(a, RAISED * own) for a, own in zip(fuse(smooth(by_text), smooth(by_points)), fuse(by_text, by_points), strict=True)]
     mean = sum(fused) / len(fused)
     spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
     level = 0.5 * spread or min((x for x in fused if x), default=1.0)
     return [x / level for x in fused]
 
 
-def _article(nodes: list[tuple[_Element, int, str]], scores: list[float], service: dict[_Element, bool]) -> list[_Element]:
-    """The elements that are taken whole: one, or sibling articles."""
+def _inherited(nodes: list[tuple[_Element, int, str]], holds) -> dict[_Element | None, bool]:
+    """Whether ``holds`` is true of each element that has text or of one of its ancestors."""
+    out: dict[_Element | None, bool] = {None: False}
+    for e, _, _ in nodes:
+        chain = []
+        x: _Element | None = e
+        while x not in out:
+            chain.append(x)
+            x = x.parent
+        above = out[x]
+        for x in reversed(chain):
+            above = out[x] = above or holds(x)
+    return out
+
+
+def _sums(nodes: list[tuple[_Element, int, str]], value) -> dict[_Element, float]:
+    """Each element's sum of ``value(k, element, text)`` over its nodes."""
     own: dict[_Element, float] = {}
-    sure: dict[_Element, float] = {}  # content nodes and headlines, links apart
-    for (e, _, t), s in zip(nodes, scores, strict=True):
-        if t.strip() and not service[e]:
-            own[e] = own.get(e, 0.0) + len(t) * (1.0 if s >= 1 else 0.01)  # what is below the threshold only breaks ties
-            sure[e] = sure.get(e, 0.0) + (len(t) if (s >= 1 or "h1" in e.inside) and "a" not in e.inside else 0)
-    if not own:
-        return []
-    weight, held = _totals(own), _totals(sure)
-    named = {e: w for e, w in weight.items() if e.tag in ("article", "main")}
-    outer = {e: w for e, w in named.items() if e.tag == "article" and "article" not in e.parent.inside} or named
+    for k, (e, _, t) in enumerate(nodes):
+        own[e] = own.get(e, 0.0) + value(k, e, t)
+    return _totals(own)
+
+
+def content_scores(nodes: list[tuple[_Element, int, str]]) -> list[float]:
+    """Path ratio of each node, as a multiple of the threshold, with what tags, roles and names say fused in."""
+    ratios = path_ratios(nodes)
+    weight = _sums(nodes, lambda k, e, t: len(t) if ratios[k] >= 1 else 0)
+    total = next((w for e, w in weight.items() if e.parent is None), 0.0)
+    service = _inherited(nodes, lambda e: e.service)
+    # a name alone doesn't count where its element holds the article element or most of the content (a layout may be named after its sidebar)
+    named = _inherited(nodes, lambda e: e.named and not e.holds and weight.get(e, 0.0) < 0.6 * total)
+    scores = [0.0 if service[e] else r * NAMED if named[e] else r for (e, _, _), r in zip(nodes, ratios, strict=True)]
+    # the article or main element with most text of content, and its sibling articles that have some
+    held = _sums(nodes, lambda k, e, t: len(t) if scores[k] >= 1 else 0.01 * len(t) * (scores[k] > 0))
+    marked = {e: w for e, w in held.items() if e.tag in ("article", "main") and w}
+    outer = {e: w for e, w in marked.items() if e.tag == "article" and "article" not in e.parent.inside} or marked
     if outer:
         best = max(outer, key=outer.get)  # the first of equals
-        return [e for e in outer if e is best or (e.parent is best.parent and held[e])]
+        sure = _sums(nodes, lambda k, e, t: len(t) * ((scores[k] >= 1 or (scores[k] > 0 and "h1" in e.inside)) and "a" not in e.inside))
+        chosen = {e for e in outer if e is best or (e.parent is best.parent and sure[e])}
+        inside = _inherited(nodes, chosen.__contains__)
+        scores = [s if inside[e] else 0.0 for (e, _, _), s in zip(nodes, scores, strict=True)]
+    return scores
+
+
+def _article(nodes: list[tuple[_Element, int, str]], scores: list[float]) -> _Element | None:
+    """The smallest container that leaves nothing of the article beside it."""
+    some = [(n, s) for n, s in zip(nodes, scores, strict=True) if s and n[2].strip()]
+    if not some:
+        return None
+    nodes, scores = [n for n, _ in some], [s for _, s in some]
+    weight = _sums(nodes, lambda k, e, t: len(t) * (1.0 if scores[k] >= 1 else 0.01))  # what is below the threshold only breaks ties
+    # content nodes and headlines, links apart
+    own: dict[_Element, float] = {}
+    for (e, _, t), s in some:
+        own[e] = own.get(e, 0.0) + (len(t) if (s >= 1 or "h1" in e.inside) and "a" not in e.inside else 0)
+    held = _totals(own)
     children: dict[_Element, list[_Element]] = {}
     for e in weight:
         if e.parent:
@@ -265,11 +290,11 @@ def _article(nodes: list[tuple[_Element, int, str]], scores: list[float], servic
     here = next(e for e in weight if e.parent is None)
     while here in children:
         child = max(children[here], key=weight.get)
-        beside = sure.get(here, 0) or any(x is not child and (held[x] or x.tag in _LOOSE) for x in children[here])
+        beside = own.get(here, 0) or any(x is not child and (held[x] or x.tag in _LOOSE) for x in children[here])
         if beside or child.tag not in _CONTAINER:
             break
         here = child
-    return [here]
+    return here
 
 
 def main_text(html: str | None) -> str:
@@ -278,20 +303,15 @@ def main_text(html: str | None) -> str:
         return ""
     nodes = parse(html)
     scores = content_scores(nodes)
-    service = serving(nodes, scores)
-    roots = _article(nodes, scores, service)
-    if not roots:
+    root = _article(nodes, scores)
+    if root is None:
         return ""
+    within = _inherited(nodes, lambda e: e is root)
+    content = _sums(nodes, lambda k, e, t: float(scores[k] >= 1))
+    dropped = _inherited(nodes, lambda e: e.named and not e.holds and not content[e])
     blocks: dict[int, list[str]] = {}
-    within: dict[_Element | None, bool] = {**dict.fromkeys(roots, True), None: False}
-    for e, b, t in nodes:
-        chain = []
-        x: _Element | None = e
-        while x not in within:
-            chain.append(x)
-            x = x.parent
-        within.update((c, within[x]) for c in chain)
-        if within[e] and not service[e]:
+    for (e, b, t), s in zip(nodes, scores, strict=True):
+        if within[e] and not dropped[e] and (s or not t.strip()):
             blocks.setdefault(b, []).append(t)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(x for x in lines if x)

@@ -1,6 +1,8 @@
+import html as html_entities
 import random
 import re
 
+import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -146,6 +148,46 @@ def test_nothing_of_the_article_stays_beside_its_container():
     assert main_text.main_text(html).split("\n") == [*lines, last]
 
 
+def pages_of(data="/root/testdata/sf0.01"):
+    return [r["html"] for r in pq.read_table(f"{data}/pages.parquet", columns=["html"]).to_pylist()]
+
+
+def bare(page):
+    """The page without the tags and names that tell its parts."""
+    return re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(?:article|nav|footer|header|aside|main|section)\b[^>]*>", r"<\1div>", page))
+
+
+def test_pages_against_brute_force():
+    for page in pages_of():
+        inner = re.search(r"<article>(.*?)</article>", re.sub(r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", "", page), re.S)[1]
+        blocks = re.split(r"</?(?:p|h[1-6]|div|ul|ol|li|blockquote|pre|table|tr|td)\b[^>]*>", inner)
+        lines = (" ".join(html_entities.unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br[^>]*>", " ", b))).split()) for b in blocks)
+        assert main_text.main_text(page) == "\n".join(x for x in lines if x)
+
+
+def test_bare_pages_keep_the_article_whole():
+    same = 0
+    for page in pages_of():
+        want, got = main_text.main_text(page), main_text.main_text(bare(page))
+        assert want in got
+        same += want == got
+    assert same >= 0.6 * len(pages_of())
+
+
+def test_the_scores_choose(monkeypatch):
+    pages = pages_of()[:50]
+    before = [[main_text.main_text(f(p)) for p in pages] for f in (str, bare)]
+    monkeypatch.setattr(main_text, "path_ratios", lambda nodes: [1.0] * len(nodes))
+    plain = [main_text.main_text(bare(p)) for p in pages]
+    assert all(b != c for a, b, c in zip(*before, plain, strict=True) if a == b)
+    monkeypatch.setattr(main_text, "content_scores", lambda nodes: [1.0] * len(nodes))
+    assert all(x != main_text.main_text(p) for x, p in zip(before[0], pages, strict=True))
+
+
+def test_a_slash_closes_no_script():
+    assert main_text.main_text("<article><p>Text, as it is.</p><script src=/a/>var secret=1;</script><p>More, too.</p></article>") == "Text, as it is.\nMore, too."
+
+
 def test_odd_html():
     assert main_text.main_text(None) == main_text.main_text("") == main_text.main_text("<p></p>") == main_text.main_text("<script>x") == main_text.main_text("<!-- open") == ""
     assert main_text.main_text("a < b & c") == "a < b & c"
