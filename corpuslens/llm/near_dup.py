@@ -265,6 +265,11 @@ def _verify(table: pa.Table) -> pa.Table:
     return pa.table({"rep": reps[got], "links": links[got], "root": reps[np.array(root, int)[got]] if len(got) else pa.array([], pa.int64())}).cast(empty.schema)
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by keys to a stated number of partitions: few bytes may be much work, so adaptive execution isn't to join them."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node of each connected component of ``links`` (a, b), for nodes that have a link.
 
@@ -316,7 +321,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     bucketed = keyed.join(shared, "key").join(banded.select("rep", "size", "sig"), "rep")
     dealt = _paired(bucketed, "key", "rep", F.ceil(F.col("n") / block))
-    likely = dealt.groupBy("key", "lo", "hi").applyInArrow(_prune, "a long, b long")
+    likely = _spread(dealt, "key", "lo", "hi").groupBy("key", "lo", "hi").applyInArrow(_prune, "a long, b long")
     clusters = staged(components(likely), "clusters")
 
     # each cluster's sets, made again from the texts of its classes
@@ -335,7 +340,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     filled = sets.select("root", "rep", "copies", "sig", "members", "shingles", "text").mapInArrow(fill, "root long, rep long, copies long, sig binary, members long, shingles long, own binary")
     blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
     tasks = _paired(filled, "root", "rep", F.least(blocks, F.col("members"))).drop("members", "shingles")
-    verified = staged(tasks.groupBy("root", "lo", "hi").applyInArrow(_verify, "rep long, links long, root long"), "links")
+    verified = staged(_spread(tasks, "root", "lo", "hi").groupBy("root", "lo", "hi").applyInArrow(_verify, "rep long, links long, root long"), "links")
 
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")

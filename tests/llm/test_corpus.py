@@ -185,6 +185,25 @@ def test_pipeline_against_brute_force(spark, data):
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want and len(got) == len(want)
 
 
+def test_pipeline_on_awkward_rows_and_on_none(spark, tmp_path):
+    docs = frame(spark, awkward() + [(200 + k, "The quick words of a clean text go here and there, as it is told, number %d." % k + " More of them follow in the same way." * (k % 2), None) for k in range(12)])
+    docs.write.parquet(f"file://{tmp_path}/some/documents.parquet")
+    docs.limit(0).write.parquet(f"file://{tmp_path}/none/documents.parquet")
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}/some").collect()
+    rows = [(i, t or "") for i, t, _ in [(r.doc_id, r.text, r.source) for r in docs.collect()]]
+    kept = [r for r, j in zip(rows, force.judged([t for _, t in rows]), strict=True) if j[2]]
+    last = {}
+    for i, t in kept:
+        last[t.translate(force.LOWER)] = max((i, t), last.get(t.translate(force.LOWER), (i, t)))
+    kept = sorted(last.values())
+    roots = force.near_groups([t for _, t in kept])
+    kept = {i: t for k, (i, t) in enumerate(kept) if roots[k] == k}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in kept.items()}
+    assert sorted(r.position for r in got) == list(range(len(kept))) and len(kept) > 5
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
+
+
 def test_pipeline_positions_follow_the_mix(spark, data, monkeypatch):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "source")
     want = {r.id: r.position for r in mixing.positions(docs).collect()}
