@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. What a stage returns
 is written as Parquet and read back for the next.
+
+Defined results: documents with a null or empty text, or fewer than ten words, go with the quality rules, so later
+stages see none when run() starts; a null source is a source of its own. Of rows with equal texts, lower case alike,
+one stays: that of the largest id (a null id is smallest), of fully repeated rows any one. Of a group of near copies
+the row of the least id stays. Ties in the mix go by id, then by scan order. Very long texts are taken whole by
+every stage. An empty table gives an empty result. All stages but the last keep extra columns, whatever their names;
+the last gives doc_id, n_tokens, ids_sha256, decoded_sha256 and position (0, 1, ... in the mix).
 """
 
 from __future__ import annotations
