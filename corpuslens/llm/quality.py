@@ -2,7 +2,8 @@
 
 Each rule votes good (1) or bad (-1) on a document or abstains (0). The votes' patterns are counted, at most
 3 to the number of rules of them, and expectation-maximisation over that table estimates the share of good
-documents and each rule's accuracy when it votes. A document's posterior probability of being good replaces
+documents and each rule's accuracy when it votes. Documents that fail the base test are rejected anyway; they don't
+count in the estimation, which would else take their faults (repeated words) for the only ones. A document's posterior probability of being good replaces
 the demand that it pass every rule. The estimation is one SQL expression over the pattern table, whose size
 does not depend on the corpus.
 
@@ -140,7 +141,7 @@ def fit(patterns: DataFrame) -> DataFrame:
                 bad = share(rows, j, -1, lambda r: r["n"] - r["g"], BAD)
                 return bound(good, lambda a: F.struct(a.alias("good"), clamp(bad, 1 - a, high).alias("bad")))
 
-            prior = total(rows, lambda r: r["g"]) / total(rows, lambda r: r["n"])
+            prior = (total(rows, lambda r: r["g"]) + PRIOR * PRIOR_VOTES) / (total(rows, lambda r: r["n"]) + PRIOR_VOTES)
             return F.struct(clamp(prior, *(F.lit(x) for x in PRIOR_RANGE)).alias("prior"), F.transform(numbers, rule).alias("rules"))
 
         return bound(weighed, update)
@@ -165,7 +166,8 @@ def _voted(docs: DataFrame, text_col: str, keep: list[str], mark: str) -> DataFr
 
 
 def _model(voted: DataFrame, mark: str) -> DataFrame:
-    patterns = voted.groupBy(F.col(f"{mark}.v").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    judged_by_it = F.when(base_failed(F.col(f"{mark}.f")), 0).otherwise(1)
+    patterns = voted.groupBy(F.col(f"{mark}.v").alias("v")).agg(F.sum(judged_by_it).alias("n"))
     return staged(fit(patterns), "model").select(F.col("v").alias(f"{mark}_v"), F.col("posterior").alias(f"{mark}_p"))
 
 

@@ -73,7 +73,8 @@ def posteriors(patterns):
             bad = (sum(n - g for v, n, g in weighed if v[j] == -1) + quality.BAD * s) / (sum(n - g for v, n, g in weighed if v[j]) + s)
             good = min(max(good, low), high)
             new.append((good, min(max(bad, 1 - good), high)))
-        prior = min(max(sum(g for *_, g in weighed) / sum(n for _, n, _ in weighed), quality.PRIOR_RANGE[0]), quality.PRIOR_RANGE[1])
+        s = quality.PRIOR_VOTES
+        prior = min(max((sum(g for *_, g in weighed) + quality.PRIOR * s) / (sum(n for _, n, _ in weighed) + s), quality.PRIOR_RANGE[0]), quality.PRIOR_RANGE[1])
         rules = new
     return {v: post(v) for v in patterns}
 
@@ -82,10 +83,12 @@ def judged(texts):
     """(counts, base_failed, kept, posterior) of each text."""
     features = [counts(t) for t in texts]
     cast = [votes(f) for f in features]
-    model = posteriors(Counter(cast))
+    base = [f["n_words"] < 10 or 100 * f["n_repeat_words"] > 20 * f["n_words"] for f in features]
+    patterns = Counter(dict.fromkeys(cast, 0))
+    patterns.update(v for v, failed in zip(cast, base, strict=True) if not failed)
+    model = posteriors(patterns)
     out = []
-    for f, v in zip(features, cast, strict=True):
-        failed = f["n_words"] < 10 or 100 * f["n_repeat_words"] > 20 * f["n_words"]
+    for f, v, failed in zip(features, cast, base, strict=True):
         out.append((f, failed, not failed and model[v] >= 0.5, model[v]))
     return out
 
