@@ -1,4 +1,9 @@
 import datetime as dt
+import itertools
+import random
+
+import numpy as np
+import pytest
 
 from corpuslens.operators import chunking, ingest, texts
 from corpuslens.operators import relational as R
@@ -15,6 +20,57 @@ def test_chunks_tile_the_text_within_budget():
     assert chunking.chunk("court") == [(0, 5, 0)]
 
 
+def plans_by_force(places, penalty, n, budget, first, rest, low, high):
+    """Least cost over all cuts and contexts."""
+    size, best = places[-1], float("inf")
+    even = (size + first + (n - 1) * (rest + low)) / n
+    for inner in itertools.combinations(range(1, len(places) - 1), n - 1):
+        cuts = [0, *inner, len(places) - 1]
+        total = 0.0
+        for k, (a, b) in enumerate(itertools.pairwise(cuts)):
+            if k == 0:
+                options = [((first + places[b] - even) / budget) ** 2] if first + places[b] <= budget else []
+            else:
+                reach = [c for c in range(a + 1) if low <= places[a] - places[c] <= high]
+                options = [((rest + places[b] - places[c] - even) / budget) ** 2 + penalty[c] for c in reach if rest + places[b] - places[c] <= budget]
+            total += min(options, default=float("inf")) + penalty[b]
+        best = min(best, total)
+    return best
+
+
+def test_chunk_plans_against_brute_force():
+    rng = random.Random(3)
+    feasible = 0
+    for _ in range(300):
+        places = [0, *sorted(rng.sample(range(1, 60), rng.randint(2, 8))), 60]
+        penalty = [0.0, *[rng.choice([0.0, 1.0, 3.0, 9.0]) for _ in places[1:-1]], 0.0]
+        n, budget, first, rest, low, high = rng.randint(2, 4), rng.randint(20, 45), rng.randint(0, 4), rng.randint(0, 6), rng.randint(0, 6), rng.randint(6, 20)
+        plan = chunking.cheapest(np.array(places), np.array(penalty), n, budget, first, rest, low, high, 1.0, 1.0)
+        want = plans_by_force(places, penalty, n, budget, first, rest, low, high)
+        assert (plan is None) == (want == float("inf"))
+        if plan:
+            feasible += 1
+            even, at = (60 + first + (n - 1) * (rest + low)) / n, dict(zip(places, penalty, strict=True))
+            cost = sum(((first + b - even) / budget) ** 2 + at[b] if k == 0 else ((rest + b - c - even) / budget) ** 2 + at[b] + at[c] for k, (_, b, c) in enumerate(plan))
+            assert abs(cost - want) < 1e-9
+    assert feasible > 50
+
+
+def test_chunks_of_odd_texts(spark):
+    assert chunking.chunk("") == []
+    with pytest.raises(chunking.Infeasible):
+        chunking.chunk("x" * 9000, chunk_tokens=512, overlap_min=20, overlap_max=60)
+    places, penalty = chunking.candidates("a\n\nbb. c")
+    assert places.tolist() == [0, 2, 3, 6, 7, 8] and penalty.tolist() == [0.0, 1.0, 0.0, 5.0, 3.0, 0.0]
+    assert chunking.embedding_text("BODY", 0, 4, 0, 0, "HDR", "VISA") == "HDR\n\nBODY"
+    assert chunking.embedding_text("--CTXBODY", 5, 9, 2, 1, "HDR", "VISA") == f"HDR\n\nVISA{chunking.MARK}CTXBODY"
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (4, "x" * 9000), (5, "One sentence of it. " * 400)], "doc_id long, text string")
+    got = chunking.chunk_documents(docs, chunk_tokens=512, overlap_min=20, overlap_max=60).collect()
+    by = {i: sorted((r for r in got if r.doc_id == i), key=lambda r: r.chunk_index) for i in range(1, 6)}
+    assert not by[1] and not by[2] and [tuple(r) for r in by[3]] == [(3, 0, 0, 5, 0, "short")] and [tuple(r) for r in by[4]] == [(4, -1, None, None, None, None)]
+    assert "".join(r.body for r in by[5]) == "One sentence of it. " * 400 and len(by[5]) > 1
+
+
 def test_highlight_marks_the_best_fragment():
     out = texts.highlight([(1, "rien ici. le congé payé est dû"), (2, "vide")], "congé")
     assert out == {1: "rien ici. le <mark>congé</mark> payé est dû"}
