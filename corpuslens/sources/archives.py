@@ -12,7 +12,7 @@ import re
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
-from html import unescape
+from html import escape, unescape
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -46,8 +46,8 @@ def _unpack(found: DataFrame, members: Callable[[bytes], Iterator[tuple[str, byt
     return found.mapInPandas(run, MEMBER)
 
 
-def zip_members(spark: SparkSession, path: str, suffix: str = ".xml", glob: str = "*.zip") -> DataFrame:
-    """archive, member, raw of the zip archives' members with ``suffix``."""
+def unzipped(found: DataFrame, suffix: str = ".xml") -> DataFrame:
+    """archive, member, raw of the members with ``suffix`` of zip archives (path, content)."""
 
     def members(content: bytes) -> Iterator[tuple[str, bytes]]:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -55,11 +55,15 @@ def zip_members(spark: SparkSession, path: str, suffix: str = ".xml", glob: str
                 if info.filename.lower().endswith(suffix):
                     yield info.filename, z.read(info)
 
-    return _unpack(files(spark, path, glob), members)
+    return _unpack(found, members)
 
 
-def tar_members(spark: SparkSession, path: str, suffix: str = "", glob: str = "*.tar.gz") -> DataFrame:
-    """archive, member, raw of the archives' regular files, read as a stream."""
+def zip_members(spark: SparkSession, path: str, suffix: str = ".xml", glob: str = "*.zip") -> DataFrame:
+    return unzipped(files(spark, path, glob), suffix)
+
+
+def untarred(found: DataFrame, suffix: str = "") -> DataFrame:
+    """archive, member, raw of the regular files of compressed tar archives (path, content), read as a stream."""
 
     def members(content: bytes) -> Iterator[tuple[str, bytes]]:
         with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz") as t:
@@ -67,7 +71,11 @@ def tar_members(spark: SparkSession, path: str, suffix: str = "", glob: str = "*
                 if info.isfile() and info.name.endswith(suffix):
                     yield info.name, t.extractfile(info).read()
 
-    return _unpack(files(spark, path, glob), members)
+    return _unpack(found, members)
+
+
+def tar_members(spark: SparkSession, path: str, suffix: str = "", glob: str = "*.tar.gz") -> DataFrame:
+    return untarred(files(spark, path, glob), suffix)
 
 
 def member_names(members: DataFrame) -> DataFrame:
@@ -81,6 +89,10 @@ def jsonl(spark: SparkSession, path: str, schema: str | None = None, glob: str =
 
 
 def csv_records(spark: SparkSession, path: str, delimiter: str = ";", encoding: str = "latin-1", suffix: str = ".csv", glob: str = "*.zip") -> DataFrame:
+    return csv_from(zip_members(spark, path, suffix, glob), delimiter, encoding)
+
+
+def csv_from(members: DataFrame, delimiter: str = ";", encoding: str = "latin-1") -> DataFrame:
     """archive, member, line, record (column to value) of CSV members, by their header."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,7 +111,7 @@ def csv_records(spark: SparkSession, path: str, delimiter: str = ";", encoding:
                 if rows:
                     yield pd.DataFrame(rows, columns=["archive", "member", "line", "record"])
 
-    return zip_members(spark, path, suffix, glob).mapInPandas(run, "archive string, member string, line long, record map<string,string>")
+    return members.mapInPandas(run, "archive string, member string, line long, record map<string,string>")
 
 
 def parse_xml(raw: bytes) -> ElementTree.Element | None:
@@ -137,6 +149,15 @@ def docx_text(raw: bytes) -> str:
     return "\n".join(unescape("".join(re.findall(r"<w:t[^>]*>([^<]*)</w:t>", p))) for p in paragraphs)
 
 
+def docx_bytes(text: str) -> bytes:
+    """A DOCX file of the text's lines, as paragraphs."""
+    paragraphs = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in text.split("\n"))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{paragraphs}</w:body></w:document>')
+    return out.getvalue()
+
+
 _DOUBLE = re.compile(r"[Â-ô][\u0080-¿]+")
 
 
@@ -152,6 +173,16 @@ def repair_encoding(text: str) -> str:
     return _DOUBLE.sub(fix, text).replace("&amp;nbsp;", " ")
 
 
+def repaired(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with a column's encoding repaired."""
+
+    @F.pandas_udf("string")
+    def mended(texts: pd.Series) -> pd.Series:
+        return texts.map(repair_encoding, na_action="ignore")
+
+    return rows.withColumn(column, mended(column))
+
+
 def decisions_from_json(lines: DataFrame) -> DataFrame:
     """Court decisions from API lines: identity, court, date, dockets, text and its zones as sections."""
     schema = "id string, jurisdiction string, chamber string, decision_date string, number string, numbers array<string>, ecli string, text string, zones map<string,array<struct<start:int,`end`:int>>>"

@@ -35,7 +35,17 @@ def compact(lines: DataFrame, uid: str, position: str, tombstones: DataFrame) ->
 
 def reservoir(rows: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """Uniform sample of k rows, the same for the same seed: the k smallest seeded hashes."""
-    return rows.withColumn("_h", F.xxhash64(F.lit(seed), key)).orderBy("_h", key).limit(k).drop("_h")
+    return rows.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))).orderBy("_h", key).limit(k).drop("_h")
+
+
+def every_nth(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The sample of rows whose whole-number key ``n`` divides."""
+    return rows.filter(F.col(key) % n == 0)
+
+
+def after_done(lines: DataFrame, state: DataFrame, file: str, line: str) -> DataFrame:
+    """Lines beyond those that the state (file, done) counts; files it lacks are read from the start."""
+    return lines.join(state, file, "left").filter(F.col(line) > F.coalesce("done", F.lit(0))).drop("done")
 
 
 def months(spark: SparkSession, first: str, last: str) -> DataFrame:
@@ -72,7 +82,7 @@ class _PagedReader(DataSourceReader):
 
         store, root = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
         found = store.get_file_info(fs.FileSelector(root, recursive=False))
-        return [Page(i.path) for i in sorted(found, key=lambda i: i.path) if i.is_file and i.base_name > self.after]
+        return [Page(i.path) for i in sorted(found, key=lambda i: i.path) if i.is_file and i.base_name[0] not in "._" and i.base_name > self.after]
 
     def read(self, partition: Page):
         from pyarrow import fs
