@@ -25,8 +25,8 @@ STOPWORDS = (
 # Words that may not open or close a suggestion, and words that no suggestion contains.
 BORDER_WORDS = "apres autre autres avant celle celles celui ceux chaque entre moins outre plus selon sous tous tout toute toutes tres vers".split()
 CLAUSE_BREAKERS = (
-    "ainsi alors car cependant comme doit doivent donc dont elle elles encore enfin ensuite est ete etre il ils lorsqu lorsque notamment on peut peuvent puis puisque "
-    "quand seulement si sinon toutefois"
+    "ainsi alors aussi comme deja doit doivent donc dont elle elles encore enfin ensuite est ete etre il ils lorsqu lorsque notamment on peut peuvent puis puisque quand "
+    "seulement si sinon toutefois"
 ).split()
 
 TOKEN = r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"
@@ -183,3 +183,16 @@ def natural_key(x: Column) -> Column:
     p = F.regexp_extract(x, r"^\**(lo|lp|l|r|d|a)?[0-9]", 1)
     rank = F.when(x.rlike("^[0-9]"), 0).when(p == "l", 1).when(p == "lo", 2).when(p == "r", 3).when(p == "d", 4).when(p == "a", 5).otherwise(6)
     return F.struct(rank.alias("part"), F.transform(F.regexp_extract_all(x, F.lit("[0-9]+"), F.lit(0)), lambda n: n.cast("bigint")).alias("numbers"), x.alias("raw"))
+
+
+def law_number(x: Column) -> Column:
+    """Number of an act as it is cited (n° 65-557, 65 – 557): 65-557; null where no digit is left."""
+    t = F.regexp_replace(F.translate(fold_nfd(x), "‑‐–—", "----"), r"^(?:numero |n° ?|no |n |num )", "")
+    plain = F.regexp_replace(t, r"[\s.]", "")
+    return F.when(plain.rlike("[0-9]"), plain)
+
+
+def instrument_key(nature: Column, date: Column, number: Column) -> Column:
+    """nature|date|number of an act; null where any of them is missing."""
+    n = F.nullif(fold_nfd(nature), F.lit(""))
+    return F.concat(n, F.lit("|"), F.nullif(F.trim(date), F.lit("")), F.lit("|"), law_number(number))

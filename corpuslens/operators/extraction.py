@@ -12,7 +12,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 _NUMBER = r"(?:[LRDA]\.?\s?\*?|LO\.?\s?)?\d+(?:-\d+)*(?:\s(?:bis|ter|quater))?"
 _CITATION = re.compile(rf"(?i)\barticles?\s+({_NUMBER}(?:\s*(?:,|et|ou|à)\s*{_NUMBER})*)\s+(?:du|de la|de l['’]|des)\s+((?:code|loi|décret|règlement|convention)\b[^.,;:()\n]{{0,80}})")
@@ -96,7 +97,11 @@ def extract_frame(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.selectExpr(f"{id_col} AS id", f"{text_col} AS text").mapInPandas(run, schema)
 
 
-def gazetteer(cited: str, names: list[str], common: frozenset[str] = frozenset("de la le les des du et convention collective nationale accord".split())) -> str | None:
+# Words that tell no agreement from another.
+COMMON = frozenset("de la le les des du et convention collective nationale accord".split())
+
+
+def gazetteer(cited: str, names: list[str], common: frozenset[str] = COMMON) -> str | None:
     """The listed name that a citation means: its distinctive words are a subset, the closest wins, ties abstain."""
     skeleton = lambda s: frozenset(w for w in re.findall(r"\w+", s.lower()) if w not in common and len(w) > 1)
     q = skeleton(cited)
@@ -109,6 +114,31 @@ def gazetteer(cited: str, names: list[str], common: frozenset[str] = frozenset("
     return None if len(s - q) > 1 and score < 0.5 else name
 
 
+def skeleton(name: Column) -> Column:
+    """Distinctive words of a name, sorted."""
+    words = F.regexp_extract_all(F.lower(name), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*COMMON))))
+
+
+def snapped(cited: DataFrame, key: str, cited_col: str, names: DataFrame, name_col: str) -> DataFrame:
+    """``gazetteer`` for a table of citations and one of names: key, found. Candidates share the citation's rarest word.
+
+    Only names that hold the rarest word can hold all, so each citation meets that word's names alone.
+    """
+    q = cited.select(F.col(key).alias("key"), skeleton(F.col(cited_col)).alias("q")).filter(F.size("q") >= 2)
+    n = names.select(F.col(name_col).alias("name"), skeleton(F.col(name_col)).alias("s"))
+    words = n.select("name", "s", F.explode("s").alias("w"))
+    rare = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    first = q.select("key", "q", F.explode("q").alias("w")).join(rare, "w", "left").groupBy("key").agg(F.first("q").alias("q"), F.min_by("w", F.struct(F.coalesce("df", F.lit(0)), "w")).alias("w"))
+    fits = first.join(words, "w").filter(F.size(F.array_except("q", "s")) == 0)
+    score = F.size("q") / F.size(F.array_union("q", "s"))
+    scored = fits.select("key", "name", "s", score.alias("score"), (F.size("s") - F.size("q")).alias("more"))
+    best = scored.groupBy("key").agg(F.max_by(F.struct("name", "s", "score", "more"), F.struct("score")).alias("b"), F.max("score").alias("top"))
+    ties = scored.join(best.select("key", "top"), "key").filter("score = top").groupBy("key").agg(F.countDistinct("s").alias("sets"), F.min("name").alias("name"))
+    won = best.join(ties.filter("sets = 1"), "key").filter("NOT (b.more > 1 AND top < 0.5)")
+    return won.select(F.col("key").alias(key), F.col("name").alias("found"))
+
+
 def resolve_key(name: str) -> str:
     """Folded party name without article, legal form and "société"."""
     n = re.sub(r"[^\w\s-]", " ", name.lower())

@@ -271,12 +271,6 @@ def _(t):
     return v.join(c, "key").groupBy("p_partkey").agg(F.countDistinct("t").alias("n"), F.min("t").alias("t")).filter("n = 1").drop("n")
 
 
-@query("k14_instrument_key", "SELECT o_orderkey, lower(o_orderpriority) || '|' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || '|' || nullif(o_custkey, 7) AS key FROM orders")
-def _(t):
-    key = F.concat(F.lower("o_orderpriority"), F.lit("|"), F.col("o_orderdate").cast("date").cast("string"), F.lit("|"), F.nullif("o_custkey", F.lit(7)).cast("string"))
-    return t.orders.select("o_orderkey", key.alias("key"))
-
-
 @query("k22_domain_cascade", "SELECT doc_id, coalesce(CASE WHEN contains(text, '***') THEN 'symbols' END, CASE WHEN regexp_matches(text, '\\b(?:the|of)\\b') THEN 'english' END, CASE lang WHEN 'fr' THEN 'french' END, 'other') AS domain FROM documents")
 def _(t):
     x = F.col("text")
