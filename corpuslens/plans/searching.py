@@ -9,6 +9,7 @@ from corpuslens.functions import text as X
 from corpuslens.functions import vectors as V
 from corpuslens.operators import relational as R
 from corpuslens.operators import search as S
+from corpuslens.operators.lexicon import LexicalIndex
 from corpuslens.plans.registry import n_rows, query
 from corpuslens.plans.scalars import STOP, tok
 
@@ -40,13 +41,22 @@ def stable(scored: DataFrame) -> DataFrame:
 TERMS = ["thou", "ation", "onre", "tion"]
 
 
+def bodies(t) -> LexicalIndex:
+    """The stored index of the documents' texts."""
+    return LexicalIndex.stored(t.documents, "doc_id", F.col("text"), "text")
+
+
+def titles(t) -> LexicalIndex:
+    """The stored index of first lines."""
+    return LexicalIndex.stored(t.documents, "doc_id", F.split_part("text", F.lit("\n"), F.lit(1)), "line 1")
+
+
 def body_leg(t) -> DataFrame:
-    return S.leg(stable(S.bm25(S.postings(t.documents, "doc_id", "text"), TERMS)))
+    return S.leg(stable(bodies(t).bm25(TERMS)))
 
 
 def title_leg(t) -> DataFrame:
-    titles = t.documents.select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
-    return S.leg(stable(S.bm25(S.postings(titles, "doc_id", "title"), TERMS)))
+    return S.leg(stable(titles(t).bm25(TERMS)))
 
 
 @query("h1_bm25_body", f"SELECT id, round(round(score, 9), 5) AS score FROM ({bm25_sql(POST_DOCS, TERMS)})")
@@ -136,12 +146,12 @@ def _(t):
 
 @query("h10_boolean", f"WITH p AS ({POST_DOCS}) SELECT DISTINCT id FROM p WHERE term = 'thou' AND id IN (SELECT id FROM p WHERE term = 'tion') AND id NOT IN (SELECT id FROM p WHERE term = 'onre')")
 def _(t):
-    return S.compile_boolean(S.postings(t.documents, "doc_id", "text"), S.translate_boolean("thou ET tion SAUF onre"))
+    return S.compile_boolean(bodies(t).postings(), S.translate_boolean("thou ET tion SAUF onre"))
 
 
 @query("h11_phrase_combo", f"WITH p AS ({POST_DOCS}), ph AS (SELECT DISTINCT a.id FROM p a JOIN p b ON a.id = b.id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the'), b AS (SELECT id, count(DISTINCT term) AS n FROM p WHERE term IN ('of', 'the') GROUP BY 1) SELECT b.id, n + CASE WHEN ph.id IS NULL THEN 0 ELSE 2 END AS score FROM b LEFT JOIN ph ON ph.id = b.id")
 def _(t):
-    p = S.postings(t.documents, "doc_id", "text")
+    p = bodies(t).postings()
     bag = p.filter(F.col("term").isin("of", "the")).groupBy("id").agg(F.countDistinct("term").alias("n"))
     ph = S.phrase(p, ["of", "the"]).withColumn("hit", F.lit(2))
     return bag.join(ph, "id", "left").select("id", (F.col("n") + F.coalesce("hit", F.lit(0))).cast("long").alias("score"))
@@ -149,12 +159,12 @@ def _(t):
 
 @query("h12_phrase_proximity", f"WITH p AS ({POST_DOCS}) SELECT DISTINCT a.id FROM p a JOIN p b ON a.id = b.id AND a.pos <> b.pos AND abs(b.pos - a.pos) <= 4 WHERE a.term = 'thou' AND b.term = 'tion'")
 def _(t):
-    return S.phrase(S.postings(t.documents, "doc_id", "text"), ["thou", "tion"], slop=3)
+    return S.phrase(bodies(t).postings(), ["thou", "tion"], slop=3)
 
 
 @query("h13_prefix", f"WITH p AS ({POST_DOCS}) SELECT id, count(DISTINCT term) AS n FROM p WHERE starts_with(term, 'anti') GROUP BY 1")
 def _(t):
-    return S.postings(t.documents, "doc_id", "text").filter(F.col("term").startswith("anti")).groupBy("id").agg(F.countDistinct("term").alias("n"))
+    return bodies(t).table().filter(F.col("term").startswith("anti")).groupBy("id").agg(F.countDistinct("term").alias("n"))
 
 
 @query("h15_lexical_path", f"SELECT id, round(score, 8) AS score FROM ({_rrf_sql([(bm25_sql(POST_DOCS, TERMS), 1.0), (bm25_sql(POST_TITLES, TERMS), 1.0)])})")
@@ -189,23 +199,89 @@ def _(t):
     return base.join(new, "doc_id", "left").select("doc_id", F.row_number().over(Window.orderBy(F.col("nr").isNull(), "nr", "r")).cast("long").alias("pos"))
 
 
-def _article_legs_sql() -> str:
-    legs = []
-    for n, (where, weight) in enumerate((("lang = 'fr'", 1.0), ("lang = 'en'", 1.0), ("lang NOT IN ('fr', 'en')", 0.25))):
-        rows = post(id="doc_id", text="text", table=f"(SELECT * FROM documents WHERE {where})")
-        legs.append(f"SELECT id, {n} AS leg, {weight} / (60 + row_number() OVER (ORDER BY round(score, 9) DESC, id)) AS v FROM ({bm25_sql(rows, TERMS)})")
-    return f"SELECT id, sum(v) AS s, min(leg) AS leg FROM ({' UNION ALL '.join(legs)}) GROUP BY id ORDER BY round(s, 12) DESC, leg, id LIMIT 60"
+POST_USAGE = post(id="doc_id", text="split_part(text, chr(10), 2)", table="documents")
+POST_ITEMS = post(id="item_id", text="text", table="benchmark")
+POST_HEADS = post(id="id", text="title", table="(SELECT min(doc_id) AS id, min_by(split_part(text, chr(10), 1), doc_id) AS title FROM documents GROUP BY source)")
+_EVERY = 1_000_000_000
+
+
+def _legs_sql() -> str:
+    title, scored = bm25_sql(POST_TITLES, TERMS, _EVERY), {"u": bm25_sql(POST_USAGE, TERMS, _EVERY), "i": bm25_sql(POST_ITEMS, TERMS, _EVERY), "h": bm25_sql(POST_HEADS, TERMS[:2], _EVERY)}
+    whole = f"SELECT id FROM ({POST_TITLES}) WHERE term IN ('{TERMS[0]}', '{TERMS[1]}') GROUP BY id HAVING count(DISTINCT term) = 2"
+    heads = f"SELECT id FROM ({POST_HEADS}) WHERE term IN ('{TERMS[0]}', '{TERMS[1]}') GROUP BY id HAVING count(DISTINCT term) = 2"
+    articles = f"SELECT b.id, b.score + 0.25 * coalesce(t.score, 0) + CASE WHEN w.id IS NULL THEN 0 ELSE 4 * coalesce(t.score, 0) END AS score FROM ({bm25_sql(POST_DOCS, TERMS, _EVERY)}) b LEFT JOIN ({title}) t ON t.id = b.id LEFT JOIN ({whole}) w ON w.id = b.id"
+    legs = [
+        ("'a:' || id", f"SELECT a.* FROM ({articles}) a JOIN documents ON doc_id = id WHERE lang IN ('fr', 'en')", 1.0),
+        ("'a:' || id", f"SELECT a.* FROM ({articles}) a JOIN documents ON doc_id = id WHERE lang NOT IN ('fr', 'en', 'de')", 0.25),
+        ("'a:' || id", f"SELECT a.* FROM ({articles}) a JOIN documents ON doc_id = id WHERE lang = 'de'", 1.0),
+        ("'t:' || id", scored["i"], 1.0),
+        ("'c:' || id", f"SELECT * FROM ({scored['h']}) WHERE id IN ({heads})", 1.0),
+        ("'a:' || id", scored["u"], 0.8),
+    ]
+    votes = [f"SELECT {key} AS id, {n} AS leg, {w} / (60 + row_number() OVER (ORDER BY round(score, 9) DESC, id)) AS v FROM (SELECT * FROM ({sql}) ORDER BY round(score, 9) DESC, id LIMIT {S.LEG_LIMIT})" for n, (key, sql, w) in enumerate(legs)]
+    return f"SELECT id, sum(v) AS s, min(leg) AS leg FROM ({' UNION ALL '.join(votes)}) GROUP BY id ORDER BY round(s, 12) DESC, leg, id LIMIT 60"
+
+
+def article_legs(t) -> list[tuple[DataFrame, float]]:
+    """Articles of home, of abroad, of the country that the query names; texts with a body; containers by their title; articles by the words of their usage."""
+    title = titles(t)
+    whole = title.bm25(TERMS[:2], least=2).select("id", F.lit(1).alias("whole"))
+    extra = title.bm25(TERMS).withColumnRenamed("score", "title").join(whole, "id", "left")
+    body = bodies(t).bm25(TERMS).join(extra, "id", "left")
+    articles = body.select("id", (F.col("score") + F.coalesce("title", F.lit(0.0)) * F.when(F.col("whole").isNull(), 0.25).otherwise(4.25)).alias("score"))
+    place = t.documents.select(F.col("doc_id").alias("id"), "lang")
+    of = lambda where: articles.join(place.filter(where).select("id"), "id", "left_semi")
+    usage = LexicalIndex.stored(t.documents, "doc_id", F.split_part("text", F.lit("\n"), F.lit(2)), "line 2").bm25(TERMS)
+    items = LexicalIndex.stored(t.benchmark, "item_id", F.col("text"), "text").bm25(TERMS)
+    heads = t.documents.groupBy("source").agg(F.min("doc_id").alias("id"), F.min_by(F.split_part("text", F.lit("\n"), F.lit(1)), "doc_id").alias("title"))
+    boxes = S.postings(heads, "id", "title")  # a row for each container
+    both = boxes.filter(F.col("term").isin(TERMS[:2])).groupBy("id").agg(F.countDistinct("term").alias("n")).filter("n = 2")
+    containers = S.bm25(boxes, TERMS[:2]).join(both.select("id"), "id", "left_semi")
+    named = lambda rows, kind: S.ranked(S.leg(stable(rows))).select(F.concat(F.lit(f"{kind}:"), F.col("id").cast("string")).alias("id"), "rank")
+    return [(named(of("lang IN ('fr', 'en')"), "a"), 1.0), (named(of("lang NOT IN ('fr', 'en', 'de')"), "a"), 0.25), (named(of("lang = 'de'"), "a"), 1.0), (named(items, "t"), 1.0), (named(containers, "c"), 1.0), (named(usage, "a"), 0.8)]
+
+
+@query("h23_article_search", f"SELECT id, round(s, 8) AS score, leg FROM ({_legs_sql()})")
+def _(t):
+    votes = [leg.select("id", F.lit(n).alias("leg"), (F.lit(w) / (F.col("rank") + S.RRF_K)).alias("v")) for n, (leg, w) in enumerate(article_legs(t))]
+    every = votes[0]
+    for v in votes[1:]:
+        every = every.unionByName(v)
+    joined = every.groupBy("id").agg(F.round(F.sum("v"), 12).alias("s"), F.min("leg").alias("leg"))
+    return joined.orderBy(F.desc("s"), "leg", "id").limit(60).select("id", F.round("s", 8).alias("score"), "leg")
+
+
+_ARMS = {"or": (0.25, 0.0), "conj": (0.0, 4.0), "or_conj": (0.25, 4.0)}
+
+
+def _arm_sql(mode: str, fuse: str) -> str:
+    loose, strict = _ARMS[mode]
+    title = bm25_sql(POST_TITLES, TERMS[:2], _EVERY)
+    whole = f"SELECT * FROM ({title}) WHERE id IN (SELECT id FROM ({POST_TITLES}) WHERE term IN ('{TERMS[0]}', '{TERMS[1]}') GROUP BY id HAVING count(DISTINCT term) = 2)"
+    legs = [(bm25_sql(POST_DOCS, TERMS[:2], _EVERY), 1.0), *([(title, loose)] if loose else []), *([(whole, strict)] if strict else [])]
+    if fuse == "raw":
+        every = " UNION ALL ".join(f"SELECT id, {w} * round(score, 9) AS x FROM ({sql})" for sql, w in legs)
+        return f"SELECT '{mode}' AS mode, '{fuse}' AS fuse, id, sum(x) AS s FROM ({every}) GROUP BY id ORDER BY round(s, 8) DESC, id LIMIT 50"
+    every = " UNION ALL ".join(f"SELECT id, {w} / (60 + row_number() OVER (ORDER BY round(score, 9) DESC, id)) AS v FROM (SELECT * FROM ({sql}) ORDER BY round(score, 9) DESC, id LIMIT 200)" for sql, w in legs)
+    return f"SELECT '{mode}' AS mode, '{fuse}' AS fuse, id, sum(v) AS s FROM ({every}) GROUP BY id ORDER BY round(s, 12) DESC, id LIMIT 50"
 
 
-@query("h23_article_search", f"SELECT id, round(s, 8) AS score, leg FROM ({_article_legs_sql()})")
+@query("h25_rank_arms", " UNION ALL ".join(f"SELECT mode, fuse, id, round(s, 6) AS score FROM ({_arm_sql(m, f)})" for m in _ARMS for f in ("rrf", "raw")))
 def _(t):
-    every = None
-    for n, (where, weight) in enumerate((("lang = 'fr'", 1.0), ("lang = 'en'", 1.0), ("lang NOT IN ('fr', 'en')", 0.25))):
-        leg = S.leg(stable(S.bm25(S.postings(t.documents.filter(where), "doc_id", "text"), TERMS)))
-        votes = S.ranked(leg).select("id", F.lit(n).alias("leg"), (F.lit(weight) / (F.col("rank") + S.RRF_K)).alias("v"))
-        every = votes if every is None else every.unionByName(votes)
-    fused = every.groupBy("id").agg(F.round(F.sum("v"), 12).alias("s"), F.min("leg").alias("leg"))
-    return fused.orderBy(F.desc("s"), "leg", "id").limit(60).select("id", F.round("s", 8).alias("score"), "leg")
+    out, two = None, TERMS[:2]
+    for mode, (loose, strict) in _ARMS.items():
+        legs = [(bodies(t).bm25(two), 1.0), *([(titles(t).bm25(two), loose)] if loose else []), *([(titles(t).bm25(two, least=2), strict)] if strict else [])]
+        for fuse in ("rrf", "raw"):
+            if fuse == "rrf":
+                joined = S.rrf([(S.leg(stable(x)), w) for x, w in legs]).withColumn("score", F.round("score", 12))
+            else:
+                every = legs[0][0].select("id", F.round("score", 9).alias("score"))
+                for x, w in legs[1:]:
+                    every = every.unionByName(x.select("id", (F.round("score", 9) * w).alias("score")))
+                joined = every.groupBy("id").agg(F.round(F.sum("score"), 8).alias("score"))
+            best = S.leg(joined, 50).select(F.lit(mode).alias("mode"), F.lit(fuse).alias("fuse"), "id", F.round("score", 6).alias("score"))
+            out = best if out is None else out.unionByName(best)
+    return out
 
 
 _BOTH = f"WITH b AS ({bm25_sql(POST_DOCS, TERMS, 100000)}), t AS ({bm25_sql(POST_TITLES, TERMS, 100000)}) SELECT coalesce(b.id, t.id) AS id, coalesce(b.score, 0) + 0.25 * coalesce(t.score, 0) AS score FROM b FULL JOIN t ON b.id = t.id"
@@ -213,9 +289,7 @@ _BOTH = f"WITH b AS ({bm25_sql(POST_DOCS, TERMS, 100000)}), t AS ({bm25_sql(POST
 
 @query("h24_weighted_predicate", f"SELECT id, round(round(score, 7), 5) AS score FROM ({_BOTH}) ORDER BY round(score, 7) DESC, id LIMIT 50")
 def _(t):
-    body = S.bm25(S.postings(t.documents, "doc_id", "text"), TERMS)
-    titles = t.documents.select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
-    title = S.bm25(S.postings(titles, "doc_id", "title"), TERMS, boost=0.25)
+    body, title = bodies(t).bm25(TERMS), titles(t).bm25(TERMS, boost=0.25)
     both = body.unionByName(title).groupBy("id").agg(F.round(F.sum("score"), 7).alias("score"))
     return S.leg(both, 50).withColumn("score", F.round("score", 5))
 
@@ -270,9 +344,10 @@ def _(t):
     return S.vocabulary(t.benchmark, "item_id", "text", 2).filter(~F.col("gram").contains(" "))
 
 
-@query("h35_ndcg")
+@query("h35_ndcg", f"WITH r AS (SELECT quality, rank FROM (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM ({bm25_sql(POST_DOCS, TERMS)})) JOIN labels ON doc_id = id) SELECT round(sum(quality / log2(rank + 1)) FILTER (rank <= 10), 9) AS dcg, (SELECT sum(quality) FROM (SELECT quality FROM r ORDER BY quality DESC LIMIT 10)) AS relevant FROM r")
 def _(t):
-    ranked = S.ranked(body_leg(t)).join(F.broadcast(t.labels.select(F.col("doc_id").alias("id"), "quality")), "id")
-    gain = ranked.filter("rank <= 10").agg(F.sum(F.col("quality") / F.log2(F.col("rank") + 1)).alias("dcg"))
+    judged = t.labels.select(F.col("doc_id").alias("id"), "quality")
+    ranked = S.ranked(body_leg(t)).join(judged, "id")  # a leg is bounded: Spark broadcasts it, not the labels
+    gain = ranked.agg(F.round(F.sum(F.when(F.col("rank") <= 10, F.col("quality") / F.log2(F.col("rank") + 1))), 9).alias("dcg"))
     ideal = ranked.select("quality").orderBy(F.desc("quality")).limit(10).agg(F.sum("quality").alias("relevant"))
     return gain.join(F.broadcast(ideal))
