@@ -196,3 +196,131 @@ def instrument_key(nature: Column, date: Column, number: Column) -> Column:
     """nature|date|number of an act; null where any of them is missing."""
     n = F.nullif(fold_nfd(nature), F.lit(""))
     return F.concat(n, F.lit("|"), F.nullif(F.trim(date), F.lit("")), F.lit("|"), law_number(number))
+
+
+# Natures of texts by collection, in order of precedence.
+COLLECTIONS = (
+    ("codes", "CODE CONSTITUTION ETAT_CIVIL", None),
+    ("textes-ue", "DIRECTIVE DIRECTIVE_EURO REGLEMENTEUROPEEN REGLEMENT_EURO DECISION_EURO AVISEURO ARRETEURO ARRETEEURO INSTRUCTIONEURO DELIBERATIONEURO DECLARATIONEURO LETTREEURO", "UE"),
+    ("traites", "TRAITE TI PROTOCOLE", "INTL"),
+    ("lois", "LOI LOI_ORGANIQUE LOI_CONSTIT LOI_PROGRAMME DECRET_LOI ORDONNANCE", None),
+    ("decrets", "DECRET", None),
+    ("arretes", "ARRETE", None),
+    ("conventions-collectives", "IDCC AVENANT ACCORD ACCORD_FONCTION_PUBLIQUE", None),
+    ("circulaires", "CIRCULAIRE INSTRUCTION", None),
+    ("bofip", "BOFIP", None),
+)
+# Kinds of links between texts and their family, verb and noun alike.
+LINK_VERBS = (
+    "CITATION=cite MODIFIE=modifie MODIFICATION=modifie CREE=cree CREATION=cree ABROGE=abroge ABROGATION=abroge CODIFICATION=codifie CODIFIE=codifie CONCORDE=concorde "
+    "CONCORDANCE=concorde TRANSFERE=transfere TRANSFERT=transfere DEPLACE=deplace DEPLACEMENT=deplace RECTIFICATION=rectifie RECTIFIE=rectifie PERIME=perime PEREMPTION=perime "
+    "RATIFIE=ratifie RATIFICATION=ratifie DENONCE=denonce DENONCIATION=denonce ANNULE=annule ANNULATION=annule DISJOINT=disjoint DISJONCTION=disjoint ETEND=etend EXTENSION=etend "
+    "TRANSPOSITION=transpose APPLICATION=applique"
+).split()
+# Names of codes, folded, and their sigles; the longest name that begins the cited one counts.
+CODES = {
+    "code de l entree et du sejour des etrangers et du droit d asile": "CESEDA",
+    "code general des collectivites territoriales": "CGCT",
+    "code general de la fonction publique": "CGFP",
+    "code des relations entre le public et l administration": "CRPA",
+    "code de procedure civile d execution": "CPCE",
+    "code de la construction et de l habitation": "CCH",
+    "code de procedure civile": "CPC",
+    "code de procedure penale": "CPP",
+    "code de justice administrative": "CJA",
+    "code de la sante publique": "CSP",
+    "code de la securite sociale": "CSS",
+    "code general des impots": "CGI",
+    "code de l urbanisme": "CURB",
+    "code de l environnement": "CENV",
+    "code de l education": "CEDU",
+    "code du travail": "CT",
+    "code civil": "CC",
+    "code penal": "CP",
+    "ceseda": "CESEDA",
+    "cedh": "CEDH",
+    "cgct": "CGCT",
+    "cgi": "CGI",
+    "cja": "CJA",
+}
+
+
+def collection(nature: Column, jurisdiction: Column) -> Column:
+    """Collection in which a text is browsed."""
+    up, out = F.upper(nature), F.lit("autres")
+    for name, natures, place in reversed(COLLECTIONS):
+        test = up.isin(natures.split()) | (up.startswith("CODE") if name == "codes" else F.lit(False))
+        out = F.when(F.coalesce(test, F.lit(False)) | (F.coalesce(jurisdiction == place, F.lit(False)) if place else F.lit(False)), F.lit(name)).otherwise(out)
+    return out
+
+
+def link_verb(kind: Column) -> Column:
+    """Family of a kind of link; unknown kinds in small letters."""
+    known = F.create_map(*[F.lit(x) for pair in LINK_VERBS for x in pair.split("=")])
+    return F.coalesce(F.try_element_at(known, kind), F.lower(kind))
+
+
+def clean_summary(x: Column) -> Column:
+    """A model's summary without echoed heading, place and number codes (with their preposition) and brackets of initials."""
+    heading = r"^\s*\[?\s*Décision\b[^\n]*?[0-9]{4}-[0-9]{2}-[0-9]{2}[^\n]*\n+"
+    code = r"[ \t]*(?:\b(?:de la|de l'|du|des|de|à la|aux|au|à|en|dans|sur|vers|chez)\s*)?\[(?:(?:Localité|Adresse|Commune|Ville)[^\]]*|[0-9][^\]]*)\]"
+    t = F.regexp_replace(F.regexp_replace(x, heading, ""), "(?U)" + code, "")
+    t = F.regexp_replace(t, r"\[([^\]0-9][^\]]{0,29})\]", "$1")
+    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+([,.;:!?])", "$1"), r"[ \t]{2,}", " ")
+    junk = r"^[\s,;:.–—-]+"
+    plain = F.trim(F.regexp_replace(t, junk, ""))
+    return F.when(t.rlike(junk) & plain.rlike(r"^\p{Ll}"), F.concat(F.upper(F.left(plain, F.lit(1))), F.substring(plain, 2, 1 << 30))).otherwise(plain)
+
+
+def range_keys(first: Column, last: Column, most: int = 50) -> Column:
+    """Numbers strictly between two that differ in their last part alone ("L. 225-1", "L. 225-9"); none for wider ranges."""
+    cut = r"^(?:(.*)([- ]))?([0-9]+)$"
+    part = lambda x, k: F.regexp_extract(x, cut, k)
+    a, b = F.try_to_number(part(first, 3), F.lit("999999999")).cast("int"), F.try_to_number(part(last, 3), F.lit("999999999")).cast("int")
+    fits = first.rlike(cut) & last.rlike(cut) & (part(first, 1) == part(last, 1)) & (a + 1 < b) & (b - a <= most)
+    stem = F.when(part(first, 1) == "", F.lit("")).otherwise(F.concat(part(first, 1), F.lit("-")))
+    return F.when(fits, F.transform(F.sequence(a + 1, b - 1), lambda n: F.concat(stem, n.cast("string")))).otherwise(F.array().cast("array<string>"))
+
+
+def reference_tokens(x: Column) -> Column:
+    """Tokens of cited articles, each once: L_611_1, and CSP_L_611_1 where the code that follows is known."""
+    found = F.regexp_extract_all(x, F.lit(r"(?i)\b[LRDA]\s*\.\s*[0-9]{2,}(?:[-‑][0-9]+)*(?:\s+d(?:u|e la|e l['’])\s*(?:code\s+[^\n,.;:()]{3,120}|ceseda|cedh|cgct|cgi|cja))?"), F.lit(0))
+
+    def tokens_of(m: Column) -> Column:
+        number = F.regexp_replace(F.regexp_extract(m, r"([0-9]{2,}(?:[-‑][0-9]+)*)", 1), "[-‑]", "_")
+        article = F.concat(F.upper(F.left(m, F.lit(1))), F.lit("_"), number)
+        name = F.regexp_replace(F.translate(fold(F.regexp_extract(m, r"(?i)\s+d(?:u|e la|e l['’])\s*(.*)$", 1)), "’'`", "   "), r"\s+", " ")
+        sigle = F.lit(None).cast("string")
+        for start in sorted(CODES, key=len):
+            sigle = F.when(name.startswith(start), F.lit(CODES[start])).otherwise(sigle)
+        return F.array_compact(F.array(article, F.concat(sigle, F.lit("_"), article)))
+
+    return F.array_distinct(F.flatten(F.transform(found, tokens_of)))
+
+
+def visa_trim(x: Column, limit: int = 1705) -> Column:
+    """Opening parts of a decision up to ``limit`` characters, cut at the last empty line if there is one."""
+    head = F.left(x, F.lit(limit))
+    cut = F.regexp_extract(head, r"(?s)^(.+)\n\n", 1)
+    return F.when(F.length(x) <= limit, x).when(cut != "", cut).otherwise(head)
+
+
+def expansions(query: Column, aliases: dict[str, str], most: int = 4) -> Column:
+    """Long forms of the aliases that a query holds as whole words, in the order of ``aliases``, at most ``most``."""
+    low = fold_nfd(query)
+    held = [F.when(low.rlike(rf"(?<![\p{{L}}\p{{N}}]){alias}(?![\p{{L}}\p{{N}}])"), F.lit(long)) for alias, long in aliases.items()]
+    return F.slice(F.array_distinct(F.array_compact(F.array(*held))), 1, most)
+
+
+def title_query(query: Column) -> Column:
+    """Words of a query as titles hold them: without "article", letters joined to the number that follows; null if none is left."""
+    words = F.filter(F.split(query, r"[^\p{L}\p{N}-]+"), lambda w: (w != "") & ~F.lower(w).isin("article", "articles", "art"))
+    return F.nullif(F.regexp_replace(F.array_join(words, " "), r"(?i)(?<![^ ])([lrd]) (?=[0-9])", "$1"), F.lit(""))
+
+
+def separator_counts(x: Column) -> Column:
+    """Number of places after each separator, by penalty, as the chunker sees them (a place at the end is none)."""
+    t = F.left(x, F.length(x) - 1)
+    n = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
+    runs = F.size(F.regexp_extract_all(t, F.lit(r"\n+"), F.lit(0)))
+    return F.struct((n("\n") - runs).cast("long").alias("p0"), runs.cast("long").alias("p1"), (n(". ") / 2).cast("long").alias("p3"), n(".").cast("long").alias("p5"), n(";").cast("long").alias("p7"), n(",").cast("long").alias("p9"))

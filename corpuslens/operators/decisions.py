@@ -179,14 +179,20 @@ def prior_decisions(low: Column) -> Column:
     return F.array_distinct(F.transform(found, row))
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """A projection that the optimiser doesn't merge into later ones, so each column is computed once."""
+    return rows.select(F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def fields(docs: DataFrame, id_col: str, text_col: str, listed_col: str | None = None) -> DataFrame:
     """All fields of each document, from one reading: id, court, chamber, formation, office, outcome, procedures, dockets, read_on, heard_on, actors, prior."""
     listed = F.col(listed_col) if listed_col else F.lit(None).cast("string")
-    read = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("original"), listed.alias("listed"))
-    read = read.withColumn("low", folded(F.col("original"))).withColumn("p", parts(F.col("low")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    read = _once(docs, id=F.col(id_col), original=text, listed=listed, low=folded(text))
+    read = _once(read, id=F.col("id"), original=F.col("original"), listed=F.col("listed"), low=F.col("low"), p=parts(F.col("low")))
     banner, low = F.col("p.banner"), F.col("low")
     return read.select(
-        "id",
+        F.col("id").alias("id"),
         court(banner).alias("court"),
         _first(banner, CHAMBERS).alias("chamber"),
         _first(banner, FORMATIONS).alias("formation"),
@@ -212,3 +218,36 @@ def signals_of_key(key: Column) -> Column:
         F.get(parts_, 2).alias("number"),
         F.when(case & F.get(parts_, 0).rlike(r"^(?:cc|ce|cons|tc|caa|ta|ca|tcom|cph|tj|cedh|cjue|cnda)\b"), F.get(parts_, 0)).alias("court"),
     )
+
+
+SECTIONS = (("visa", r"(?m)^\s*vu\b"), ("procedure", r"(?m)^\s*faits et procedure\b"), ("motivations", r"(?m)^\s*(?:considerant|attendu|sur quoi)\b"), ("dispositif", OPERATIVE))
+# Names of the courts' types.
+COURT_LABELS = {"cc": "Cour de cassation", "ce": "Conseil d'État", "cons": "Conseil constitutionnel", "tc": "Tribunal des conflits", "caa": "Cour administrative d'appel", "ta": "Tribunal administratif", "ca": "Cour d'appel", "tcom": "Tribunal de commerce", "cph": "Conseil de prud'hommes", "tj": "Tribunal judiciaire", "cedh": "Cour européenne des droits de l'homme", "cjue": "Cour de justice de l'Union européenne", "cnda": "Cour nationale du droit d'asile"}
+
+
+def sections(low: Column) -> Column:
+    """kind, char_start, char_end of a folded text's sections: from each kind's first marker to the next one, before it the preamble."""
+    pinned = lambda x, body: F.element_at(F.transform(F.array(x), body), 1)  # noqa: E731 - computed once, not for each use
+
+    def cut(t: Column) -> Column:
+        marks = F.array_sort(F.filter(F.array(*[F.struct((F.regexp_instr(t, F.lit(p)) - 1).alias("char_start"), F.lit(k).alias("kind")) for k, p in SECTIONS]), lambda m: m["char_start"] >= 0))
+        opening = F.array(F.struct(F.lit(0).alias("char_start"), F.lit("preamble").alias("kind")))
+        whole = lambda m: F.when((F.size(m) > 0) & (F.get(m, 0)["char_start"] > 0), F.concat(opening, m)).otherwise(m)
+        ends = lambda w: F.transform(w, lambda m, i: F.struct(m["kind"].alias("kind"), m["char_start"].alias("char_start"), F.coalesce(F.get(w, i + 1)["char_start"], F.length(t)).alias("char_end")))
+        return pinned(marks, lambda m: pinned(whole(m), ends))
+
+    return pinned(low, cut)
+
+
+def court_label(code: Column) -> Column:
+    """Name of a court's code; places capitalised."""
+    kind, place = F.split_part(code, F.lit(":"), F.lit(1)), F.split_part(code, F.lit(":"), F.lit(2))
+    label = F.try_element_at(F.create_map(*[F.lit(x) for kv in COURT_LABELS.items() for x in kv]), kind)
+    link = F.when(place.rlike("^[aeiouy]"), F.lit(" d'")).otherwise(F.lit(" de "))
+    return F.when(place == "", label).otherwise(F.concat(label, link, F.regexp_replace(F.initcap(F.regexp_replace(place, "-", " ")), " ", "-")))
+
+
+def from_storage(stored: DataFrame) -> DataFrame:
+    """Decisions rebuilt from (source_uid, source_fields as JSON, full_text): the one path for chunks, fields and display."""
+    fields_ = F.from_json("source_fields", "Dossier struct<Date_Lecture:string, Titre:string, Nom_Juridiction:string, Numero:string>")["Dossier"]
+    return stored.select("source_uid", F.try_to_date(fields_["Date_Lecture"]).alias("read_on"), fields_["Titre"].alias("title"), fields_["Nom_Juridiction"].alias("court"), fields_["Numero"].alias("listed"), "full_text")

@@ -90,3 +90,51 @@ def islands(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame
 def version_ends(rows: DataFrame, keys: list[str], start: str) -> DataFrame:
     """Versions with the missing ends taken from the next start."""
     return rows.withColumn("valid_until", F.lead(start).over(Window.partitionBy(*keys).orderBy(start)))
+
+
+def cascade(pending: DataFrame, candidates: DataFrame, rules: list[list[str]], target: str) -> DataFrame:
+    """``pending`` with ``target`` and ``rule``: the first rule (a list of key columns) under which exactly one candidate matches."""
+    out = pending
+    for k, keys in enumerate(rules):
+        one = candidates.groupBy(*keys).agg(F.countDistinct(target).alias("_n"), F.min(target).alias(f"_t{k}")).filter("_n = 1").drop("_n")
+        out = out.join(one, keys, "left")
+    found = [F.col(f"_t{k}") for k in range(len(rules))]
+    rule = F.coalesce(*[F.when(c.isNotNull(), k + 1) for k, c in enumerate(found)])
+    return out.select(*pending.columns, F.coalesce(*found).alias(target), rule.alias("rule"))
+
+
+def existing_article(cited: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``cited`` (key, uid, num) with num_key as the catalogue (uid, num_key) has it: the number itself, its starred form, its only
+    prefixed variant (numbers without a letter), or the only one with the same digits."""
+    core = lambda c: F.regexp_extract(c, r"([0-9].*)$", 1)
+    known = catalogue.select("uid", "num_key").distinct()
+    exact = known.select("uid", F.col("num_key").alias("num"), F.col("num_key").alias("k1"))
+    star = known.filter("num_key LIKE '*%'").groupBy("uid", F.expr("ltrim('*', num_key)").alias("num")).agg(F.min("num_key").alias("k2"))
+    only = lambda rows, name: rows.groupBy("uid", "num").agg(F.count(F.lit(1)).alias("n"), F.min("num_key").alias(name)).filter("n = 1").drop("n")
+    prefixed = only(known.filter(F.col("num_key").rlike(r"^[lrda][0-9].*-")).select("uid", F.expr("substring(num_key, 2)").alias("num"), "num_key"), "k3")
+    digits = only(known.select("uid", core(F.col("num_key")).alias("num"), "num_key"), "k4").withColumnRenamed("num", "core")
+    out = cited.join(exact, ["uid", "num"], "left").join(star, ["uid", "num"], "left").join(prefixed, ["uid", "num"], "left").withColumn("core", core(F.col("num"))).join(digits, ["uid", "core"], "left")
+    return out.select(*cited.columns, F.coalesce("k1", "k2", "k3", "k4").alias("num_key"))
+
+
+def resolve_entities(pending: DataFrame, register: DataFrame, party_key) -> DataFrame:
+    """``pending`` (id, name, place) with uid and stage of the register's (uid, name, place) only entity that fits.
+
+    Stages, each for what the ones before left open: the name; the name without legal form; that and the place; the
+    last word of the name; that and the place; all words of the name among those of one entity.
+    """
+    shaped = lambda rows: rows.withColumn("firm", party_key(F.col("name"))).withColumn("last", F.element_at(F.split("firm", " "), -1))
+    p, r = shaped(pending), shaped(register)
+    done = cascade(p, r, [["name"], ["firm"], ["firm", "place"], ["last"], ["last", "place"]], "uid")
+    left = done.filter("uid IS NULL")
+    words = lambda rows, key: rows.select(F.col(key).alias(f"{'key' if key == 'id' else 'name'}_id"), F.filter(F.array_distinct(F.split("firm", " ")), lambda w: w != "").alias("toks"))
+    fits = token_subset(words(left, "id"), words(r, "uid")).groupBy("key_id").agg(F.count(F.lit(1)).alias("n"), F.min("name_id").alias("sixth")).filter("n = 1")
+    last = done.join(fits.select(F.col("key_id").alias("id"), "sixth"), "id", "left")
+    return last.select("id", F.coalesce("uid", "sixth").alias("uid"), F.coalesce("rule", F.when(F.col("sixth").isNotNull(), 6)).alias("stage"))
+
+
+def frequencies(grams: DataFrame, doc: str, gram: str, display: str) -> DataFrame:
+    """gram, df (documents that hold it) and its most frequent display form (ties: the first in order). Counts are combined before the shuffle."""
+    forms = grams.groupBy(gram, display).agg(F.count(F.lit(1)).alias("_n"))
+    shown = forms.groupBy(gram).agg(F.min_by(display, F.struct((-F.col("_n")).alias("n"), F.col(display))).alias(display))
+    return grams.groupBy(gram).agg(F.countDistinct(doc).alias("df")).join(shown, gram)

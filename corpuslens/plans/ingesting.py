@@ -234,60 +234,9 @@ def _(t):
     return t.documents.select("doc_id", F.length(body).cast("long").alias("n"))
 
 
-@query("k6_sections", "SELECT doc_id, strpos(text, chr(10)) AS first_break, strpos(lower(text), ' the ') AS en_at, strpos(lower(text), ' les ') AS fr_at FROM documents")
-def _(t):
-    low = F.lower("text")
-    return t.documents.select("doc_id", F.instr("text", "\n").cast("long").alias("first_break"), F.instr(low, " the ").cast("long").alias("en_at"), F.instr(low, " les ").cast("long").alias("fr_at"))
-
-
-@query("k7_visa_trim", "SELECT doc_id, length(CASE WHEN length(text) <= 1705 THEN text ELSE regexp_replace(left(text, 1705), '\\n[^\\n]*$', '') END) AS n FROM documents")
-def _(t):
-    cut = F.regexp_replace(F.left("text", F.lit(1705)), r"\n[^\n]*\z", "")
-    return t.documents.select("doc_id", F.length(F.when(F.length("text") <= 1705, F.col("text")).otherwise(cut)).cast("long").alias("n"))
-
-
 _REF = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 
 
-@query("k8_reference_tokens", f"SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '{_REF}'), lambda x: 'REF_' || replace(x, '.', '_')))) AS ref FROM documents")
-def _(t):
-    refs = F.transform(F.regexp_extract_all(F.col("text"), F.lit(_REF), F.lit(0)), lambda x: F.concat(F.lit("REF_"), F.replace(x, F.lit("."), F.lit("_"))))
-    return t.documents.select("doc_id", F.explode(F.array_distinct(refs)).alias("ref"))
-
-
-@query("k10_linking_cascade", "WITH k AS (SELECT p_partkey, p_name, p_brand FROM part), a AS (SELECT p_name, min(p_partkey) AS t FROM part GROUP BY 1 HAVING count(*) = 1), b AS (SELECT p_name, p_brand, min(p_partkey) AS t FROM part GROUP BY 1, 2 HAVING count(*) = 1) SELECT k.p_partkey, coalesce(a.t, b.t) AS target FROM k LEFT JOIN a USING (p_name) LEFT JOIN b ON b.p_name = k.p_name AND b.p_brand = k.p_brand")
-def _(t):
-    k = t.part.select("p_partkey", "p_name", "p_brand")
-    one = lambda keys, name: t.part.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias(name)).filter("n = 1").drop("n")
-    j = k.join(one(["p_name"], "a"), "p_name", "left").join(one(["p_name", "p_brand"], "b"), ["p_name", "p_brand"], "left")
-    return j.select("p_partkey", F.coalesce("a", "b").alias("target"))
-
-
-@query("k11_existence_variants", "WITH v AS (SELECT p_partkey, unnest([CAST(p_size AS VARCHAR), 'l' || p_size, 'r' || p_size]) AS key FROM part), c AS (SELECT 'l' || s_suppkey AS key, s_suppkey AS t FROM supplier) SELECT p_partkey, min(t) AS t FROM v JOIN c USING (key) GROUP BY 1 HAVING count(DISTINCT t) = 1")
-def _(t):
-    size = F.col("p_size").cast("string")
-    v = t.part.select("p_partkey", F.explode(F.array(size, F.concat(F.lit("l"), size), F.concat(F.lit("r"), size))).alias("key"))
-    c = t.supplier.select(F.concat(F.lit("l"), F.col("s_suppkey").cast("string")).alias("key"), F.col("s_suppkey").alias("t"))
-    return v.join(c, "key").groupBy("p_partkey").agg(F.countDistinct("t").alias("n"), F.min("t").alias("t")).filter("n = 1").drop("n")
-
-
-@query("k22_domain_cascade", "SELECT doc_id, coalesce(CASE WHEN contains(text, '***') THEN 'symbols' END, CASE WHEN regexp_matches(text, '\\b(?:the|of)\\b') THEN 'english' END, CASE lang WHEN 'fr' THEN 'french' END, 'other') AS domain FROM documents")
-def _(t):
-    x = F.col("text")
-    d = F.coalesce(F.when(x.contains("***"), "symbols"), F.when(x.rlike(r"\b(?:the|of)\b"), "english"), F.when(F.col("lang") == "fr", "french"), F.lit("other"))
-    return t.documents.select("doc_id", d.alias("domain"))
-
-
-@query("k27_entity_resolution", "WITH p AS (SELECT DISTINCT p_name AS name FROM part), e AS (SELECT p_partkey AS uid, p_name AS name, p_brand FROM part WHERE p_size > 49), s1 AS (SELECT name, min(uid) AS uid FROM e GROUP BY 1 HAVING count(*) = 1), s2 AS (SELECT split_part(name, ' ', 2) AS tail, min(uid) AS uid FROM e GROUP BY 1 HAVING count(*) = 1) SELECT p.name, coalesce(s1.uid, s2.uid) AS uid, CASE WHEN s1.uid IS NOT NULL THEN 1 WHEN s2.uid IS NOT NULL THEN 2 END AS stage FROM p LEFT JOIN s1 USING (name) LEFT JOIN s2 ON s2.tail = split_part(p.name, ' ', 2)")
-def _(t):
-    names = t.part.select(F.col("p_name").alias("name")).distinct()
-    e = t.part.filter("p_size > 49").select(F.col("p_partkey").alias("uid"), F.col("p_name").alias("name"))
-    tail = F.split_part("name", F.lit(" "), F.lit(2)).alias("tail")
-    s1 = R.unique_match(names, e, "name", "uid").withColumnRenamed("uid", "u1")
-    s2 = R.unique_match(s1.select("*", tail), e.select("uid", tail), "tail", "uid")
-    return s2.select("name", F.coalesce("u1", "uid").alias("uid"), F.when(F.col("u1").isNotNull(), 1).when(F.col("uid").isNotNull(), 2).alias("stage"))
-
-
 @query("k29_identity", "SELECT a.doc_id, u.target FROM documents a LEFT JOIN (SELECT md5(text) AS h, min(doc_id) AS target FROM documents WHERE source <> 'src0' GROUP BY 1 HAVING count(*) = 1) u ON u.h = md5(a.text) WHERE a.source = 'src0'")
 def _(t):
     d = t.documents.withColumn("h", F.md5("text"))

@@ -77,12 +77,6 @@ def _(t):
     return t.part.join(hidden, "p_partkey", "left").select("p_partkey", (F.col("p_brand").isNotNull() & F.col("hidden").isNull()).alias("searchable"))
 
 
-@query("c9_classifier", "SELECT doc_id, CASE WHEN lang = 'fr' AND n_chars > 5000 THEN 'long-fr' WHEN lang = 'fr' THEN 'fr' WHEN source IN ('src1', 'src2') THEN 'core' ELSE 'other' END AS collection FROM documents")
-def _(t):
-    c = F.when((F.col("lang") == "fr") & (F.col("n_chars") > 5000), "long-fr").when(F.col("lang") == "fr", "fr").when(F.col("source").isin("src1", "src2"), "core").otherwise("other")
-    return t.documents.select("doc_id", c.alias("collection"))
-
-
 @query("c10_first_valid_date", "SELECT l_orderkey, l_linenumber, min(coalesce(CASE WHEN year(l_shipdate) BETWEEN 1500 AND 1999 THEN CAST(l_shipdate AS DATE) END, DATE '1999-12-31')) AS d FROM lineitem GROUP BY ALL")
 def _(t):
     first = F.coalesce(F.when(F.year("l_shipdate").between(1500, 1999), F.col("l_shipdate").cast("date")), F.lit("1999-12-31").cast("date"))
@@ -200,14 +194,6 @@ def _(t):
     return R.unique_match(pending, cand, "key", "resolved").select("o_orderkey", "resolved")
 
 
-@query("d10_composite_keys", "WITH k AS (SELECT 'a' || (o_orderkey % 3000) AS key, o_orderkey AS d FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'b' || (o_custkey * 10 + month(o_orderdate)), o_orderkey FROM orders WHERE o_orderstatus = 'O') SELECT key, min(d) AS target FROM k GROUP BY key HAVING count(*) = 1")
-def _(t):
-    a = t.orders.filter("o_orderstatus = 'F'").select(F.concat(F.lit("a"), (F.col("o_orderkey") % 3000).cast("string")).alias("key"), F.col("o_orderkey").alias("target"))
-    b = t.orders.filter("o_orderstatus = 'O'").select(F.concat(F.lit("b"), (F.col("o_custkey") * 10 + F.month("o_orderdate")).cast("string")).alias("key"), F.col("o_orderkey").alias("target"))
-    every = a.unionByName(b)
-    return R.unique_match(every.select("key").distinct(), every, "key", "target").filter("target IS NOT NULL")
-
-
 @query("d11_bridge_join", "SELECT l_orderkey, l_linenumber, coalesce(o.o_custkey, -1) AS target FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') o ON l_orderkey = o_orderkey")
 def _(t):
     links = t.orders.filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
@@ -392,13 +378,6 @@ def _(t):
 _GRAMS = f"SELECT item_id, {tok('text')} AS w FROM benchmark"
 
 
-@query("e13_document_frequency", f"SELECT g AS gram, count(DISTINCT item_id) AS df FROM (SELECT item_id, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM ({_GRAMS})) GROUP BY 1")
-def _(t):
-    w = t.benchmark.select("item_id", X.tokens(F.col("text")).alias("w")).filter("size(w) > 1")
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))
-    return w.select(F.explode(F.array_distinct(pairs)).alias("gram")).groupBy("gram").agg(n_rows().alias("df"))
-
-
 _TERMS = f"SELECT l_partkey, l_orderkey, unnest(string_split(o_orderpriority || ' ' || o_orderstatus, ' ')) AS term FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 
 

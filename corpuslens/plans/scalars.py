@@ -106,11 +106,6 @@ def _(t):
     return t.documents.select("doc_id", F.length(X.summary_input(F.col("text"), 1000, 700, 300)).cast("long").alias("n"))
 
 
-@query("i18_summary_clean", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '^[^\\n]*\\n', ''), '[*#$%&|]+', '', 'g'))) AS cleaned FROM documents")
-def _(t):
-    return t.documents.select("doc_id", F.md5(F.trim(F.regexp_replace(F.regexp_replace("text", r"^[^\n]*\n", ""), r"[*#$%&|]+", ""))).alias("cleaned"))
-
-
 _MONTHS = "[" + ", ".join(f"'{m}'" for m in X.MONTHS) + "]"
 _FRENCH = f"(CASE WHEN day(o_orderdate) = 1 THEN '1er' ELSE CAST(day(o_orderdate) AS VARCHAR) END || ' ' || {_MONTHS}[month(o_orderdate)] || ' ' || CAST(year(o_orderdate) AS VARCHAR))"
 
@@ -120,12 +115,6 @@ def _(t):
     return t.orders.select("o_orderkey", F.concat(F.lit("Client "), F.concat_ws(", ", F.col("o_custkey").cast("string"), X.french_date(F.col("o_orderdate")), F.concat(F.lit("n° "), F.col("o_orderkey").cast("string")))).alias("title"))
 
 
-@query("i20_labels", "SELECT o_orderstatus AS code, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'partial' END AS label, count(*) AS n FROM orders GROUP BY ALL")
-def _(t):
-    labels = t.spark.sql("SELECT * FROM VALUES ('F', 'finished'), ('O', 'open'), ('P', 'partial') AS l(code, label)")
-    return t.orders.groupBy(F.col("o_orderstatus").alias("code")).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(labels), "code").select("code", "label", "n")
-
-
 @query("i21_url_host", "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www\\.', '') AS host FROM pages")
 def _(t):
     return t.pages.select("page_id", X.host(F.col("url")).alias("host"))
@@ -229,11 +218,6 @@ def _(t):
     return sib.filter("n BETWEEN 2 AND 20")
 
 
-@query("j17_range_expansion", "SELECT o_orderkey, unnest(generate_series(o_custkey, o_custkey + o_orderkey % 5)) AS key FROM orders")
-def _(t):
-    return t.orders.select("o_orderkey", F.explode(F.sequence(F.col("o_custkey"), F.col("o_custkey") + F.col("o_orderkey") % 5)).alias("key"))
-
-
 @query("j19_checksums", "SELECT doc_id, md5(text) AS m, sha256(text) AS s FROM documents")
 def _(t):
     return t.documents.select("doc_id", F.md5("text").alias("m"), F.sha2("text", 256).alias("s"))

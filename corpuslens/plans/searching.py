@@ -294,12 +294,6 @@ def _(t):
     return S.leg(both, 50).withColumn("score", F.round("score", 5))
 
 
-@query("h26_query_expansion", "SELECT item_id, CASE WHEN regexp_matches(lower(text), '\\bthou\\b') THEN 'thou -> you' WHEN regexp_matches(lower(text), '\\bnicht\\b') THEN 'nicht -> not' END AS expansion FROM benchmark")
-def _(t):
-    low = F.lower("text")
-    return t.benchmark.select("item_id", F.when(low.rlike(r"\bthou\b"), "thou -> you").when(low.rlike(r"\bnicht\b"), "nicht -> not").alias("expansion"))
-
-
 @query("h27_country_strip", "SELECT n_nationkey, trim(regexp_replace(q, '(?i)\\b' || n_name || '\\b', '', 'g')) AS stripped, regexp_matches(q, '(?i)\\b' || n_name || '\\b') AS named FROM (SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 0 THEN 'contrat ' || n_name ELSE 'franco contrat' END AS q FROM nation)")
 def _(t):
     q = t.nation.withColumn("q", F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("contrat "), "n_name")).otherwise("franco contrat"))

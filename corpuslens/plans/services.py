@@ -31,6 +31,18 @@ def parse_date(text: str | None) -> dt.date | None:
     return day
 
 
+def date_verdict(x):
+    """What ``parse_date`` says of a column: ok, not a date, or date out of range."""
+    day = F.when(x.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(x))
+    return F.when(x.isNull() | (x == ""), "ok").when(day.isNull(), "not a date").when(day.between(F.lit(FIRST_DAY), F.lit(LAST_DAY)), "ok").otherwise("date out of range")
+
+
+def cache_key(text, limit: int = 20, offset: int = 0):
+    """Key under which a request's result may be kept: digest of the normalised request."""
+    plain = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.md5(F.concat(F.lit('{"q":"'), plain, F.lit(f'","limit":{limit},"offset":{offset}}}')))
+
+
 def search_documents(docs: DataFrame, text: str, id_col: str = "doc_id", text_col: str = "text", filters: dict[str, list[str]] | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
     """Ranked documents of a query: id, score, rank. Boolean queries go by their clauses, others by BM25.
 
