@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.functions import text as X
 from corpuslens.plans.registry import n_rows, query
-from corpuslens.sources import archives, incremental, sitemap
+from corpuslens.sources import archives, incremental, parsers, sitemap
 from corpuslens.sources.shared import scratch
 
 MEMBERS = 200
@@ -260,3 +261,95 @@ def _(t):
 @query("b21_push_payload", """SELECT file, '{"host":"x.org","key":"k","urlList":[' || string_agg('"https://x.org' || loc || '"', ',' ORDER BY loc) || ']}' AS payload FROM (SELECT '/p/' || p_partkey AS loc, (row_number() OVER (ORDER BY '/p/' || p_partkey) - 1) // 300 AS file FROM part) GROUP BY 1""")
 def _(t):
     return sitemap.push_payloads(t.part.select(F.concat(F.lit("/p/"), F.col("p_partkey").cast("string")).alias("loc")), "k", "x.org", 300)
+
+
+# published formats
+
+
+def _published(t, root: str, paths: dict[str, str], values: dict[str, F.Column], more: tuple = ()) -> DataFrame:
+    """Parts written out in a format, as unpacked members."""
+    parts = []
+    for name, value in values.items():
+        path, _, attribute = paths[name].partition("@")
+        if attribute:
+            *above, last = path.split("/")
+            parts.append(F.concat(F.lit("".join(f"<{x}>" for x in above) + f'<{last} {attribute}="'), value, F.lit('"/>' + "".join(f"</{x}>" for x in reversed(above)))))
+        else:
+            parts.append(element(path, value))
+    body = element(root, *parts, *more)
+    return archives.unzipped(packed(t.part.select(F.concat(F.col("p_partkey").cast("string"), F.lit(".xml")).alias("member"), body.alias("raw"))))
+
+
+@query("a15_journal_articles", "SELECT 'JORFARTI' || p_partkey AS uid, 'JORFTEXT' || p_size AS text_uid, 'l' || p_size || '-' || p_partkey AS num_key, DATE '2001-02-03' AS valid_from, CASE WHEN p_size > 25 THEN DATE '2020-01-31' END AS valid_until, p_name AS body FROM part")
+def _(t):
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    values = {"uid": F.concat(F.lit("JORFARTI"), key), "text_uid": F.concat(F.lit("JORFTEXT"), size), "num": F.concat(F.lit("L. "), size, F.lit("-"), key), "state": F.lit("VIGUEUR"), "valid_from": F.lit("2001-02-03"), "valid_until": F.when(F.col("p_size") > 25, "2020-01-31").otherwise("2999-01-01"), "body": F.col("p_name")}
+    return parsers.journal_articles(_published(t, "ARTICLE", parsers.JOURNAL_ARTICLE, values)).select("uid", "text_uid", "num_key", "valid_from", "valid_until", "body")
+
+
+@query("a15_journal_texts", "SELECT 'JORFTEXT' || p_partkey AS uid, 'decret|2001-02-03|' || p_size || '-' || p_partkey AS key, p_size % 2 = 0 AS treaty FROM part")
+def _(t):
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    title = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("Décret portant publication de l'accord sur "), "p_name")).otherwise(F.concat(F.lit("Décret relatif à "), "p_name"))
+    values = {"uid": F.concat(F.lit("JORFTEXT"), key), "nature": F.lit("DECRET"), "num": F.concat(F.lit("n° "), size, F.lit("-"), key), "signed_on": F.lit("2001-02-03"), "title": title}
+    return parsers.journal_texts(_published(t, "TEXTE_VERSION", parsers.JOURNAL_TEXT, values)).select("uid", "key", "treaty")
+
+
+@query("a16_agreement_articles", "SELECT 'KALIARTI' || p_partkey AS uid, 'KALICONT' || p_size AS container_uid, CASE WHEN p_size % 3 = 0 THEN 'ABROGE' ELSE 'VIGUEUR' END AS state, p_name AS body FROM part")
+def _(t):
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    state = F.when(F.col("p_size") % 3 == 0, "ABROGE").when(F.col("p_size") % 3 == 1, "VIGUEUR_ETEN").otherwise("VIGUEUR_NON_ETEN")
+    values = {"uid": F.concat(F.lit("KALIARTI"), key), "container_uid": F.concat(F.lit("KALICONT"), size), "num": F.lit(""), "state": state, "valid_from": F.lit("2001-02-03"), "valid_until": F.lit("2999-01-01"), "body": F.col("p_name")}
+    return parsers.agreement_articles(_published(t, "ARTICLE", parsers.AGREEMENT_ARTICLE, values)).select("uid", "container_uid", "state", "body")
+
+
+@query("a17_tax_doctrine", "SELECT 'BOI-' || p_partkey AS uid, unnest(['1', '10']) AS num, unnest(['Texte ' || p_name, p_name || ' suite et fin']) AS text, unnest(['I. Règles', 'I. Règles > A. Cas']) AS path FROM part WHERE p_size % 5 <> 0")
+def _(t):
+    html = F.concat(F.lit('<h1>I. Règles</h1><p class=""numero-de-paragraphe-western"">1</p><p>Texte <b>'), "p_name", F.lit('</b></p><h2>A. Cas</h2><p class="numero-de-paragraphe-western">10</p><p>'), "p_name", F.lit("</p><p>suite&nbsp;et fin</p>"))
+    line = F.to_json(F.struct(F.when(F.col("p_size") % 5 == 0, "Actualité").otherwise("Contenu").alias("type"), F.col("p_name").alias("titre"), F.lit("2020-01-02").alias("debut_de_validite"), F.lit("TVA").alias("serie"), F.concat(F.lit("BOI-"), F.col("p_partkey").cast("string")).alias("identifiant_juridique"), html.alias("contenu_html")))
+    rows = parsers.doctrine(t.part.select(line.alias("line"))).select("uid", F.explode("paragraphs").alias("p"))
+    return rows.select("uid", "p.num", "p.text", F.array_join("p.path", " > ").alias("path"))
+
+
+@query("a18_circulars", "SELECT 'cir_' || p_partkey AS uid, CASE WHEN p_size = 1 THEN 'A' ELSE 'V' END AS state, p_name AS title, DATE '2010-11-12' AS published_on, 'loi ' || p_size || '|code' AS cited FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#1')")
+def _(t):
+    key = F.col("p_partkey").cast("string")
+    cited = F.concat(F.lit("<TEXTES_DE_REFERENCE><TEXTE_REF>loi "), F.col("p_size").cast("string"), F.lit("</TEXTE_REF><TEXTE_REF>code</TEXTE_REF></TEXTES_DE_REFERENCE>"))
+    values = {"number": key, "state": F.when(F.col("p_size") == 1, "A").otherwise("V"), "title": F.col("p_name"), "signed_on": F.lit("2010-10-10"), "filed_on": F.lit("2010-11-12")}
+    gone = parsers.abrogated(t.part.filter("p_brand = 'Brand#1'").select(F.concat(F.lit("2011/07/A_cir_"), key, F.lit(".pdf")).alias("line")), "line")
+    found = parsers.circulars(_published(t, "CIRCULAIRE", parsers.CIRCULAR, values, (cited,))).join(gone, "uid", "left_anti")
+    return found.select("uid", "state", "title", "published_on", F.array_join("cited", "|").alias("cited"))
+
+
+@query("a10_european_decisions", "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'cedh/001-' || o_orderkey ELSE 'cjue/62020CJ' || printf('%06d', o_orderkey) END AS source_uid, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey || '/01|' || o_custkey || '/02' ELSE 'C-' || o_orderkey || '/20' END AS dockets, CAST(o_orderdate AS DATE) AS read_on, 'Arrêt' || chr(10) || o_orderpriority || ' & suites' AS full_text FROM orders")
+def _(t):
+    key, human, day = F.col("o_orderkey"), F.col("o_orderkey") % 2 == 0, F.col("o_orderdate").cast("date")
+    columns = F.when(human, F.to_json(F.struct(F.concat(key.cast("string"), F.lit("/01; "), F.col("o_custkey").cast("string"), F.lit("/02")).alias("appno"), F.when(key % 4 == 0, F.concat(day.cast("string"), F.lit("T00:00:00"))).alias("kpdate"), F.concat(F.date_format(day, "dd/MM/yyyy"), F.lit(" 00:00:00")).alias("judgementdate")))).otherwise(F.to_json(F.struct(day.cast("string").alias("work_date_document"))))
+    rows = t.orders.select(F.when(human, "cedh").otherwise("cjue").alias("kind"), F.when(human, F.concat(F.lit("001-"), key.cast("string"))).otherwise(F.concat(F.lit("62020CJ"), F.lpad(key.cast("string"), 6, "0"))).alias("uid"), columns.alias("columns"), F.concat(F.lit("<html><style>p{}</style><p>Arrêt</p><p>"), "o_orderpriority", F.lit(" &amp; suites</p></html>")).alias("html"))
+    return parsers.european(rows).select("source_uid", F.array_join("dockets", "|").alias("dockets"), "read_on", "full_text")
+
+
+@query("a11_asylum_decisions", "SELECT CAST(o_orderkey AS VARCHAR) AS number, 'ECLI:FR:CNDA:' || year(o_orderdate) || ':' || o_orderkey AS ecli, CASE WHEN o_orderstatus = 'F' THEN 'annulation' ELSE 'rejet' END AS outcome, 'COUR' || chr(10) || 'Vu la procédure, demande de protection ;' || chr(10) || 'Considérant que ' || o_orderpriority || ' suffit.' || chr(10) || 'DECIDE :' || chr(10) || CASE WHEN o_orderstatus = 'F' THEN 'Article 1er : La décision est annulée.' ELSE 'Article 1er : Le recours est rejeté.' END AS full_text FROM orders")
+def _(t):
+    day = F.col("o_orderdate").cast("date")
+    end = F.when(F.col("o_orderstatus") == "F", "Article 1er : La décision est\nannulée.").otherwise("Article 1er : Le recours\nest rejeté.")
+    raw = F.concat(F.lit("COUR\nn° 123\n\nVu la procé-\ndure, demande de\f2\nprotection ;\nConsidérant que "), "o_orderpriority", F.lit("\n\nsuffit.\nD É C I D E\n"), end)
+    return parsers.asylum(t.orders.select(F.col("o_orderkey").cast("string").alias("number"), day.alias("published"), raw.alias("raw"))).select("number", "ecli", "outcome", "full_text")
+
+
+@query("a12_analyses", "SELECT p_partkey, CAST(400000 + p_partkey AS VARCHAR) AS docket, '54-06:Procédure - Jugements:Titre ' || p_name AS headings, 'Résumé de ' || p_name AS summary, '(1) Cf. CE, ' || p_size AS notes FROM part")
+def _(t):
+    html = F.concat(F.lit("<p>CONSEIL D'ETAT</p><p>N° "), (F.col("p_partkey") + 400_000).cast("string"), F.lit("</p><p>Mentionné aux tables</p><hr/><p>54-06 : Procédure -<br>Jugements</p><p>Titre "), "p_name", F.lit("</p><hr><p>Résumé de "), "p_name", F.lit("</p><p>(1) Cf. CE, "), F.col("p_size").cast("string"), F.lit("</p><hr><p>Résumé de "), "p_name", F.lit("</p>"))
+    rows = parsers.analyses(t.part.select("p_partkey", html.alias("html")), "html").select("p_partkey", "analysis.*")
+    shown = F.array_join(F.transform("headings", lambda h: F.concat_ws(":", h["code"], h["label"], h["title"])), "|")
+    return rows.select("p_partkey", "docket", shown.alias("headings"), F.array_join("summaries", "|").alias("summary"), F.array_join("notes", "|").alias("notes"))
+
+
+@query("a13_title_citations", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'CE' WHEN o_orderkey % 3 = 1 THEN 'CAA' ELSE 'CC' END AS court, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderkey % 3 = 2 THEN '24-15.449' ELSE '24PA' || o_orderkey || '|' || o_custkey END AS dockets FROM orders WHERE o_orderkey % 7 <> 0")
+def _(t):
+    key = F.col("o_orderkey")
+    court = F.when(key % 7 == 0, "Blog").when(key % 3 == 0, "CE").when(key % 3 == 1, "CAA de Paris").otherwise("Cass. 1re civ.")
+    numbers = F.when(key % 3 == 2, "n° 24-15449").otherwise(F.concat(F.lit("n°24pa"), key.cast("string"), F.lit(" et "), F.col("o_custkey").cast("string")))
+    title = F.concat(court, F.lit(", "), X.french_date(F.col("o_orderdate").cast("date")), F.lit(", "), numbers)
+    found = t.orders.select("o_orderkey", parsers.title_citation(title).alias("c")).filter("c IS NOT NULL")
+    return found.select("o_orderkey", "c.court", "c.date", F.array_join("c.dockets", "|").alias("dockets"))
