@@ -138,3 +138,16 @@ def frequencies(grams: DataFrame, doc: str, gram: str, display: str) -> DataFram
     forms = grams.groupBy(gram, display).agg(F.count(F.lit(1)).alias("_n"))
     shown = forms.groupBy(gram).agg(F.min_by(display, F.struct((-F.col("_n")).alias("n"), F.col(display))).alias(display))
     return grams.groupBy(gram).agg(F.countDistinct(doc).alias("df")).join(shown, gram)
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
+    """``rows`` with their place from 1 in a total order.
+
+    Rows are ranged into partitions and numbered there; only one count for each partition is summed in order, so no
+    task sees all rows.
+    """
+    part = rows.select("*", F.struct(*order).alias("_o")).repartitionByRange("_o").withColumn("_p", F.spark_partition_id())
+    inside = part.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("_o")))
+    counts = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row for each partition
+    return inside.join(F.broadcast(before), "_p").select(*rows.columns, (F.col("_before") + F.col("_i")).cast("long").alias(name))

@@ -500,7 +500,7 @@ def _(t):
 def _(t):
     key = F.concat(F.get(_join(["l", "r", "d", ""]), (F.col("p_partkey") % 4).cast("int")), F.col("p_size").cast("string"), F.lit("-"), F.col("p_partkey").cast("string"))
     k = t.part.select(key.alias("k")).withColumn("nk", X.natural_key(F.col("k")))
-    return k.select("k", F.row_number().over(Window.orderBy("nk")).cast("long").alias("pos"))
+    return R.numbered(k, [F.col("nk")]).select("k", "pos")
 
 
 @query("f12_median_order", "SELECT p_brand, quantile_disc(p_partkey, 0.5) AS med FROM part GROUP BY 1")
@@ -511,7 +511,7 @@ def _(t):
 @query("f13_date_resort", "SELECT o_orderkey, row_number() OVER (ORDER BY coalesce(CAST(CAST(d AS DATE) AS VARCHAR), ''), o_orderkey) AS pos FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END AS d FROM orders)")
 def _(t):
     o = t.orders.withColumn("d", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate").cast("date").cast("string")))
-    return o.select("o_orderkey", F.row_number().over(Window.orderBy(F.coalesce("d", F.lit("")), "o_orderkey")).cast("long").alias("pos"))
+    return R.numbered(o.select("o_orderkey", "d"), [F.coalesce("d", F.lit("")).alias("d"), F.col("o_orderkey")]).select("o_orderkey", "pos")
 
 
 @query("f14_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")

@@ -121,12 +121,22 @@ def _(t):
     return hits(t).withColumn("score", F.round("score", 8))
 
 
-@query("h7_adaptive_weights")
+_ASKED = ["article L. 761-1", "congés payés", "pourvoi 18-23.954", "arrêt du 12 mars 2020"]
+
+
+@query("h7_adaptive_weights", """
+    WITH e AS (SELECT vec_id // 10 AS g, vec_id % 10 < 5 AS near, vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS norm FROM embeddings),
+    u AS (SELECT g, near, norm, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM e),
+    m AS (SELECT g, i, avg(x) FILTER (near) AS a, avg(x) FILTER (NOT near) AS b, sum(x / norm) FILTER (near) AS s FROM u GROUP BY ALL),
+    d AS (SELECT g, 1 - sum(a * b) / sqrt(sum(a * a) * sum(b * b)) AS apart, sum(s * s) AS uu FROM m GROUP BY g),
+    n AS (SELECT g, count(*) FILTER (near) AS n FROM e GROUP BY g),
+    w AS (SELECT g, g % 4 AS q, g % 4 <> 0 AND apart > 0.06 AND n > 1 AND 1 - (uu - n) / (n * (n - 1)) < 0.18 AS far FROM d JOIN n USING (g))
+    SELECT g, CASE q WHEN 0 THEN 0.2 WHEN 2 THEN 6 WHEN 3 THEN 1.5 ELSE 1 END AS title, CASE WHEN q = 0 THEN 1.5 WHEN far THEN 0.4 ELSE 1 END AS bm25, CASE WHEN far THEN 2.5 ELSE 1 END AS ann FROM w""")
 def _(t):
-    rows = t.embeddings.orderBy("vec_id").limit(100).select("embedding").collect()  # two legs' vectors, 50 each
-    vectors = [list(r[0]) for r in rows]
-    out = [(q, *vars(S.adaptive_weights(q, vectors[:50], vectors[50:])).values()) for q in ("article L. 761-1", "congés payés", "pourvoi 18-23.954", "arrêt du 12 mars 2020")]
-    return t.spark.createDataFrame(out, "query string, title double, bm25 double, ann double")
+    """Every ten vectors are a query's two legs; the queries' texts take turns."""
+    legs = t.embeddings.select(F.floor(F.col("vec_id") / 10).alias("g"), F.when(F.col("vec_id") % 10 < 5, "ann").otherwise("bm25").alias("leg"), "embedding")
+    asked = F.element_at(F.array(*map(F.lit, _ASKED)), (F.col("g") % 4 + 1).cast("int"))
+    return S.weights_of_legs(legs, "g", asked, "leg", "embedding")
 
 
 _ART = r"(?i)\barticles?\s+\d+|\b[LRDA]\.?\s?\d+-\d+"

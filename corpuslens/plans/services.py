@@ -123,5 +123,5 @@ def _(t):
 def _(t):
     from corpuslens.operators.rerank import rerank
 
-    rows = t.documents.orderBy(F.desc("n_chars"), "doc_id").limit(50).select("doc_id", F.left("text", F.lit(500)).alias("head")).collect()  # a short list
-    return t.spark.createDataFrame(list(enumerate(rerank([(r.doc_id, r.head) for r in rows], "the tion de la"), 1)), "rank int, doc_id long")
+    rows = t.documents.orderBy(F.desc("n_chars"), "doc_id").limit(50).select("doc_id", "text").collect()  # the depth of a reranking
+    return t.spark.createDataFrame(list(enumerate(rerank([(r.doc_id, r.text) for r in rows], "the tion de la"), 1)), "rank int, doc_id long")
