@@ -151,3 +151,41 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "pos") -> DataFra
     counts = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row for each partition
     return inside.join(F.broadcast(before), "_p").select(*rows.columns, (F.col("_before") + F.col("_i")).cast("long").alias(name))
+
+
+def usage_bags(contexts: DataFrame, uid: str, context: str, text: str, share: float = 0.03, most: int = 24) -> DataFrame:
+    """uid, bag: words and neighbouring words of the contexts in which something is cited, each as often as its weight.
+
+    A gram counts in max(2, share of the contexts) contexts or more; its weight is 2 log2(contexts + 1), at most ``most``.
+    """
+    low = F.regexp_replace(F.lower(text), "[^a-zà-ÿ -]", " ")
+    words = contexts.select(F.col(uid).alias("uid"), F.col(context).alias("c"), F.filter(F.split(low, r"\s+"), lambda w: w != "").alias("w"))
+    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws("_", F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
+    grams = words.select("uid", "c", F.explode(F.array_distinct(F.concat(F.filter("w", lambda x: F.length(x) > 1), pairs))).alias("g"))
+    held = grams.groupBy("uid", "g").agg(F.countDistinct("c").alias("df"))
+    n = contexts.groupBy(F.col(uid).alias("uid")).agg(F.countDistinct(context).alias("n"))
+    kept = held.join(n, "uid").filter(F.col("df") >= F.greatest(F.lit(2), F.ceil(F.col("n") * share)))
+    weight = F.least(F.ceil(F.round(2 * F.log2(F.col("df") + 1), 9)), F.lit(most)).cast("int")
+    repeated = F.transform(F.array_sort(F.collect_list(F.struct("g", weight.alias("tf")))), lambda x: F.array_join(F.array_repeat(x["g"], x["tf"]), " "))
+    return kept.groupBy("uid").agg(F.array_join(repeated, " ").alias("bag"))
+
+
+def entity_pages(rows: DataFrame, entity: str, date: str, role: str, court: str, counsel: str, top: int = 3) -> DataFrame:
+    """One row for each entity: total, first and last day, counts by year and role, its most frequent courts and counsel.
+
+    Counts are combined before the shuffle; what an entity gathers are its years, roles and ``top`` names.
+    """
+
+    def counted(column: Column, name: str, best: int | None) -> DataFrame:
+        n = rows.filter(column.isNotNull()).groupBy(F.col(entity).alias("entity"), column.cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        if best:
+            n = top_per_group(n, ["entity"], [F.desc("n"), F.asc("value")], best)
+            key = F.struct((-F.col("n")).alias("o"), "value", "n")
+        else:
+            key = F.struct(F.col("value").alias("o"), "value", "n")
+        return n.groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: F.concat_ws(":", x["value"], x["n"].cast("string"))), ",").alias(name))
+
+    out = rows.groupBy(F.col(entity).alias("entity")).agg(F.count(F.lit(1)).alias("total"), F.min(date).alias("first_day"), F.max(date).alias("last_day"))
+    for column, name, best in ((F.year(date), "years", None), (F.col(role), "roles", None), (F.col(court), "courts", top), (F.col(counsel), "counsel", top)):
+        out = out.join(counted(column, name, best), "entity", "left")
+    return out

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def descend(spark: SparkSession, edges: DataFrame, root: str, depth: int = 32) -> DataFrame:
@@ -36,3 +37,42 @@ def ascend(spark: SparkSession, edges: DataFrame, leaves: DataFrame, depth: int
         edges=edges,
         leaves=leaves,
     )
+
+
+def in_force(edges: DataFrame, start: str, end: str, at: Column) -> DataFrame:
+    """Edges that hold at a date; an open end is null."""
+    return edges.filter((F.col(start).isNull() | (F.col(start) <= at)) & (F.col(end).isNull() | (F.col(end) > at)))
+
+
+def descend_all(spark: SparkSession, edges: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
+    """Nodes below each of ``roots`` (root) of edges (parent, child, seq): root, node, depth, path (the seqs on the way)."""
+    return spark.sql(
+        f"""
+        WITH RECURSIVE tree (root, node, depth, path) AS (
+            SELECT r.root, e.child, 1, array(e.seq) FROM {{roots}} r JOIN {{edges}} e ON e.parent = r.root
+            UNION ALL
+            SELECT t.root, e.child, t.depth + 1, concat(t.path, array(e.seq))
+            FROM tree t JOIN {{edges}} e ON e.parent = t.node WHERE t.depth < {int(depth)}
+        )
+        SELECT root, node, depth, path FROM tree
+        """,
+        edges=edges,
+        roots=roots,
+    )
+
+
+def corpus_toc(articles: DataFrame) -> DataFrame:
+    """Edges of the table of contents that title paths tell: text_uid, owner, kind, label, seq.
+
+    articles: text_uid, idx (their order), uid, title_path ("I > A", null at the top). Divisions of one label under the
+    same parent are one, wherever their articles stand; children come by their first article. Texts without any path
+    have no table. Articles are combined by division before they are shuffled by owner.
+    """
+    labels = F.filter(F.transform(F.split(F.coalesce("title_path", F.lit("")), " > "), lambda x: F.trim(x)), lambda x: x != "")
+    rows = articles.join(articles.filter("title_path IS NOT NULL").select("text_uid").distinct(), "text_uid", "left_semi").select("text_uid", "idx", "uid", labels.alias("p"))
+    path = lambda p, n: F.array_join(F.slice(p, 1, n), " > ")
+    levels = rows.filter(F.size("p") > 0).select("text_uid", "idx", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda n: F.struct(path(F.col("p"), n - 1).alias("owner"), F.get(F.col("p"), n - 1).alias("label")))).alias("d"))
+    divisions = levels.groupBy("text_uid", "d.owner", "d.label").agg(F.min("idx").alias("at")).select("text_uid", "owner", F.lit("division").alias("kind"), "label", "at")
+    leaves = rows.select("text_uid", path(F.col("p"), F.size("p")).alias("owner"), F.lit("article").alias("kind"), F.col("uid").alias("label"), F.col("idx").alias("at"))
+    order = Window.partitionBy("text_uid", "owner").orderBy("at", F.desc("kind"))
+    return divisions.unionByName(leaves).withColumn("seq", F.row_number().over(order)).drop("at")

@@ -254,12 +254,6 @@ def _(t):
     return ingest.split_plan(t.orders.select("o_custkey", F.nullif("o_orderstatus", F.lit("P")).alias("k")), "o_custkey", "k").select("o_custkey", "plan")
 
 
-@query("k36_toc_paths", "SELECT r_name || ' > ' || n_name AS path, count(*) AS n, min(c_custkey) AS first_key FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
-def _(t):
-    j = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.groupBy(F.concat_ws(" > ", "r_name", "n_name").alias("path")).agg(n_rows().alias("n"), F.min("c_custkey").alias("first_key"))
-
-
 @query("k38_rekey", "SELECT l_orderkey, l_linenumber, coalesce(m.new, l_partkey) AS key FROM lineitem LEFT JOIN (SELECT p_partkey AS old, p_partkey + 100000 AS new FROM part WHERE p_size = 1) m ON old = l_partkey")
 def _(t):
     m = t.part.filter("p_size = 1").select(F.col("p_partkey").alias("old"), (F.col("p_partkey") + 100_000).alias("new"))
@@ -287,29 +281,12 @@ def _(t):
 # N: entity and hub pages
 
 
-@query("n1_entity_page", "SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS y, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2, 3")
-def _(t):
-    return t.orders.groupBy("o_custkey", F.year("o_orderdate").alias("y"), "o_orderstatus").agg(n_rows().alias("n"), F.round(F.sum("o_totalprice"), 2).alias("v"))
-
-
-@query("n2_entity_documents", "SELECT l_suppkey, l_orderkey, min(l_returnflag) AS role FROM lineitem GROUP BY 1, 2")
-def _(t):
-    return t.lineitem.groupBy("l_suppkey", "l_orderkey").agg(F.min("l_returnflag").alias("role"))
-
-
 @query("n3_parties", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 1 ELSE 2 END, l_linestatus, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord FROM lineitem")
 def _(t):
     w = Window.partitionBy("l_orderkey").orderBy(F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "R", 1).otherwise(2), "l_linestatus", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return t.lineitem.select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("ord"))
 
 
-@query("n4_directory", "SELECT c_mktsegment, count(*) AS total, count(*) FILTER (n > 0) AS active FROM (SELECT c_custkey, c_mktsegment, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2) GROUP BY 1")
-def _(t):
-    n = t.orders.groupBy("o_custkey").agg(n_rows().alias("n"))
-    j = t.customer.join(n, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return j.groupBy("c_mktsegment").agg(n_rows().alias("total"), F.count_if(F.col("n") > 0).alias("active"))
-
-
 @query("n5_document_detail", "SELECT o_orderkey, count(*) AS n_lines, array_to_string(list(l_partkey || ':' || l_linenumber ORDER BY l_linenumber, l_partkey), ' ') AS lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def _(t):
     li = t.lineitem.select("l_orderkey", F.struct("l_linenumber", "l_partkey", F.concat_ws(":", "l_partkey", "l_linenumber").alias("s")).alias("x"))
@@ -317,22 +294,12 @@ def _(t):
     return j.groupBy("o_orderkey").agg(n_rows().alias("n_lines"), F.concat_ws(" ", F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"])).alias("lines"))
 
 
-@query("n6_preview", "SELECT conv_id, left(text, 120) AS head FROM conversations WHERE turn = 0")
-def _(t):
-    return t.conversations.filter("turn = 0").select("conv_id", F.left("text", F.lit(120)).alias("head"))
-
-
 @query("n7_article_page", "SELECT p_partkey, count(DISTINCT l_orderkey) AS citing, min(l_shipdate) AS first_at, max(l_shipdate) AS last_at FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1")
 def _(t):
     li = t.lineitem.groupBy("l_partkey").agg(F.countDistinct("l_orderkey").alias("citing"), F.min("l_shipdate").alias("first_at"), F.max("l_shipdate").alias("last_at"))
     return t.part.join(li, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", F.coalesce("citing", F.lit(0)).cast("long").alias("citing"), "first_at", "last_at")
 
 
-@query("n11_hub", "SELECT source, lang, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY 1, 2")
-def _(t):
-    return t.documents.groupBy("source", "lang").agg(n_rows().alias("n"), F.sum("n_chars").alias("chars"))
-
-
 @query("n12_corpus_stats", "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM lineitem) AS citations, (SELECT count(DISTINCT l_partkey) FROM lineitem) AS cited, (SELECT count(*) FROM customer) AS entities")
 def _(t):
     one = lambda df, c, name: df.agg(c.alias(name))

@@ -12,6 +12,7 @@ from corpuslens.functions import text as X
 from corpuslens.operators import chunking, texts
 from corpuslens.operators import decisions as D
 from corpuslens.operators import relational as R
+from corpuslens.operators import trees
 from corpuslens.plans.extracting import decisions
 from corpuslens.plans.registry import n_rows, query
 
@@ -387,3 +388,107 @@ def _(t):
     spans = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))))
     grams = words.select("item_id", F.explode(spans).alias("display")).withColumn("gram", F.lower("display"))
     return R.frequencies(grams, "item_id", "gram", "display")
+
+
+_EDGES = "SELECT 'world' AS parent, 'r' || r_regionkey AS child, r_regionkey AS seq, NULL::DATE AS d0, NULL::DATE AS d1 FROM region UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, n_nationkey, DATE '2000-01-01', CASE WHEN n_nationkey % 4 = 0 THEN DATE '2010-01-01' END FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, c_custkey, CASE WHEN c_custkey % 5 = 0 THEN DATE '2020-01-01' ELSE DATE '2000-01-01' END, NULL FROM customer"
+
+
+def _toc_edges(t) -> DataFrame:
+    none, day = F.lit(None).cast("date"), lambda x: F.lit(x).cast("date")
+    tag = lambda letter, column: F.concat(F.lit(letter), F.col(column).cast("string"))
+    regions = t.region.select(F.lit("world").alias("parent"), tag("r", "r_regionkey").alias("child"), F.col("r_regionkey").cast("long").alias("seq"), none.alias("d0"), none.alias("d1"))
+    nations = t.nation.select(tag("r", "n_regionkey"), tag("n", "n_nationkey"), F.col("n_nationkey").cast("long"), day("2000-01-01"), F.when(F.col("n_nationkey") % 4 == 0, day("2010-01-01")))
+    leaves = t.customer.select(tag("n", "c_nationkey"), tag("c", "c_custkey"), F.col("c_custkey").cast("long"), F.when(F.col("c_custkey") % 5 == 0, day("2020-01-01")).otherwise(day("2000-01-01")), none)
+    return regions.unionAll(nations).unionAll(leaves)
+
+
+@query("d18_tree_down", f"WITH RECURSIVE e AS (SELECT * FROM ({_EDGES}) WHERE (d0 IS NULL OR d0 <= DATE '2015-06-01') AND (d1 IS NULL OR d1 > DATE '2015-06-01')), tree AS (SELECT e.parent AS root, child AS node, 1 AS depth, CAST(seq AS VARCHAR) AS path FROM e WHERE e.parent = 'world' OR starts_with(e.parent, 'r') UNION ALL SELECT t.root, e.child, t.depth + 1, t.path || '/' || e.seq FROM tree t JOIN e ON e.parent = t.node WHERE t.depth < 32) SELECT * FROM tree")
+def _(t):
+    edges = trees.in_force(_toc_edges(t), "d0", "d1", F.lit("2015-06-01").cast("date"))
+    roots = edges.filter("parent = 'world' OR parent LIKE 'r%'").select(F.col("parent").alias("root")).distinct()
+    return trees.descend_all(t.spark, edges.select("parent", "child", "seq"), roots).select("root", "node", F.col("depth").cast("long").alias("depth"), F.array_join("path", "/").alias("path"))
+
+
+_PATHS = "SELECT r_name AS text_uid, c_custkey AS idx, 'a' || c_custkey AS uid, CASE WHEN c_custkey % 10 > 0 THEN n_name END AS l1, CASE WHEN c_custkey % 10 > 3 THEN c_mktsegment END AS l2 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+_TOC = f"WITH a AS ({_PATHS}), d AS (SELECT text_uid, '' AS owner, 'division' AS kind, l1 AS label, min(idx) AS pl FROM a WHERE l1 IS NOT NULL GROUP BY ALL UNION ALL SELECT text_uid, l1, 'division', l2, min(idx) FROM a WHERE l2 IS NOT NULL GROUP BY ALL UNION ALL SELECT text_uid, coalesce(l1 || coalesce(' > ' || l2, ''), ''), 'article', uid, idx FROM a) SELECT text_uid, owner, kind, label, row_number() OVER (PARTITION BY text_uid, owner ORDER BY pl, kind DESC) AS seq FROM d"
+
+
+def _toc(t) -> DataFrame:
+    # dimensions of fixed size
+    j = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    path = F.when(F.col("c_custkey") % 10 > 3, F.concat_ws(" > ", "n_name", "c_mktsegment")).when(F.col("c_custkey") % 10 > 0, F.col("n_name"))
+    return trees.corpus_toc(j.select(F.col("r_name").alias("text_uid"), F.col("c_custkey").alias("idx"), F.concat(F.lit("a"), F.col("c_custkey").cast("string")).alias("uid"), path.alias("title_path")))
+
+
+@query("k36_corpus_toc", _TOC)
+def _(t):
+    return _toc(t).withColumn("seq", F.col("seq").cast("long"))
+
+
+@query("n8_code_toc", f"WITH toc AS ({_TOC}) SELECT text_uid, label AS article, row_number() OVER (PARTITION BY text_uid ORDER BY k1, k2, k3) AS pos FROM (SELECT a.text_uid, a.label, CASE WHEN a.owner = '' THEN a.seq ELSE d1.seq END AS k1, CASE WHEN a.owner = '' THEN 0 WHEN d2.seq IS NULL THEN a.seq ELSE d2.seq END AS k2, CASE WHEN d2.seq IS NULL THEN 0 ELSE a.seq END AS k3 FROM toc a LEFT JOIN toc d1 ON d1.kind = 'division' AND d1.owner = '' AND d1.text_uid = a.text_uid AND d1.label = split_part(a.owner, ' > ', 1) LEFT JOIN toc d2 ON d2.kind = 'division' AND d2.owner <> '' AND d2.text_uid = a.text_uid AND d2.owner || ' > ' || d2.label = a.owner WHERE a.kind = 'article')")
+def _(t):
+    """Articles of each text in reading order, by the tree of its table of contents."""
+    toc = _toc(t)
+    node = F.concat_ws("|", "text_uid", F.when(F.col("kind") == "article", F.concat(F.lit("#"), "label")).otherwise(F.concat_ws(" > ", F.nullif("owner", F.lit("")), "label")))
+    edges = toc.select(F.concat_ws("|", "text_uid", "owner").alias("parent"), node.alias("child"), F.col("seq").cast("long").alias("seq"))
+    roots = toc.select(F.concat(F.col("text_uid"), F.lit("|")).alias("root")).distinct()
+    tree = trees.descend_all(t.spark, edges, roots).filter("contains(node, '|#')")
+    order = Window.partitionBy("root").orderBy("path")
+    return tree.select(F.expr("rtrim('|', root)").alias("text_uid"), F.split_part("node", F.lit("|#"), F.lit(2)).alias("article"), F.row_number().over(order).cast("long").alias("pos"))
+
+
+@query("e14_term_bag", "WITH c AS (SELECT source AS uid, doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(left(text, 400)), '[^a-zà-ÿ -]', ' ', 'g'), '\s+'), lambda w: w <> '') AS w FROM documents), g AS (SELECT DISTINCT uid, doc_id, g FROM (SELECT uid, doc_id, unnest(list_concat(list_filter(w, lambda x: length(x) > 1), list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || '_' || w[i + 1]))) AS g FROM c)), d AS (SELECT uid, g, count(*) AS df FROM g GROUP BY ALL), n AS (SELECT uid, count(*) AS n FROM c GROUP BY 1) SELECT uid, string_agg(trim(repeat(g || ' ', CAST(least(ceil(round(2 * log2(df + 1), 9)), 24) AS INTEGER))), ' ' ORDER BY g) AS bag FROM d JOIN n USING (uid) WHERE df >= greatest(2, ceil(n * 0.03)) GROUP BY 1")
+def _(t):
+    return R.usage_bags(t.documents.select("source", "doc_id", F.left("text", F.lit(400)).alias("context")), "source", "doc_id", "context")
+
+
+def _top(value: str, name: str) -> str:
+    return f"(SELECT entity, string_agg(v || ':' || n, ',' ORDER BY n DESC, v) AS {name} FROM (SELECT o_custkey AS entity, {value} AS v, count(*) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, {value}) AS rk FROM orders GROUP BY 1, 2) WHERE rk <= 3 GROUP BY 1)"
+
+
+def _all(value: str, name: str) -> str:
+    return f"(SELECT entity, string_agg(v || ':' || n, ',' ORDER BY v) AS {name} FROM (SELECT o_custkey AS entity, CAST({value} AS VARCHAR) AS v, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1)"
+
+
+@query("n1_entity_page", f"SELECT e.entity, c_name AS name, total, first_day, last_day, years, roles, courts, counsel FROM (SELECT o_custkey AS entity, count(*) AS total, CAST(min(o_orderdate) AS DATE) AS first_day, CAST(max(o_orderdate) AS DATE) AS last_day FROM orders GROUP BY 1) e JOIN customer ON c_custkey = e.entity JOIN {_all('year(o_orderdate)', 'years')} y USING (entity) JOIN {_all('o_orderstatus', 'roles')} r USING (entity) JOIN {_top('o_orderpriority', 'courts')} p USING (entity) JOIN {_top('CAST(o_orderkey % 7 AS VARCHAR)', 'counsel')} k USING (entity)")
+def _(t):
+    rows = t.orders.select("o_custkey", F.col("o_orderdate").cast("date").alias("day"), "o_orderstatus", "o_orderpriority", (F.col("o_orderkey") % 7).cast("string").alias("counsel"))
+    pages = R.entity_pages(rows, "o_custkey", "day", "o_orderstatus", "o_orderpriority", "counsel")
+    return pages.join(t.customer.select(F.col("c_custkey").alias("entity"), F.col("c_name").alias("name")), "entity")
+
+
+@query("n2_entity_documents", "SELECT l_suppkey AS entity, l_orderkey AS doc, arg_min(l_returnflag, struct_pack(a := l_linenumber, b := l_returnflag)) AS role, count(*) OVER (PARTITION BY l_suppkey) AS total FROM lineitem GROUP BY l_suppkey, l_orderkey")
+def _(t):
+    """Each document of an entity once, with the role of its first mention, and the entity's total."""
+    docs = t.lineitem.groupBy(F.col("l_suppkey").alias("entity"), F.col("l_orderkey").alias("doc")).agg(F.min_by("l_returnflag", F.struct("l_linenumber", "l_returnflag")).alias("role"))
+    return docs.join(docs.groupBy("entity").agg(n_rows().alias("total")), "entity")
+
+
+@query("n4_directory", "SELECT c_mktsegment AS category, upper(left(c_name, 1)) AS initial, c_nationkey AS place, count(*) AS total, count(*) FILTER (n > 0) AS active, max(n) AS busiest FROM (SELECT c_custkey, c_mktsegment, c_name, c_nationkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL) GROUP BY GROUPING SETS ((c_mktsegment), (c_mktsegment, upper(left(c_name, 1)), c_nationkey), ())")
+def _(t):
+    """Totals of the directory: all, by category, by category with initial and place; and those with cases."""
+    n = t.orders.groupBy("o_custkey").agg(n_rows().alias("n"))
+    rows = t.customer.join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_mktsegment").alias("category"), F.upper(F.left("c_name", F.lit(1))).alias("initial"), F.col("c_nationkey").alias("place"), F.coalesce("n", F.lit(0)).alias("n"))
+    return rows.groupingSets([("category",), ("category", "initial", "place"), ()], "category", "initial", "place").agg(n_rows().alias("total"), F.count_if(F.col("n") > 0).alias("active"), F.max("n").alias("busiest"))
+
+
+@query("n6_preview", "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'Cour de cassation' WHEN 'F' THEN 'Cour d''appel de Paris' ELSE 'Tribunal administratif de Lyon' END AS court, CAST(o_orderdate AS DATE) AS read_on, CASE o_orderpriority WHEN '1-URGENT' THEN 'cassation' WHEN '2-HIGH' THEN 'rejet' WHEN '3-MEDIUM' THEN 'desistement' WHEN '4-NOT SPECIFIED' THEN 'confirmation' ELSE 'non_lieu' END AS outcome, 281 AS n FROM orders")
+def _(t):
+    """What a decision's preview shows: court, day, outcome, head of the text."""
+    docs = decisions(t)
+    read = D.fields(docs, "id", "text").select("id", D.court_label(F.col("court.code")).alias("court"), "read_on", "outcome")
+    return read.join(docs.select("id", F.length(X.snippet_head(F.col("text"))).cast("long").alias("n")), "id")
+
+
+@query("n11_hub", "SELECT o_orderstatus AS hub, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, count(*) AS n, max(CAST(o_orderdate AS DATE)) AS latest FROM orders GROUP BY ROLLUP (o_orderstatus, year(o_orderdate), month(o_orderdate))")
+def _(t):
+    """Catalogue, hubs, their years and months in one pass."""
+    rows = t.orders.select(F.col("o_orderstatus").alias("hub"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), F.col("o_orderdate").cast("date").alias("day"))
+    return rows.rollup("hub", "year", "month").agg(n_rows().alias("n"), F.max("day").alias("latest"))
+
+
+@query("j22_backoff", "SELECT event_id, least(60.0, power(2.0, event_id % 9)) * (0.5 + 0.5 * (event_id % 11) / 10.0) AS seconds FROM events")
+def _(t):
+    from corpuslens.sources.incremental import backoff
+
+    return t.events.select("event_id", backoff(F.col("event_id") % 9, (F.col("event_id") % 11) / 10.0).alias("seconds"))

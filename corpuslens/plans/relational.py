@@ -251,11 +251,6 @@ def _edges(t):
     return r.unionByName(n).unionByName(c)
 
 
-@query("d18_tree_down", f"WITH RECURSIVE e AS ({_EDGES}), tree AS (SELECT child AS node, 1 AS depth, lpad(CAST(seq AS VARCHAR), 6, '0') AS path FROM e WHERE parent = 'world' UNION ALL SELECT e.child, t.depth + 1, t.path || '/' || lpad(CAST(e.seq AS VARCHAR), 6, '0') FROM tree t JOIN e ON e.parent = t.node WHERE t.depth < 32) SELECT * FROM tree")
-def _(t):
-    return trees.descend(t.spark, _edges(t), "world")
-
-
 @query("d19_breadcrumb", f"WITH RECURSIVE e AS ({_EDGES}), up AS (SELECT child AS leaf, parent AS node, 1 AS level FROM e WHERE starts_with(child, 'c') UNION ALL SELECT u.leaf, e.parent, u.level + 1 FROM up u JOIN e ON e.child = u.node WHERE u.level < 12) SELECT * FROM up")
 def _(t):
     return trees.ascend(t.spark, _edges(t), _edges(t).filter("child LIKE 'c%'").select(F.col("child").alias("leaf")))
@@ -381,17 +376,6 @@ _GRAMS = f"SELECT item_id, {tok('text')} AS w FROM benchmark"
 _TERMS = f"SELECT l_partkey, l_orderkey, unnest(string_split(o_orderpriority || ' ' || o_orderstatus, ' ')) AS term FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 
 
-@query("e14_term_bag", f"WITH d AS (SELECT l_partkey, term, count(DISTINCT l_orderkey) AS df FROM ({_TERMS}) GROUP BY 1, 2), n AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1) SELECT l_partkey, string_agg(trim(repeat(term || ' ', CAST(least(ceil(2 * log2(df + 1)), 24) AS INTEGER))), ' ' ORDER BY term) AS bag FROM d JOIN n USING (l_partkey) WHERE df >= greatest(2, ceil(0.03 * n)) GROUP BY 1")
-def _(t):
-    j = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_partkey", "l_orderkey", F.explode(F.split(F.concat_ws(" ", "o_orderpriority", "o_orderstatus"), " ")).alias("term"))
-    df = j.groupBy("l_partkey", "term").agg(F.countDistinct("l_orderkey").alias("df"))
-    n = t.lineitem.groupBy("l_partkey").agg(F.countDistinct("l_orderkey").alias("n"))
-    kept = df.join(n, "l_partkey").filter(F.col("df") >= F.greatest(F.lit(2), F.ceil(0.03 * F.col("n"))))
-    tf = F.least(F.ceil(2 * F.log2(F.col("df") + 1)), F.lit(24)).cast("int")
-    bag = kept.select("l_partkey", F.struct("term", F.trim(F.repeat(F.concat("term", F.lit(" ")), tf)).alias("x")).alias("s"))
-    return bag.groupBy("l_partkey").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"])).alias("bag"))
-
-
 @query("e15_corpus_counters", "SELECT count(*) AS docs, count(DISTINCT source) AS sources, count(DISTINCT md5(text)) AS texts, sum(n_chars) AS chars FROM documents")
 def _(t):
     return t.documents.agg(n_rows().alias("docs"), F.countDistinct("source").alias("sources"), F.countDistinct(F.md5("text")).alias("texts"), F.sum("n_chars").alias("chars"))

@@ -83,14 +83,6 @@ def _(t):
     return search_documents(t.documents, "thou ET tion SAUF onre", filters={"lang": ["en"]}).select("id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("n8_code_toc", "SELECT r_name AS section, n_name AS article, row_number() OVER (PARTITION BY r_name ORDER BY n_name) AS pos FROM region JOIN nation ON n_regionkey = r_regionkey")
-def _(t):
-    from pyspark.sql import Window
-
-    j = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.select(F.col("r_name").alias("section"), F.col("n_name").alias("article"), F.row_number().over(Window.partitionBy("r_name").orderBy("n_name")).cast("long").alias("pos"))
-
-
 @query("n9_catalogue", "SELECT lang, count(*) AS n, min(n_chars) AS shortest, max(n_chars) AS longest, count(DISTINCT source) AS sources FROM documents GROUP BY 1")
 def _(t):
     return t.documents.groupBy("lang").agg(n_rows().alias("n"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"), F.countDistinct("source").alias("sources"))

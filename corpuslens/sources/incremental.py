@@ -6,7 +6,7 @@ with the same contract (ordered pages, a watermark, replay from any offset).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -91,3 +91,8 @@ class _PagedReader(DataSourceReader):
         with store.open_input_stream(partition.path) as f:
             for line in f.read().decode("utf-8").splitlines():
                 yield partition.path.rsplit("/", 1)[-1], line
+
+
+def backoff(attempt: Column, share: Column, first: float = 1.0, most: float = 60.0) -> Column:
+    """Seconds before a repeated call: doubled with each attempt, up to ``most``, of which ``share`` (0 to 1) of a half is chance."""
+    return F.least(F.lit(most), first * F.pow(F.lit(2.0), attempt)) * (0.5 + 0.5 * share)

@@ -5,8 +5,11 @@ import random
 import numpy as np
 import pytest
 
-from corpuslens.operators import chunking, ingest, texts
+from pyspark.sql import functions as F
+
+from corpuslens.operators import chunking, ingest, texts, trees
 from corpuslens.operators import relational as R
+from corpuslens.operators import search as S
 
 
 def test_chunks_tile_the_text_within_budget():
@@ -145,3 +148,36 @@ def test_chunks_by_tokens():
 def test_spellings():
     assert texts.without_prefix_variants(["DUPONT", "Dupont", "Dupont Jean", "Martin"]) == ["Dupont Jean", "Martin"]
     assert texts.better_cased("DUPONT", "Dupont") == "Dupont"
+
+
+def test_toc_merges_divisions_and_keeps_order(spark):
+    rows = [("t", 1, "a1", "I > A"), ("t", 2, "a2", None), ("t", 3, "a3", "II"), ("t", 4, "a4", "I > B"), ("t", 5, "a5", "I > A"), ("flat", 1, "b1", None)]
+    got = sorted((r.owner, r.seq, r.kind, r.label) for r in trees.corpus_toc(spark.createDataFrame(rows, "text_uid string, idx long, uid string, title_path string")).collect())
+    assert got == [("", 1, "division", "I"), ("", 2, "article", "a2"), ("", 3, "division", "II"), ("I", 1, "division", "A"), ("I", 2, "division", "B"), ("I > A", 1, "article", "a1"), ("I > A", 2, "article", "a5"), ("I > B", 1, "article", "a4"), ("II", 1, "article", "a3")]
+
+
+def test_cascade_takes_the_first_unique_rule(spark):
+    cands = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "z"), (4, "c", "q"), (5, "c", "q")], "t long, k string, m string")
+    pending = spark.createDataFrame([(10, "a", "y"), (11, "b", "none"), (12, "c", "q"), (13, None, None)], "i long, k string, m string")
+    assert {r.i: (r.t, r.rule) for r in R.cascade(pending, cands, [["k"], ["k", "m"]], "t").collect()} == {10: (2, 2), 11: (3, 1), 12: (None, None), 13: (None, None)}
+
+
+def test_numbered_is_the_global_order(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"), "id").repartition(7)
+    got = R.numbered(rows, [F.col("x"), F.col("id")]).collect()
+    assert sorted(got, key=lambda r: r.pos) == sorted(got, key=lambda r: (r.x, r.id)) and sorted(r.pos for r in got) == list(range(1, 1001))
+    assert R.numbered(rows.limit(0), [F.col("x")]).count() == 0
+
+
+def test_knn_in_blocks_against_brute_force(spark):
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(200, 8))
+    vectors[50:55] = vectors[7]  # ties
+    rows = spark.createDataFrame([(i, i // 4, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, label long, embedding array<double>")
+    got = {}
+    for r in S.knn(rows, rows.filter("vec_id % 10 = 7"), 3, block=4).collect():
+        got.setdefault(r.src, {})[r.rk] = r.vec
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for i in range(7, 200, 10):
+        best = sorted((j for j in range(200) if j // 4 != i // 4), key=lambda j: (-round(float(unit[i] @ unit[j]), 12), j))[:3]
+        assert [got[i][k] for k in (1, 2, 3)] == best
