@@ -1,7 +1,7 @@
 """Line deduplication with two Bloom filters.
 
-One filter holds the hashes of lines seen once, the other of those seen twice. Each task fills its own pair;
-pairs are merged segment by segment (twice = twice | twice' | once & once'), as a stream, so no task holds
+One filter holds the hashes of lines seen once, the other of those seen twice. Each task sets the bits of its own
+pair as batches come, ``bits`` / 4 bytes whatever it reads; pairs are merged segment by segment (twice = twice | twice' | once & once'), as a stream, so no task holds
 more than its segments. Only lines that the merged twice-filter suspects leave their task, as SHA-256
 digests already counted per task; their exact counts confirm them and choose first occurrences. A false
 suspicion costs a few bytes, never a wrong result, so a filter too small for the data only shuffles more.
@@ -16,7 +16,8 @@ Defined results:
 * mode "all": keys found in at least ``min_docs`` rows lose all their lines; mode "first": they keep the line
   of the smallest id (null smallest) and line number;
 * each row counts as a document, so a repeated row counts again; rows that repeat the id of a kept line all
-  keep it; an empty table gives an empty result; extra columns are not read.
+  keep it; a very long text is split whole, in the task that reads it; an empty table gives an empty result;
+  extra columns are not read.
 """
 
 from __future__ import annotations
@@ -58,13 +59,10 @@ def _hashes(keys: list[bytes], min_chars: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys if long_enough(k, min_chars)), np.uint64)
 
 
-def _pack(local: np.ndarray) -> bytes:
-    """Sorted places in a segment: as numbers while that is shorter, else as bits."""
-    if len(local) * 4 < SEGMENT_BYTES:
-        return local.astype("<u4").tobytes()
-    bits = np.zeros(SEGMENT_BITS, bool)
-    bits[local] = True
-    return np.packbits(bits, bitorder="little").tobytes()
+def _pack(own: np.ndarray) -> bytes:
+    """A segment: the places of its bits while that is shorter, else the bits."""
+    places = np.flatnonzero(np.unpackbits(own, bitorder="little"))
+    return places.astype("<u4").tobytes() if len(places) * 4 < SEGMENT_BYTES else own.tobytes()
 
 
 def _unpack(raw: bytes) -> np.ndarray:
@@ -79,19 +77,23 @@ def twice_filter(texts: DataFrame, bits: int, min_chars: int) -> np.ndarray:
     """The merged twice-filter over all lines of ``texts`` (id, text): ``bits`` / 8 bytes whatever the input."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, more = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+
+        def put(table: np.ndarray, at: np.ndarray) -> None:
+            np.bitwise_or.at(table, at.ravel() >> np.uint64(3), np.left_shift(1, (at.ravel() & np.uint64(7)).astype(np.uint8), dtype=np.uint8))
+
         for batch in batches:
             parts = [_hashes(line_keys(t or b""), min_chars) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            fresh, n = np.unique(np.concatenate(parts) if parts else once[:0], return_counts=True)
-            more = np.union1d(more, np.concatenate([fresh[n > 1], np.intersect1d(fresh, once, assume_unique=True)]))
-            once = np.union1d(once, fresh)
+            fresh, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
+            put(twice, bit_positions(fresh[(n > 1) | suspected(once, fresh)], bits))
+            put(once, bit_positions(fresh, bits))
         segments, ones, twos = [], [], []
-        a, b = (np.unique(bit_positions(x, bits)) for x in (once, more))
-        for s in np.unique(a // np.uint64(SEGMENT_BITS)).tolist():
-            low, high = np.uint64(s * SEGMENT_BITS), np.uint64((s + 1) * SEGMENT_BITS)
-            segments.append(s)
-            ones.append(_pack(a[np.searchsorted(a, low) : np.searchsorted(a, high)] - low))
-            twos.append(_pack(b[np.searchsorted(b, low) : np.searchsorted(b, high)] - low))
+        for s in range(bits // SEGMENT_BITS):
+            own = slice(s * SEGMENT_BYTES, (s + 1) * SEGMENT_BYTES)
+            if once[own].any():
+                segments.append(s)
+                ones.append(_pack(once[own]))
+                twos.append(_pack(twice[own]))
         yield pa.RecordBatch.from_arrays([pa.array(segments, pa.int32()), pa.array(ones, pa.binary()), pa.array(twos, pa.binary())], ["segment", "once", "twice"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
