@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as X
+from corpuslens.operators.relational import spread
 
 # Wording, folded, by field. The first entry that is found wins.
 MOTIVES = r"(?m)^\s*(?:vu\b|considerant\b|attendu\b|sur quoi\b|faits et procedure\b)"
@@ -188,7 +189,7 @@ def fields(docs: DataFrame, id_col: str, text_col: str, listed_col: str | None =
     """All fields of each document, from one reading: id, court, chamber, formation, office, outcome, procedures, dockets, read_on, heard_on, actors, prior."""
     listed = F.col(listed_col) if listed_col else F.lit(None).cast("string")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    read = _once(docs, id=F.col(id_col), original=text, listed=listed, low=folded(text))
+    read = _once(spread(docs), id=F.col(id_col), original=text, listed=listed, low=folded(text))
     read = _once(read, id=F.col("id"), original=F.col("original"), listed=F.col("listed"), low=F.col("low"), p=parts(F.col("low")))
     banner, low = F.col("p.banner"), F.col("low")
     return read.select(

@@ -50,7 +50,9 @@ class LexicalIndex:
 
     def build(self, docs: DataFrame, id_col: str, text: Column) -> None:
         tokens = F.filter(F.transform(X.tokens(text), lambda t, i: F.struct(t.alias("term"), i.alias("pos"))), lambda x: ~X.is_stopword(x["term"]))
-        rows = docs.select(F.col(id_col).alias("id"), tokens.alias("ts"))
+        parts = docs.sparkSession.sparkContext.defaultParallelism
+        few = len(docs.inputFiles()) < parts  # a few files may be a single split
+        rows = (docs.repartition(parts, id_col) if few else docs).select(F.col(id_col).alias("id"), tokens.alias("ts"))
         flat = rows.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("t")).select("id", "dl", "t.term", "t.pos")
         held = flat.repartitionByRange("term", "id").groupBy("term", "id", "dl").agg(F.array_sort(F.collect_list("pos")).alias("at"))
         held.sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{self.path}/postings")

@@ -42,13 +42,22 @@ def unique_match(pending: DataFrame, candidates: DataFrame, key: str, target: st
 
 
 def token_subset(keys: DataFrame, names: DataFrame) -> DataFrame:
-    """(key_id, name_id) where each of the key's tokens is a token of the name: relational division by counts.
+    """(key_id, name_id) where each of the key's tokens is a token of the name.
 
-    keys: key_id, toks; names: name_id, toks (distinct tokens).
+    keys: key_id, toks; names: name_id, toks (distinct tokens). A name that holds all of a key's tokens holds its rarest
+    one, so keys meet the names of that token alone; frequent tokens are never joined.
     """
-    k = keys.select("key_id", F.size("toks").alias("need"), F.explode("toks").alias("tok"))
-    n = names.select("name_id", F.explode("toks").alias("tok"))
-    return k.join(n, "tok").groupBy("key_id", "name_id", "need").agg(F.count(F.lit(1)).alias("have")).filter("have = need").select("key_id", "name_id")
+    held = names.select("name_id", F.col("toks").alias("has"), F.explode("toks").alias("tok"))
+    df = held.groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
+    each = keys.select("key_id", "toks", F.explode("toks").alias("tok")).join(df, "tok", "left")
+    rarest = each.groupBy("key_id").agg(F.first("toks").alias("toks"), F.min_by("tok", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "tok")).alias("tok"))
+    return rarest.join(held, "tok").filter(F.size(F.array_except("toks", "has")) == 0).select("key_id", "name_id")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt to all cores where they come from fewer files, which may be one split; else as they are."""
+    parts = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(parts) if 0 < len(rows.inputFiles()) < parts else rows
 
 
 def co_citation(edges: DataFrame, doc: str, cited: str, anchors: DataFrame, least: int = 3, top: int = 8, sample: int = 500) -> DataFrame:

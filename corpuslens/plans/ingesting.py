@@ -9,7 +9,6 @@ from corpuslens.functions import text as X
 from corpuslens.operators import chunking, ingest, texts
 from corpuslens.operators import relational as R
 from corpuslens.plans.registry import n_rows, query
-from corpuslens.plans.scalars import tok
 
 
 
@@ -272,12 +271,6 @@ def _(t):
     return texts.diff_frame(pairs, "doc_id", "old", "new")
 
 
-@query("contamination", f"WITH d AS (SELECT doc_id, {tok('text')} AS w FROM documents), b AS (SELECT item_id, {tok('text')} AS w FROM benchmark), dg AS (SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, len(w) - 7), lambda i: array_to_string(list_slice(w, i, i + 7), ' '))) AS g FROM d), bg AS (SELECT DISTINCT item_id, unnest(list_transform(generate_series(1, len(w) - 7), lambda i: array_to_string(list_slice(w, i, i + 7), ' '))) AS g FROM b) SELECT doc_id, item_id, count(*) AS shared FROM dg JOIN bg USING (g) GROUP BY 1, 2")
-def _(t):
-    grams = lambda df, key: df.select(key, X.tokens(F.col("text")).alias("w")).filter("size(w) >= 8").select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.concat_ws(" ", F.slice("w", i, F.lit(8)))))).alias("g"))
-    return grams(t.documents, "doc_id").join(grams(t.benchmark, "item_id"), "g").groupBy("doc_id", "item_id").agg(n_rows().alias("shared"))
-
-
 # N: entity and hub pages
 
 
