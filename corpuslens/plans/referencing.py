@@ -437,7 +437,7 @@ def _(t):
     return tree.select(F.expr("rtrim('|', root)").alias("text_uid"), F.split_part("node", F.lit("|#"), F.lit(2)).alias("article"), F.row_number().over(order).cast("long").alias("pos"))
 
 
-@query("e14_term_bag", "WITH c AS (SELECT source AS uid, doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(left(text, 400)), '[^a-zà-ÿ -]', ' ', 'g'), '\s+'), lambda w: w <> '') AS w FROM documents), g AS (SELECT DISTINCT uid, doc_id, g FROM (SELECT uid, doc_id, unnest(list_concat(list_filter(w, lambda x: length(x) > 1), list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || '_' || w[i + 1]))) AS g FROM c)), d AS (SELECT uid, g, count(*) AS df FROM g GROUP BY ALL), n AS (SELECT uid, count(*) AS n FROM c GROUP BY 1) SELECT uid, string_agg(trim(repeat(g || ' ', CAST(least(ceil(round(2 * log2(df + 1), 9)), 24) AS INTEGER))), ' ' ORDER BY g) AS bag FROM d JOIN n USING (uid) WHERE df >= greatest(2, ceil(n * 0.03)) GROUP BY 1")
+@query("e14_term_bag", "WITH c AS (SELECT source AS uid, doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(left(text, 400)), '[^a-zà-ÿ -]', ' ', 'g'), '\\s+'), lambda w: w <> '') AS w FROM documents), g AS (SELECT DISTINCT uid, doc_id, g FROM (SELECT uid, doc_id, unnest(list_concat(list_filter(w, lambda x: length(x) > 1), list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || '_' || w[i + 1]))) AS g FROM c)), d AS (SELECT uid, g, count(*) AS df FROM g GROUP BY ALL), n AS (SELECT uid, count(*) AS n FROM c GROUP BY 1) SELECT uid, string_agg(trim(repeat(g || ' ', CAST(least(ceil(round(2 * log2(df + 1), 9)), 24) AS INTEGER))), ' ' ORDER BY g) AS bag FROM d JOIN n USING (uid) WHERE df >= greatest(2, ceil(n * 0.03)) GROUP BY 1")
 def _(t):
     return R.usage_bags(t.documents.select("source", "doc_id", F.left("text", F.lit(400)).alias("context")), "source", "doc_id", "context")
 
@@ -492,3 +492,13 @@ def _(t):
     from corpuslens.sources.incremental import backoff
 
     return t.events.select("event_id", backoff(F.col("event_id") % 9, (F.col("event_id") % 11) / 10.0).alias("seconds"))
+
+
+@query("k9_citation_extraction", "SELECT o_orderkey AS id, unnest(['L. 1231-1', 'L. ' || o_custkey || '-1', 'L. ' || o_custkey || '-2', 'L. ' || o_custkey || '-3', 'R. ' || o_orderkey, '12']) AS article, unnest(['code du travail', 'code civil', 'code civil', 'code civil', 'code civil', 'code civil']) AS instrument FROM orders")
+def _(t):
+    """Citations of each decision with their instrument: single ones, ranges, enumerations and "the same code"."""
+    from corpuslens.operators.extraction import extract_frame
+
+    cited = F.concat(F.lit("\nVu les articles L. "), F.col("o_custkey").cast("string"), F.lit("-1 à L. "), F.col("o_custkey").cast("string"), F.lit("-3 et R. "), F.col("id").cast("string"), F.lit(" du code civil, ensemble l'article 12 du même code ;"))
+    rows = decisions(t).join(t.orders.select(F.col("o_orderkey").alias("id"), "o_custkey"), "id").select("id", F.concat("text", cited).alias("text"))
+    return extract_frame(R.spread(rows), "id", "text").select("id", F.explode("citations").alias("c")).select("id", "c.article", "c.instrument")

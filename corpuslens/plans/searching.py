@@ -333,9 +333,20 @@ def _(t):
 LEAST_DOCUMENTS = 5
 
 
-@query("h31_suggest_harvest")
+def _grams_sql() -> str:
+    clause = "(" + ", ".join(f"'{w}'" for w in X.CLAUSE_BREAKERS) + ")"
+    border = "(" + ", ".join(f"'{w}'" for w in [*X.STOPWORDS, *X.BORDER_WORDS, *X.CLAUSE_BREAKERS]) + ")"
+    digit = lambda k: f"coalesce(regexp_matches(t{k}, '[0-9]'), false)"
+    words = f"SELECT doc_id, unnest({tok('text')}) AS term, generate_subscripts({tok('text')}, 1) AS pos FROM documents"
+    near = f"SELECT doc_id, lag(term) OVER w AS t0, term AS t1, {', '.join(f'lead(term, {k}) OVER w AS t{k + 1}' for k in range(1, 6))} FROM ({words}) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)"
+    legs = [f"SELECT doc_id, concat_ws(' ', {', '.join(f't{i}' for i in range(1, k + 1))}) AS gram FROM near WHERE t1 NOT IN {border} AND t{k} NOT IN {border} AND {' AND '.join(f't{i} NOT IN {clause}' for i in range(1, k + 1))} AND NOT ({digit(0)} AND {digit(1)}) AND NOT ({digit(k)} AND {digit(k + 1)})" for k in range(1, 6)]
+    return f"WITH near AS ({near}) {' UNION ALL '.join(legs)}"
+
+
+@query("h31_suggest_harvest", f"SELECT doc_id, gram, count(*) AS n FROM ({_grams_sql()}) GROUP BY ALL")
 def _(t):
-    return t.documents.select("doc_id", F.explode(S.ngrams(X.tokens(F.col("text")))).alias("gram"))
+    grams = R.spread(t.documents).select("doc_id", F.explode(S.ngrams(X.tokens(F.col("text")))).alias("gram"))
+    return grams.groupBy("doc_id", "gram").agg(n_rows().alias("n"))
 
 
 @query("h32_suggest_probe")
@@ -343,9 +354,9 @@ def _(t):
     return S.probe(S.vocabulary(t.documents, "doc_id", "text", LEAST_DOCUMENTS), "the", 8)
 
 
-@query("h33_suggest_vocabulary", f"SELECT gram, count(*) AS df FROM (SELECT DISTINCT item_id, w AS gram FROM (SELECT item_id, unnest({tok('text')}) AS w FROM benchmark) WHERE w NOT IN {STOP} AND w NOT IN ({', '.join(repr(w) for w in [*X.BORDER_WORDS, *X.CLAUSE_BREAKERS])})) GROUP BY 1 HAVING count(*) >= 2")
+@query("h33_suggest_vocabulary", f"SELECT gram, count(DISTINCT doc_id) AS df FROM ({_grams_sql()}) GROUP BY 1 HAVING count(DISTINCT doc_id) >= {LEAST_DOCUMENTS}")
 def _(t):
-    return S.vocabulary(t.benchmark, "item_id", "text", 2).filter(~F.col("gram").contains(" "))
+    return S.vocabulary(R.spread(t.documents), "doc_id", "text", LEAST_DOCUMENTS)
 
 
 @query("h35_ndcg", f"WITH r AS (SELECT quality, rank FROM (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM ({bm25_sql(POST_DOCS, TERMS)})) JOIN labels ON doc_id = id) SELECT round(sum(quality / log2(rank + 1)) FILTER (rank <= 10), 9) AS dcg, (SELECT sum(quality) FROM (SELECT quality FROM r ORDER BY quality DESC LIMIT 10)) AS relevant FROM r")

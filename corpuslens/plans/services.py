@@ -88,13 +88,6 @@ def _(t):
     return t.documents.groupBy("lang").agg(n_rows().alias("n"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"), F.countDistinct("source").alias("sources"))
 
 
-@query("k9_citation_extraction")
-def _(t):
-    from corpuslens.operators.extraction import extract_frame
-
-    return extract_frame(t.documents, "doc_id", "text").select("id", "outcome", F.size("citations").alias("n_citations"), F.size("sections").alias("n_sections"))
-
-
 @query("k5_embed_batch")
 def _(t):
     from corpuslens.functions.udfs import embed
