@@ -1,26 +1,43 @@
-"""Hierarchies: recursion down and up, with depth limits and paths."""
+"""Hierarchies: level by level down and up, with depth limits and paths."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuslens.sources.shared import scratch
+
+
+def _levels(spark: SparkSession, first: DataFrame, step: Callable[[DataFrame], DataFrame], depth: int) -> DataFrame:
+    """All levels, each made of the one before by ``step``, until one is empty or ``depth`` are there.
+
+    A level is staged in the shared folder, so the next one is planned by its true size and rows are not limited, as
+    those of a recursive query are (``spark.sql.cteRecursionRowLimit``, a million).
+    """
+    path, level, found = scratch(spark, "levels"), first, []
+    while len(found) < depth:
+        found.append(f"{path}/{len(found) + 1}")
+        level.write.parquet(found[-1])
+        level = spark.read.schema(first.schema).parquet(found[-1])
+        if level.isEmpty():
+            break
+        level = step(level)
+    return spark.read.schema(first.schema).parquet(*found)
+
+
+def _staged(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    path = scratch(spark, "edges")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
 
 def descend(spark: SparkSession, edges: DataFrame, root: str, depth: int = 32) -> DataFrame:
     """Nodes below ``root`` of edges (parent, child, seq): node, depth, path."""
-    return spark.sql(
-        f"""
-        WITH RECURSIVE tree (node, depth, path) AS (
-            SELECT child, 1, concat(lpad(cast(seq AS string), 6, '0')) FROM {{edges}} WHERE parent = {{root}}
-            UNION ALL
-            SELECT e.child, t.depth + 1, concat(t.path, '/', lpad(cast(e.seq AS string), 6, '0'))
-            FROM tree t JOIN {{edges}} e ON e.parent = t.node WHERE t.depth < {int(depth)}
-        )
-        SELECT node, depth, path FROM tree
-        """,
-        edges=edges,
-        root=root,
-    )
+    shown = F.transform("path", lambda s: F.lpad(s.cast("string"), F.greatest(F.lit(6), F.length(s.cast("string"))), F.lit("0")))
+    below = descend_all(spark, edges, spark.range(1).select(F.lit(root).alias("root")), depth)
+    return below.select("node", "depth", F.array_join(shown, "/").alias("path"))
 
 
 def ascend(spark: SparkSession, edges: DataFrame, leaves: DataFrame, depth: int = 12) -> DataFrame:
@@ -46,19 +63,13 @@ def in_force(edges: DataFrame, start: str, end: str, at: Column) -> DataFrame:
 
 def descend_all(spark: SparkSession, edges: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
     """Nodes below each of ``roots`` (root) of edges (parent, child, seq): root, node, depth, path (the seqs on the way)."""
-    return spark.sql(
-        f"""
-        WITH RECURSIVE tree (root, node, depth, path) AS (
-            SELECT r.root, e.child, 1, array(e.seq) FROM {{roots}} r JOIN {{edges}} e ON e.parent = r.root
-            UNION ALL
-            SELECT t.root, e.child, t.depth + 1, concat(t.path, array(e.seq))
-            FROM tree t JOIN {{edges}} e ON e.parent = t.node WHERE t.depth < {int(depth)}
-        )
-        SELECT root, node, depth, path FROM tree
-        """,
-        edges=edges,
-        roots=roots,
-    )
+    edges = _staged(spark, edges.select("parent", "child", "seq"))
+
+    def step(tree: DataFrame) -> DataFrame:
+        return tree.join(edges, F.col("parent") == F.col("node")).select("root", F.col("child").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("seq")).alias("path"))
+
+    first = roots.join(edges, F.col("parent") == F.col("root")).select("root", F.col("child").alias("node"), F.lit(1).alias("depth"), F.array("seq").alias("path"))
+    return _levels(spark, first, step, depth)
 
 
 def corpus_toc(articles: DataFrame) -> DataFrame:

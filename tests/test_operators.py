@@ -181,3 +181,20 @@ def test_knn_in_blocks_against_brute_force(spark):
     for i in range(7, 200, 10):
         best = sorted((j for j in range(200) if j // 4 != i // 4), key=lambda j: (-round(float(unit[i] @ unit[j]), 12), j))[:3]
         assert [got[i][k] for k in (1, 2, 3)] == best
+
+
+@pytest.fixture
+def few_recursive_rows(spark):
+    """A recursive query may give twenty rows here, as it may give a million by default."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "20")
+    yield
+    spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
+def test_trees_down_have_no_row_limit(spark, few_recursive_rows):
+    edges = spark.createDataFrame([("top", f"a{i}", i) for i in range(5)] + [(f"a{i}", f"b{i}-{j}", j) for i in range(5) for j in range(9)], "parent string, child string, seq long")
+    got = trees.descend_all(spark, edges, spark.createDataFrame([("top",), ("a1",)], "root string")).collect()
+    want = [("top", f"a{i}", 1, [i]) for i in range(5)] + [("top", f"b{i}-{j}", 2, [i, j]) for i in range(5) for j in range(9)] + [("a1", f"b1-{j}", 1, [j]) for j in range(9)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {r.node: r.path for r in trees.descend(spark, edges.replace(3, 1234567, "seq"), "top").collect()}["b2-3"] == "000002/1234567"
+    assert trees.descend_all(spark, edges, spark.createDataFrame([("none",)], "root string")).count() == 0
