@@ -41,19 +41,16 @@ def descend(spark: SparkSession, edges: DataFrame, root: str, depth: int = 32) -
 
 
 def ascend(spark: SparkSession, edges: DataFrame, leaves: DataFrame, depth: int = 12) -> DataFrame:
-    """Chain from each of ``leaves`` (leaf) to its root: leaf, node, level (1 is the parent)."""
-    return spark.sql(
-        f"""
-        WITH RECURSIVE up (leaf, node, level) AS (
-            SELECT l.leaf, e.parent, 1 FROM {{edges}} e JOIN {{leaves}} l ON e.child = l.leaf
-            UNION ALL
-            SELECT u.leaf, e.parent, u.level + 1 FROM up u JOIN {{edges}} e ON e.child = u.node WHERE u.level < {int(depth)}
-        )
-        SELECT leaf, node, level FROM up
-        """,
-        edges=edges,
-        leaves=leaves,
-    )
+    """Chain from each of ``leaves`` (leaf, distinct) to its root: leaf, node, level (1 is the parent)."""
+    edges = _staged(spark, edges.select("parent", "child"))
+
+    def step(up: DataFrame) -> DataFrame:
+        # few nodes may be above many leaves: their edges alone are joined, and broadcast where they are few
+        held = edges.join(up.select(F.col("node").alias("child")).distinct(), "child", "left_semi")
+        return up.join(held, F.col("child") == F.col("node")).select("leaf", F.col("parent").alias("node"), (F.col("level") + 1).alias("level"))
+
+    first = edges.join(leaves, F.col("child") == F.col("leaf")).select("leaf", F.col("parent").alias("node"), F.lit(1).alias("level"))
+    return _levels(spark, first, step, depth)
 
 
 def in_force(edges: DataFrame, start: str, end: str, at: Column) -> DataFrame:

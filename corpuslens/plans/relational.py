@@ -253,7 +253,7 @@ def _edges(t):
 
 @query("d19_breadcrumb", f"WITH RECURSIVE e AS ({_EDGES}), up AS (SELECT child AS leaf, parent AS node, 1 AS level FROM e WHERE starts_with(child, 'c') UNION ALL SELECT u.leaf, e.parent, u.level + 1 FROM up u JOIN e ON e.child = u.node WHERE u.level < 12) SELECT * FROM up")
 def _(t):
-    return trees.ascend(t.spark, _edges(t), _edges(t).filter("child LIKE 'c%'").select(F.col("child").alias("leaf")))
+    return trees.ascend(t.spark, _edges(t), _edges(t).filter("child LIKE 'c%'").select(F.col("child").alias("leaf")).distinct())
 
 
 @query("d20_range_join", "WITH p AS (SELECT doc_id, i, 200 * i AS a, 200 * i + 200 AS b FROM documents, generate_series(0, n_chars // 200) g(i)), s AS (SELECT doc_id, 37 * j AS c, 37 * j + 11 AS e FROM documents, generate_series(0, n_chars // 37) h(j) WHERE 37 * j + 11 <= n_chars) SELECT p.doc_id, CAST(p.i AS INTEGER) AS para, count(*) AS n FROM p JOIN s ON s.doc_id = p.doc_id AND s.c >= p.a AND s.e <= p.b GROUP BY 1, 2")

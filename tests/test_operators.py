@@ -198,3 +198,12 @@ def test_trees_down_have_no_row_limit(spark, few_recursive_rows):
     assert sorted(map(tuple, got)) == sorted(want)
     assert {r.node: r.path for r in trees.descend(spark, edges.replace(3, 1234567, "seq"), "top").collect()}["b2-3"] == "000002/1234567"
     assert trees.descend_all(spark, edges, spark.createDataFrame([("none",)], "root string")).count() == 0
+
+
+def test_trees_up_have_no_row_limit(spark, few_recursive_rows):
+    edges = spark.createDataFrame([("top", "mid"), *[("mid", f"c{i}") for i in range(30)], ("x", "y"), ("y", "x")], "parent string, child string")
+    leaves = spark.createDataFrame([(f"c{i}",) for i in range(30)], "leaf string")
+    want = [(f"c{i}", node, level) for i in range(30) for level, node in ((1, "mid"), (2, "top"))]
+    assert sorted(map(tuple, trees.ascend(spark, edges, leaves).collect())) == sorted(want)
+    ring = trees.ascend(spark, edges, spark.createDataFrame([("x",)], "leaf string")).collect()
+    assert sorted((r.level, r.node) for r in ring) == [(n, "y" if n % 2 else "x") for n in range(1, 13)]
