@@ -18,14 +18,24 @@ _WORD = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 def highlight(docs: list[tuple[int, str]], query: str, budget: int = 500) -> dict[int, str]:
     """Best fragment of each text of a page, matches marked: terms weigh 1 / (1 + texts of the page that hold them)."""
     terms = set(query_tokens(query))
-    spans = {i: [(m.start(), m.end(), query_tokens(m.group())) for m in _WORD.finditer(t)] for i, t in docs}
-    spans = {i: [(s, e, f[0]) for s, e, f in rows if f] for i, rows in spans.items()}
-    df = {t: sum(any(w == t for _, _, w in rows) for rows in spans.values()) for t in terms}
+    folds: dict[str, str] = {}  # a page repeats its words
+    spans, held = {}, {}
+    for i, text in docs:
+        rows = []
+        for m in _WORD.finditer(text):
+            word = m.group()
+            if word not in folds:
+                folds[word] = query_tokens(word)[0]
+            rows.append((m.start(), m.end(), folds[word]))
+        spans[i], held[i] = rows, terms.intersection(w for _, _, w in rows)
+    df = {t: sum(t in found for found in held.values()) for t in terms}
     out = {}
     for i, text in docs:
-        best, current = None, None
+        if not held[i]:
+            continue
+        best, current, ascii_ = None, None, text.isascii()
         for s, e, w in spans[i]:
-            if current is None or len(text[current[1] : e].encode()) > budget:
+            if current is None or e - current[1] > budget or not ascii_ and len(text[current[1] : e].encode()) > budget:
                 current = [0.0, s, e, []]
             current[2] = e
             if w in terms:

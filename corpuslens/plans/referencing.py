@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,12 +173,13 @@ def _(t):
 def _(t):
     """Best fragment of each document for a query, over pages of twenty documents."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found = texts.highlight(list(zip(frame["doc_id"].tolist(), frame["text"].fillna("").tolist(), strict=True)), "thou tion onre")
-        return pd.DataFrame({"doc_id": list(found), "snippet": list(found.values())})
+    def run(page: pa.Table) -> pa.Table:
+        ids = page.column("doc_id").combine_chunks()
+        found = texts.highlight([(n, text or "") for n, text in enumerate(page.column("text").to_pylist())], "thou tion onre")  # by row: ids may repeat
+        return pa.table({"doc_id": ids.take(pa.array(list(found), pa.int64())), "snippet": pa.array(list(found.values()), pa.string())})
 
     paged = t.documents.select("doc_id", "text", F.floor(F.col("doc_id") / 20).alias("page"))
-    return paged.groupBy("page").applyInPandas(lambda f: run(f), "doc_id long, snippet string")
+    return paged.groupBy("page").applyInArrow(lambda f: run(f), "doc_id long, snippet string")
 
 
 @query("h20_cache_key", "SELECT item_id, md5('{\"q\":\"' || trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) || '\",\"limit\":20,\"offset\":0}') AS key FROM benchmark")
