@@ -494,7 +494,7 @@ def _(t):
 
 @query("f13_date_resort", "SELECT o_orderkey, row_number() OVER (ORDER BY coalesce(CAST(CAST(d AS DATE) AS VARCHAR), ''), o_orderkey) AS pos FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END AS d FROM orders)")
 def _(t):
-    o = t.orders.withColumn("d", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate").cast("date").cast("string")))
+    o = t.orders.withColumn("d", F.when(F.col("o_orderkey") % 7 == 0, F.lit(None)).otherwise(F.col("o_orderdate").cast("date").cast("string")))
     return R.numbered(o.select("o_orderkey", "d"), [F.coalesce("d", F.lit("")).alias("d"), F.col("o_orderkey")]).select("o_orderkey", "pos")
 
 

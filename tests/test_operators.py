@@ -214,3 +214,16 @@ def test_numbered_ranges_rows_once(spark):
     got = R.numbered(rows, [F.col("x")])
     place = got.select("x", "pos").toPandas().sort_values("x")
     assert place["pos"].tolist() == list(range(1, 300_001)) and place["x"].is_unique
+
+
+def test_date_resort_against_sql(spark, tmp_path):
+    import __spark_entry__ as contract
+    import duckdb
+
+    key = F.when(F.col("id") != 5, F.col("id") * 7919 % 200_003)
+    day = F.when(F.col("id") % 11 != 0, F.expr("timestamp_ntz'1992-01-01' + make_dt_interval(CAST(id % 2400 AS INT))"))
+    spark.range(200_000, numPartitions=5).select(key.alias("o_orderkey"), day.alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got = {r.o_orderkey: r.pos for r in contract.queries()["f13_date_resort"](spark, str(tmp_path)).collect()}
+    assert got == dict(db.execute(contract.oracle_sql()["f13_date_resort"]).fetchall())
