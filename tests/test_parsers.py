@@ -3,8 +3,10 @@
 import datetime as dt
 import json
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from corpuslens.sources import parsers
 
 
@@ -52,3 +54,12 @@ def test_european_rows(spark):
     assert set(got) == {"cedh/001-1", "cjue/62020CJ0560", "cedh/3"}
     assert got["cedh/001-1"].dockets == ["1/01", "2/02"] and got["cedh/001-1"].read_on == dt.date(1960, 11, 14) and got["cedh/001-1"].sections[0].kind == "visa"
     assert got["cjue/62020CJ0560"].dockets == ["C-560/20"] and got["cjue/62020CJ0560"].ecli is None
+
+
+def test_european_numbers_of_seven_digits_against_sql(spark, tmp_path):
+    rows = [(k, 7, "O", 1.0, dt.datetime(1998, 2, 6), "5-LOW") for k in (2, 3, 999_999, 1_000_001, 1_000_003, 12_345_678, 12_345_679)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got = sorted(map(tuple, contract.queries()["a10_european_decisions"](spark, str(tmp_path)).collect()))
+    assert got == sorted(db.execute(contract.oracle_sql()["a10_european_decisions"]).fetchall()) and len({r[0] for r in got}) == 7
