@@ -227,3 +227,21 @@ def test_date_resort_against_sql(spark, tmp_path):
     db.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     got = {r.o_orderkey: r.pos for r in contract.queries()["f13_date_resort"](spark, str(tmp_path)).collect()}
     assert got == dict(db.execute(contract.oracle_sql()["f13_date_resort"]).fetchall())
+
+
+def test_islands_with_equal_spans(spark):
+    """Of equal spans one opens an island, and its twins stay in it."""
+    rng = random.Random(5)
+    spans = [(k, a := rng.randrange(60), a + rng.randrange(4)) for k in range(40) for _ in range(30)]
+    spans += spans[::3]
+    want = []
+    for k in range(40):
+        found = []
+        for _, a, b in sorted(s for s in spans if s[0] == k):
+            if found and a < found[-1][2]:
+                found[-1][2:] = [max(b, found[-1][2]), found[-1][3] + 1]
+            else:
+                found.append([k, a, b, 1])
+        want += map(tuple, found)
+    rows = spark.createDataFrame(spans, "k long, a long, b long").repartition(7)
+    assert sorted(map(tuple, R.islands(rows, ["k"], "a", "b").select("k", "a", "b", "n_spans").collect())) == sorted(want)
